@@ -119,19 +119,65 @@ def _bigram_order(grams: DataFrame) -> DataFrame:
 
 
 def build_index(nodes: DataFrame, staging: Staging, method: str = "indel") -> DataFrame:
-    """Block membership of every form: (cls, sig, cell_a, cell_b, node, form, own_cls, prefix, slice).
+    """Block membership of every form: (cls, sig, cell_a, cell_b, slice, node, form, members, own_cls, prefix).
 
     ``nodes`` must be a staged table: it is read more than once.
     """
-    keyed = nodes.where(F.length("form") >= rules.FUZZY_MIN_CHARS).select("node", "form")
+    kept = ["cls", "node", "form", "members", "own_cls", "need", "prefix", "width"]
+    level = _first_level(nodes, method)
+    if nodes.count() <= BLOCK_LIMIT:  # then no block can be crowded
+        whole = F.lit(0).alias
+        return staging.write(
+            level.select(*kept, "sig", whole("slice"), whole("cell_a"), whole("cell_b")), "index"
+        )
+    finished = []
+    for depth in range(1, MAX_DEPTH + 1):
+        level = staging.write(level, f"blocks-{depth}")
+        sizes = level.groupBy("cls", "sig").agg(
+            F.count(F.lit(1)).alias("n"), F.max("need").alias("most")
+        )
+        sized = level.join(sizes.where("n > 1").drop("most"), ["cls", "sig"])
+        crowded = (F.col("n") > BLOCK_LIMIT) & (F.col("need") > depth)
+        if depth == MAX_DEPTH or sizes.where((F.col("n") > BLOCK_LIMIT) & (F.col("most") > depth)).isEmpty():
+            finished.append(sized)
+            break
+        finished.append(sized.where(~crowded))
+        # a crowded block splits by the next bigram of the prefix, which is one longer per level
+        longer = F.slice("prefix", F.lit(1), F.least(F.size("prefix"), F.col("width") + F.lit(depth)))
+        level = (
+            sized.where(crowded)
+            .select(*kept, "sig", "at", F.posexplode(longer).alias("next", "gram"))
+            .where("next > at")
+            .select(*kept, F.concat_ws("|", "sig", "gram").alias("sig"), F.col("next").alias("at"))
+        )
+    members = finished[0]
+    for more in finished[1:]:
+        members = members.unionByName(more)
+    # whatever is still crowded is cut into slices; each pair of slices is a cell of its own
+    sliced = members.withColumn("slices", F.ceil(F.col("n") / BLOCK_LIMIT).cast("int")).withColumn(
+        "slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    )
+    cells = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    return staging.write(
+        cells.select(
+            *kept, "sig", "slice", F.least("slice", "other").alias("cell_a"),
+            F.greatest("slice", "other").alias("cell_b"),
+        ),
+        "index",
+    )
+
+
+def _first_level(nodes: DataFrame, method: str) -> DataFrame:
+    """Every form once per length class it can pair in and per bigram of its prefix there."""
+    keyed = nodes.where(F.length("form") >= rules.FUZZY_MIN_CHARS).select("node", "form", "members")
     grams = (
         keyed.repartition("node")
-        .select("node", "form", F.explode(_numbered_bigrams(F.col("form"))).alias("gram"))
+        .select("*", F.explode(_numbered_bigrams(F.col("form"))).alias("gram"))
         .withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(_BUCKETS)))
     )
     ordered = (
         grams.join(F.broadcast(_bigram_order(grams)), "bucket")
-        .groupBy("node", "form")
+        .groupBy("node", "form", "members")
         .agg(F.array_sort(F.collect_list(F.struct("freq", "gram")))["gram"].alias("grams"))
         .withColumn("own_cls", _length_class(F.col("form")))
     )
@@ -139,57 +185,17 @@ def build_index(nodes: DataFrame, staging: Staging, method: str = "indel") -> Da
     classed = ordered.withColumn("cls", F.explode(F.array("own_cls", F.col("own_cls") + 1))).withColumn(
         "need", _required(F.col("cls"), method)
     )
-    depth_cap = F.least(F.col("need"), F.lit(MAX_DEPTH))
-    spare = F.size("grams") - F.col("need")
 
-    def prefix(depth: Column) -> Column:
-        return F.slice("grams", 1, F.greatest(F.lit(1), spare + depth))
+    def length(depth: Column) -> Column:
+        return F.greatest(F.lit(1), F.size("grams") - F.col("need") + depth)
 
-    prefixed = classed.select(
-        "cls", "node", "form", "own_cls", "need", prefix(depth_cap).alias("prefix"),
-        F.size(prefix(F.lit(1))).alias("width"),
-    )
-    level = prefixed.select(
-        "*", F.posexplode(F.slice("prefix", F.lit(1), F.col("width"))).alias("at", "gram")
-    ).withColumn("sig", F.col("gram"))
-    finished = []
-    for depth in range(1, MAX_DEPTH + 1):
-        level = staging.write(level.drop("gram"), f"blocks-{depth}")
-        sizes = level.groupBy("cls", "sig").agg(F.count(F.lit(1)).alias("n"))
-        sized = level.join(sizes.where("n > 1"), ["cls", "sig"])
-        splittable = (F.col("n") > BLOCK_LIMIT) & (F.col("need") > depth)
-        if depth == MAX_DEPTH:
-            finished.append(sized)
-            break
-        finished.append(sized.where(~splittable))
-        crowded = sizes.join(
-            level.where(F.col("need") > depth).select("cls", "sig").distinct(), ["cls", "sig"]
-        ).where(F.col("n") > BLOCK_LIMIT)
-        if crowded.isEmpty():
-            break
-        level = sized.where(splittable).select(
-            "cls", "node", "form", "own_cls", "need", "prefix", "width", "sig", "at",
-            F.posexplode(F.slice(
-                "prefix", F.lit(1), F.least(F.size("prefix"), F.col("width") + F.lit(depth))
-            )).alias("next", "gram"),
-        ).where("next > at").select(
-            "cls", "node", "form", "own_cls", "need", "prefix", "width",
-            F.concat_ws("|", "sig", "gram").alias("sig"), F.col("next").alias("at"), "gram",
-        )
-    members = finished[0]
-    for more in finished[1:]:
-        members = members.unionByName(more, allowMissingColumns=True)
-    slices = F.ceil(F.col("n") / BLOCK_LIMIT).cast("int")
-    sliced = members.withColumn("slices", slices).withColumn(
-        "slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    )
-    cells = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    return staging.write(
-        cells.select(
-            "cls", "sig", F.least("slice", "other").alias("cell_a"),
-            F.greatest("slice", "other").alias("cell_b"), "node", "form", "own_cls", "prefix", "slice",
-        ),
-        "index",
+    deepest = F.least(F.col("need"), F.lit(MAX_DEPTH))
+    return classed.select(
+        "cls", "node", "form", "members", "own_cls", "need",
+        F.slice("grams", F.lit(1), length(deepest)).alias("prefix"),
+        F.least(F.size("grams"), length(F.lit(1))).alias("width"),
+    ).select(
+        "*", F.posexplode(F.slice("prefix", F.lit(1), F.col("width"))).alias("at", "sig")
     )
 
 
@@ -213,6 +219,7 @@ def _candidates(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
     return a.join(b, F.expr(" AND ".join(f"({c})" for c in conditions))).select(
         F.col("a.node").alias("a"), F.col("b.node").alias("b"),
         F.col("a.form").alias("form_a"), F.col("b.form").alias("form_b"),
+        F.col("a.members").alias("members_a"), F.col("b.members").alias("members_b"),
     )
 
 
@@ -235,7 +242,8 @@ def similar_pairs(
     df: DataFrame, key: str, order_by: str | None = None, method: str = "indel",
     staging: Staging | None = None,
 ) -> DataFrame:
-    """(form_a, form_b, score, members_a, members_b): every pair of distinct forms at or above the cut-off.
+    """(form_a, form_b, score, members_a, members_b): every pair of distinct forms at or above the cut-off,
+    the form of the smaller node first.
 
     ``members_*`` says how many raw values a form stands for; copies are counted, never paired up.
     """
@@ -247,16 +255,8 @@ def similar_pairs(
 
 def _pairs_of(nodes: DataFrame, staging: Staging, method: str) -> DataFrame:
     index = build_index(nodes, staging, method)
-    pairs = _scored(_candidates(index, index, ordered=True), method)
-    ordered = pairs.select(
-        F.least("form_a", "form_b").alias("form_a"), F.greatest("form_a", "form_b").alias("form_b"),
-        "score",
-    )
-    weight = nodes.select("form", "members")
-    return (
-        ordered.join(weight.toDF("form_a", "members_a"), "form_a")
-        .join(weight.toDF("form_b", "members_b"), "form_b")
-        .select("form_a", "form_b", "score", "members_a", "members_b")
+    return _scored(_candidates(index, index, ordered=True), method).select(
+        "form_a", "form_b", "score", "members_a", "members_b"
     )
 
 
