@@ -50,9 +50,8 @@ def inferred_types(spark, folder):
     raw = _customer(spark, folder)
     as_text = raw.select(*[F.col(c).cast("string").alias(c) for c in raw.columns])
     typed = infer_types(as_text)
-    return typed.select("c_custkey", "age", "balance", "email").withColumn(
-        "types", F.lit(",".join(f"{c}:{t}" for c, t in typed.dtypes))
-    )
+    picked = typed.select("c_custkey", "age", "balance", "email")
+    return picked.withColumn("types", F.lit(",".join(f"{c}:{t}" for c, t in picked.dtypes)))
 
 
 @query

@@ -7,7 +7,9 @@ is not a special-use name; at most 254 characters in all. The normal form lower-
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
@@ -33,18 +35,28 @@ def is_valid_email(compact: Column) -> Column:
     )
 
 
-def normal_email(c: Column) -> Column:
-    """The normal form of a valid address, else NULL."""
-    compact = without_whitespace(c)
+def _normal(compact: Column) -> Column:
     normal = F.concat(
         F.substring_index(compact, "@", 1), F.lit("@"), F.lower(F.substring_index(compact, "@", -1))
     )
     return F.when(is_valid_email(compact), normal)
 
 
-def email_status(c: Column) -> Column:
-    """``valid`` / ``corrected`` / ``invalid``; NULL for blank cells, which the cleaner leaves alone."""
-    normal = normal_email(c)
+def with_normal_emails(df: DataFrame, targets: Mapping[str, str]) -> DataFrame:
+    """Add ``{new column: source column}`` columns with the normal form of valid addresses, else NULL."""
+    helpers = {new: f"__compact_{i}" for i, new in enumerate(targets)}
+    compact = df.select(
+        "*", *[without_whitespace(F.col(f"`{src}`")).alias(helpers[new]) for new, src in targets.items()]
+    )
+    return compact.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[_normal(F.col(h)).alias(new) for new, h in helpers.items()],
+    )
+
+
+def email_status(c: Column, normal: Column) -> Column:
+    """``valid`` / ``corrected`` / ``invalid`` for a cell and its normal form; NULL for blank cells, which
+    the cleaner leaves alone."""
     return (
         F.when(is_blank(c), F.lit(None).cast("string"))
         .when(normal.isNull(), "invalid")

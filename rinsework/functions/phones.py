@@ -6,10 +6,9 @@ Python. Callers extend it by passing their own rules.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
@@ -27,39 +26,51 @@ def _digits(c: Column) -> Column:
     return F.when(core.rlike(_DIALABLE), F.regexp_replace(core, r"[^+\d]", ""))
 
 
-def e164(
-    c: Column,
+def _known_number(plans: Sequence[PhoneRule]) -> str:
+    return r"^\+(" + "|".join(p.calling_code + p.national for p in plans) + ")$"
+
+
+def _from_dialled(dialled: Column, plans: Sequence[PhoneRule], home: PhoneRule) -> Column:
+    known = _known_number(plans)
+    abroad = F.when(dialled.rlike(known), dialled)
+    by_trunk: dict[str, list[str]] = {}
+    for p in plans:
+        by_trunk.setdefault(p.trunk, []).append(p.calling_code)
+    for trunk, codes in by_trunk.items():
+        if trunk:
+            bare = F.regexp_replace(dialled, rf"^\+({'|'.join(codes)}){trunk}", "+$1")
+            abroad = abroad.when(bare.rlike(known), bare)
+    national = f"^({home.trunk})?({home.national})$"
+    return (
+        F.when(dialled.startswith("+"), abroad)
+        .when(dialled.rlike(national), F.regexp_replace(dialled, national, f"+{home.calling_code}$2"))
+        .when(dialled.rlike(f"^{home.calling_code}{home.national}$"), F.concat(F.lit("+"), dialled))
+    )
+
+
+def _dialled(c: Column) -> Column:
+    return F.regexp_replace(_digits(c), r"^00", "+")
+
+
+def with_e164(
+    df: DataFrame,
+    targets: Mapping[str, str],
     plans: Sequence[PhoneRule] = rules.PHONE_RULES,
     default_country: str = rules.DEFAULT_COUNTRY,
-) -> Column:
-    """The E.164 form of a valid number, else NULL."""
+) -> DataFrame:
+    """Add ``{new column: source column}`` E.164 columns, NULL for what is no valid number.
+
+    The digits of a cell are extracted once, in a projection of their own.
+    """
     home = next(p for p in plans if p.country == default_country)
-    dialled = F.regexp_replace(_digits(c), r"^00", "+")
-
-    def abroad(otherwise: Column, plan: PhoneRule) -> Column:
-        code = rf"^\+{plan.calling_code}"
-        found = F.when(dialled.rlike(code + plan.national + "$"), dialled)
-        if plan.trunk:
-            found = found.when(
-                dialled.rlike(code + plan.trunk + plan.national + "$"),
-                F.regexp_replace(dialled, code + plan.trunk, f"+{plan.calling_code}"),
-            )
-        return found.otherwise(otherwise)
-
-    international = reduce(
-        abroad, sorted(plans, key=lambda p: len(p.calling_code)), F.lit(None).cast("string")
+    helpers = {new: f"__dialled_{i}" for i, new in enumerate(targets)}
+    dialled = df.select(
+        "*", *[_dialled(F.col(f"`{src}`")).alias(helpers[new]) for new, src in targets.items()]
     )
-    national = F.regexp_replace(dialled, f"^{home.trunk}", "") if home.trunk else dialled
-    domestic = (
-        F.when(dialled.rlike(f"^{home.national}$"), dialled)
-        .when(national.rlike(f"^{home.national}$"), national)
-        .when(
-            dialled.rlike(f"^{home.calling_code}{home.national}$"),
-            F.substring(dialled, len(home.calling_code) + 1, 20),
-        )
+    return dialled.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        *[_from_dialled(F.col(h), plans, home).alias(new) for new, h in helpers.items()],
     )
-    domestic = F.concat(F.lit(f"+{home.calling_code}"), domestic)
-    return F.when(dialled.startswith("+"), international).otherwise(domestic)
 
 
 def phone_status(c: Column, number: Column) -> Column:

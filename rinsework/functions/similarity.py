@@ -171,14 +171,12 @@ def nearest_weighted(names: Sequence[str], cutoff: float):
 
 def nearest_levenshtein(c: Column, names: Sequence[str]) -> Column:
     """struct(score, match) of the best name by Levenshtein score; ties go to the earlier name."""
-    ranked = F.array(*[
-        F.struct(
-            levenshtein_score(c, F.lit(name)).alias("score"),
-            F.lit(-position).alias("order"),
-            F.lit(name).alias("match"),
-        )
-        for position, name in enumerate(names)
-    ])
+    ranked = F.transform(
+        F.array(*map(F.lit, names)),
+        lambda name, at: F.struct(
+            levenshtein_score(c, name).alias("score"), (-at).alias("order"), name.alias("match")
+        ),
+    )
     return F.array_max(ranked)
 
 

@@ -31,11 +31,11 @@ def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return df.select(*[col(c) for c in df.columns if c not in doomed])
 
 
-def convert_types(df: DataFrame, semantics: Mapping[str, str]) -> tuple[DataFrame, dict[str, str]]:
-    """Turn numeric and boolean text columns into numbers and booleans where enough of them convert.
+def type_gates(df: DataFrame, semantics: Mapping[str, str]) -> dict[str, tuple[Column, str]]:
+    """Which text columns become numbers or booleans: ``{column: (converted cell, new type)}``.
 
-    A numeric column needs half of all its rows, a boolean one four fifths, NULLs counting against it;
-    cells that do not convert become NULL. All gates share one pass. Returns the new types by column.
+    A numeric column needs half of all its rows to convert, a boolean one four fifths, NULLs counting
+    against it. All gates share one pass.
     """
     kinds = classes(df)
     tries: dict[str, tuple[Column, float, str]] = {}
@@ -47,17 +47,27 @@ def convert_types(df: DataFrame, semantics: Mapping[str, str]) -> tuple[DataFram
         elif semantic == "boolean":
             tries[c] = (numbers.boolean_string(col(c)), rules.BOOLEAN_GATE, "boolean")
     if not tries:
-        return df, {}
+        return {}
     row = df.agg(
         F.count(F.lit(1)).alias("rows"),
         *[F.count(value).alias(f"n{i}") for i, (value, _, _) in enumerate(tries.values())],
     ).first()
-    passed = {
+    return {
         c: (value, new)
         for i, (c, (value, gate, new)) in enumerate(tries.items())
         if row[f"n{i}"] / max(row["rows"], 1) >= gate
     }
-    return _replace(df, {c: v for c, (v, _) in passed.items()}, {}), {c: t for c, (_, t) in passed.items()}
+
+
+def apply_types(df: DataFrame, gates: Mapping[str, tuple[Column, str]]) -> DataFrame:
+    """Convert the columns that passed; cells that do not convert become NULL."""
+    return _replace(df, {c: value for c, (value, _) in gates.items()}, {})
+
+
+def convert_types(df: DataFrame, semantics: Mapping[str, str]) -> tuple[DataFrame, dict[str, str]]:
+    """Decide and apply the type conversions; returns the table and the new types by column."""
+    gates = type_gates(df, semantics)
+    return apply_types(df, gates), {c: new for c, (_, new) in gates.items()}
 
 
 def standardize_dates(
@@ -97,15 +107,14 @@ def clean_emails(df: DataFrame, column: str, mode: str = "flag", status: str | N
     invalid ones. Blank cells are left alone."""
     if mode not in EMAIL_MODES:
         raise ValueError(f"unknown e-mail mode: {mode!r}")
-    verdict = "__email_status"
-    judged = df.select(
-        "*", emails.email_status(col(column)).alias(verdict),
-        emails.normal_email(col(column)).alias("__email"),
-    )
+    verdict, normal = "__email_status", F.col("__email")
+    judged = emails.with_normal_emails(df, {"__email": column})
+    judged = judged.select("*", emails.email_status(col(column), normal).alias(verdict))
     if mode == "remove":
         judged = judged.where(F.coalesce(F.col(verdict) != "invalid", F.lit(True)))
-    cleaned = F.when(F.col(verdict).isin("valid", "corrected"), F.col("__email")).otherwise(
-        F.when(F.col(verdict).isNull() | F.lit(mode != "nullify"), col(column))
+    kept = F.lit(None).cast("string") if mode == "nullify" else col(column)
+    cleaned = (
+        F.when(F.col(verdict).isNull(), col(column)).when(normal.isNotNull(), normal).otherwise(kept)
     )
     return judged.select(
         *[cleaned.alias(c) if c == column else col(c) for c in df.columns],
@@ -120,7 +129,7 @@ def clean_phones(
 ) -> DataFrame:
     """Bring phone numbers to E.164; invalid ones become NULL (or stay, with ``keep_invalid``). Blank
     cells are left alone."""
-    wide = df.select("*", phones.e164(col(column), plans, default_country).alias("__e164"))
+    wide = phones.with_e164(df, {"__e164": column}, plans, default_country)
     number = F.col("__e164")
     verdict = phones.phone_status(col(column), number)
     kept = F.coalesce(number, col(column)) if keep_invalid else number

@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -230,9 +231,66 @@ def _scored(candidates: DataFrame, method: str) -> DataFrame:
     )
 
 
-def _check(method: str) -> None:
-    if method not in METHODS:
-        raise ValueError(f"unknown similarity method {method!r}; choose from {METHODS}")
+class Matcher:
+    """The forms of one column with their index; built once, used for pairs, counts and deduplication."""
+
+    def __init__(
+        self, df: DataFrame, key: str, order_by: str | None = None, method: str = "indel",
+        first_values: int | None = None, staging: Staging | None = None,
+    ):
+        if method not in METHODS:
+            raise ValueError(f"unknown similarity method {method!r}; choose from {METHODS}")
+        self.key, self.order_by, self.method, self.first_values = key, order_by, method, first_values
+        self.staging = staging or Staging(df.sparkSession)
+        self.nodes = self.staging.write(forms(df, key, order_by, first_values), "forms")
+
+    @cached_property
+    def index(self) -> DataFrame:
+        return build_index(self.nodes, self.staging, self.method)
+
+    @cached_property
+    def is_small(self) -> bool:
+        return self.nodes.count() <= FIRST_BATCH
+
+    @cached_property
+    def pairs(self) -> DataFrame:
+        """(a, b, form_a, form_b, members_a, members_b, score) of all pairs at or above the cut-off, a < b.
+
+        Few forms have a bounded number of pairs, which are kept for reuse; many are only ever streamed.
+        """
+        found = _scored(_candidates(self.index, self.index, ordered=True), self.method)
+        return self.staging.write(found, "pairs") if self.is_small else found
+
+    def pair_count(self) -> int:
+        """Pairs of raw values that differ ignoring case and outer blanks, yet score 85 or more.
+
+        Pairs that share a form are counted by arithmetic, not enumerated.
+        """
+        within = self.nodes.agg(
+            F.coalesce(F.sum(_pairs_among("members") - F.col("same")), F.lit(0)).alias("n")
+        )
+        across = self.pairs.agg(
+            F.coalesce(F.sum(F.col("members_a") * F.col("members_b")), F.lit(0)).alias("n")
+        )
+        return int(within.unionByName(across).agg(F.sum("n")).first()[0])
+
+    def kept(self) -> DataFrame:
+        """(node) of the forms that survive greedy deduplication in ascending node order."""
+        if self.is_small:
+            return self.staging.write(_decide(self.nodes.select("node"), self.pairs, self.staging), "kept")
+        return kept_forms(self.nodes, self.index, self.staging, self.method)
+
+    def drop_similar(self, df: DataFrame) -> DataFrame:
+        """Drop the rows whose key resembles an earlier kept key; ``df`` has the rows the forms came from."""
+        if self.order_by is None or self.first_values is not None:
+            raise ValueError("deduplication needs a row order and all values")
+        kept = self.kept().select(F.col("node").alias("__node"))
+        text = strip(col(self.key).cast("string"))
+        compared = F.coalesce(F.length(text) >= rules.FUZZY_MIN_CHARS, F.lit(False))
+        survivors = df.where(compared).join(
+            kept, col(self.order_by).cast("long") == F.col("__node"), "left_semi"
+        )
+        return survivors.unionByName(df.where(~compared))
 
 
 # --- similarity self-join ------------------------------------------------------------------------
@@ -247,37 +305,16 @@ def similar_pairs(
 
     ``members_*`` says how many raw values a form stands for; copies are counted, never paired up.
     """
-    _check(method)
-    staging = staging or Staging(df.sparkSession)
-    nodes = staging.write(forms(df, key, order_by), "forms")
-    return _pairs_of(nodes, staging, method)
-
-
-def _pairs_of(nodes: DataFrame, staging: Staging, method: str) -> DataFrame:
-    index = build_index(nodes, staging, method)
-    return _scored(_candidates(index, index, ordered=True), method).select(
-        "form_a", "form_b", "score", "members_a", "members_b"
-    )
+    matcher = Matcher(df, key, order_by, method, staging=staging)
+    return matcher.pairs.select("form_a", "form_b", "score", "members_a", "members_b")
 
 
 def fuzzy_pair_count(
     df: DataFrame, key: str, order_by: str | None = None, method: str = "indel",
     first_values: int | None = None, staging: Staging | None = None,
 ) -> int:
-    """Pairs of distinct values that differ ignoring case and outer blanks, yet score 85 or more.
-
-    Pairs that share a form are counted by arithmetic, not enumerated.
-    """
-    _check(method)
-    staging = staging or Staging(df.sparkSession)
-    nodes = staging.write(forms(df, key, order_by, first_values), "forms")
-    within = nodes.agg(
-        F.coalesce(F.sum(_pairs_among("members") - F.col("same")), F.lit(0)).alias("n")
-    ).first()["n"]
-    across = _pairs_of(nodes, staging, method).agg(
-        F.coalesce(F.sum(F.col("members_a") * F.col("members_b")), F.lit(0)).alias("n")
-    ).first()["n"]
-    return int(within + across)
+    """Pairs of distinct values that differ ignoring case and outer blanks, yet score 85 or more."""
+    return Matcher(df, key, order_by, method, first_values, staging).pair_count()
 
 
 # --- fuzzy deduplication -------------------------------------------------------------------------
@@ -327,14 +364,13 @@ def _greedy_drops(edges: Iterable[tuple[int, int]]) -> set[int]:
     return dropped
 
 
-def kept_forms(nodes: DataFrame, staging: Staging, method: str = "indel") -> DataFrame:
+def kept_forms(nodes: DataFrame, index: DataFrame, staging: Staging, method: str) -> DataFrame:
     """The forms that survive greedy deduplication in ascending node order.
 
     Works through the forms in batches that grow fourfold: decide a batch, then drop every later form that is
     similar to a kept one. Dense clusters shrink to their leaders early and their inner pairs are never
     enumerated; sparse data needs only a logarithmic number of rounds.
     """
-    index = build_index(nodes, staging, method)
     undecided = nodes.select("node")
     remaining = undecided.count()
     size, kept_parts = FIRST_BATCH, []
@@ -378,14 +414,4 @@ def fuzzy_dedup(
     Rows are taken in ascending ``order_by``, a unique integer column. Rows whose key is missing or shorter
     than three characters always stay. Every row of the table takes part.
     """
-    _check(method)
-    staging = staging or Staging(df.sparkSession)
-    nodes = staging.write(forms(df, key, order_by), "forms")
-    kept = kept_forms(nodes, staging, method)
-    text = strip(col(key).cast("string"))
-    compared = F.coalesce(F.length(text) >= rules.FUZZY_MIN_CHARS, F.lit(False))
-    survivors = df.where(compared).join(
-        kept.select(F.col("node").alias("__node")), col(order_by).cast("long") == F.col("__node"),
-        "left_semi",
-    )
-    return survivors.unionByName(df.where(~compared))
+    return Matcher(df, key, order_by, method, staging=staging).drop_similar(df)

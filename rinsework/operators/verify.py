@@ -59,24 +59,26 @@ def post_clean_verify(
         duplicates = duplicate_count(df).first()["duplicate_count"]
     names = data_columns(df)
     text = [c for c in names if df.schema[c].dataType.typeName() == "string"]
-    wrong = {"email": [], "date": [], "phone": []}
-    for c in text:
-        value = col(c)
-        if semantics.get(c) == "email":
-            normal = emails.normal_email(value)
-            wrong["email"].append(F.count_if(value.isNotNull() & normal.isNull()))
-        elif semantics.get(c) == "date":
-            wrong["date"].append(F.count_if(value.isNotNull() & ~dates.is_strict_date(strip(value))))
-        elif semantics.get(c) == "phone":
-            wrong["phone"].append(F.count_if(value.isNotNull() & phones.e164(value).isNull()))
+    of_type = {t: [c for c in text if semantics.get(c) == t] for t in ("email", "date", "phone")}
+    judged = emails.with_normal_emails(df, {f"__email_{c}": c for c in of_type["email"]})
+    judged = phones.with_e164(judged, {f"__phone_{c}": c for c in of_type["phone"]})
+
+    def lost(kind: str) -> list[Column]:
+        return [
+            F.count_if(col(c).isNotNull() & col(f"__{kind}_{c}").isNull()) for c in of_type[kind]
+        ]
+
+    undated = [
+        F.count_if(col(c).isNotNull() & ~dates.is_strict_date(strip(col(c)))) for c in of_type["date"]
+    ]
 
     def total(counts: list) -> Column:
         return sum(counts, F.lit(0)).cast("long")
 
-    row = df.agg(
-        total(wrong["email"]).alias("emails"),
-        total(wrong["date"]).alias("dates"),
-        total(wrong["phone"]).alias("phones"),
+    row = judged.agg(
+        total(lost("email")).alias("emails"),
+        total(undated).alias("dates"),
+        total(lost("phone")).alias("phones"),
         total([F.count_if(b.beyond()) for b in bounds]).alias("outliers"),
         total([F.count_if(is_missing(df, c)) for c in names]).alias("nulls"),
     ).first()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.fuzzy import fuzzy_pair_count
+from ..operators.fuzzy import Matcher
 from ..operators.outliers import Bounds, bounds_of_stats
 from ..operators.profile import ROW_ID, TableStats, collect_stats, data_columns, duplicate_count
 from ..operators.report import EmailAudit, audit_cells, column_status, diagnostics_frame
@@ -28,6 +28,7 @@ class Diagnosis:
     audit: Audit
     email_audits: dict[str, EmailAudit]
     bounds: list[Bounds]
+    matcher: Matcher | None = None
 
     @property
     def quality_score(self) -> int:
@@ -60,12 +61,14 @@ def diagnose(
     fuzzy_values: int | None = None,
     fuzzy_method: str = "indel",
     exact: bool = True,
+    duplicates: int | None = None,
     staging: Staging | None = None,
 ) -> Diagnosis:
     """Profile and audit a table.
 
     ``fuzzy=False`` skips the count of near-duplicate values, ``fuzzy_values`` restricts it to the first so
-    many distinct values; ``exact=False`` takes distinct counts and quantiles from sketches.
+    many distinct values; ``exact=False`` takes distinct counts and quantiles from sketches. A known number of
+    ``duplicates`` saves counting them.
     """
     spark = df.sparkSession
     staging = staging or Staging(spark)
@@ -78,18 +81,19 @@ def diagnose(
     bounds = bounds_of_stats(stats)
     email_audits, outliers = audit_cells(df, email_columns, bounds)
     key = fuzzy_key(stats, semantics)
-    near = 0
+    matcher = None
     if fuzzy and key:
-        near = fuzzy_pair_count(
-            df, key, ROW_ID if ROW_ID in df.columns else None, fuzzy_method, fuzzy_values, staging
-        )
+        order = ROW_ID if ROW_ID in df.columns else None
+        matcher = Matcher(df, key, order, fuzzy_method, fuzzy_values, staging)
+    if duplicates is None:
+        duplicates = duplicate_count(df).first()["duplicate_count"] if stats.columns else 0
     audit = Audit(
         rows=stats.rows,
         cols=len(data_columns(df)),
         null_count=stats.null_count,
         null_density=stats.null_density,
-        duplicate_count=duplicate_count(df).first()["duplicate_count"] if stats.columns else 0,
-        fuzzy_duplicate_count=near,
+        duplicate_count=duplicates,
+        fuzzy_duplicate_count=matcher.pair_count() if matcher else 0,
         fuzzy_key_col=key,
         outlier_count=sum(outliers.values()),
         email_cols=of_type.get("email", []),
@@ -103,4 +107,4 @@ def diagnose(
         ],
         total_email_issues=sum(e.invalid for e in email_audits.values()),
     )
-    return Diagnosis(spark, stats, semantics, audit, email_audits, bounds)
+    return Diagnosis(spark, stats, semantics, audit, email_audits, bounds, matcher)

@@ -93,16 +93,24 @@ def optimize(
     metrics = dict.fromkeys([*report.METRICS, *report.MORE_METRICS], 0)
     steps: list[str] = []
 
+    # one shuffle of whole rows serves the duplicate count and the deduplication
     df = staging.write(dedup.with_row_id(df, order_by), "input")
+    rows = df.count()
+    distinct = staging.write(dedup.drop_exact_duplicates(df), "distinct")
+    left = distinct.count()
     before = diagnose(
-        df, semantic_overrides, fuzzy_audit, fuzzy_values, fuzzy_method, staging=staging
+        df, semantic_overrides, fuzzy_audit, fuzzy_values, fuzzy_method, duplicates=rows - left,
+        staging=staging,
     )
     initial = before.semantics
-    metrics["rows_before"] = before.stats.rows
+    metrics["rows_before"] = rows
 
     # types, columns to drop
     gone = [c for c in df.columns if c in choice.dropped and c != ROW_ID]
-    df, converted = columns.convert_types(df, {c: s for c, s in initial.items() if c not in gone})
+    # the gates look at all rows, the conversion then applies to the distinct ones
+    gates = columns.type_gates(df, {c: s for c, s in initial.items() if c not in gone})
+    converted = {c: new for c, (_, new) in gates.items()}
+    df = columns.apply_types(distinct, gates)
     for c, new in converted.items():
         steps.append(f"Converted text column '{c}' to {'numeric' if new == 'double' else new} values.")
     metrics["types_converted"] = len(converted)
@@ -112,12 +120,14 @@ def optimize(
         raise ValueError("every column is dropped")
     choice.check_fill(classes(df))
 
-    # deduplication
-    df = staging.write(dedup.drop_exact_duplicates(df), "distinct")
-    rows = df.count()
-    metrics["duplicates_dropped"] = before.stats.rows - rows
-    if metrics["duplicates_dropped"]:
-        steps.append(f"Removed {metrics['duplicates_dropped']} exact duplicate row(s).")
+    # deduplication; dropped and converted columns may have made more rows equal
+    if gone or converted:
+        df = staging.write(dedup.drop_exact_duplicates(df), "typed")
+        left = df.count()
+    metrics["duplicates_dropped"] = rows - left
+    if left < rows:
+        steps.append(f"Removed {rows - left} exact duplicate row(s).")
+    rows = left
     kinds = classes(df)
     key = next(
         (
@@ -127,7 +137,10 @@ def optimize(
         None,
     )
     if fuzzy_dedup and key:
-        df = staging.write(fuzzy.fuzzy_dedup(df, key, ROW_ID, fuzzy_method, staging), "fuzzy")
+        matcher = before.matcher
+        if matcher is None or matcher.key != key or matcher.first_values is not None:
+            matcher = fuzzy.Matcher(df, key, ROW_ID, fuzzy_method, staging=staging)
+        df = staging.write(matcher.drop_similar(df), "fuzzy")
         left = df.count()
         metrics["fuzzy_duplicates_dropped"] = rows - left
         if left < rows:
@@ -256,7 +269,7 @@ def optimize(
 
     # verification of the finished table
     after = diagnose(
-        df, semantic_overrides, fuzzy_audit, fuzzy_values, fuzzy_method, staging=staging
+        df, semantic_overrides, fuzzy_audit, fuzzy_values, fuzzy_method, duplicates=0, staging=staging
     )
     after.audit.dates_rejected = metrics["dates_rejected"]
     verification = post_clean_verify(df, after.semantics, after.bounds, after.audit.duplicate_count)
