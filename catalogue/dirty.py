@@ -10,6 +10,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from rinsework.session import spread
+
 FIRST_NAMES = (
     "Rahul,Priya,Amit,Sunita,Vikram,Anita,Deepak,Kavita,Sanjay,Meera,Arjun,Pooja,Nikhil,Asha,Rohan,Divya,"
     "John,Mary,Peter,Susan,Michael,Laura,David,Emma,Robert,Grace,Thomas,Helen,Walter,Ingrid,Carlos,Lucia,"
@@ -154,15 +156,16 @@ _TABLES = (
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+    return spread(spark.read.parquet(os.path.join(folder, f"{name}.parquet")))
 
 
-def view(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A dirty view as a DataFrame."""
+def view(spark: SparkSession, folder: str, name: str, in_order: bool = False) -> DataFrame:
+    """A dirty view as a DataFrame; ``in_order`` keeps the rows in file order."""
     for base in _TABLES:
         if f"FROM {base}" in VIEWS[name]:
-            table(spark, folder, base).createOrReplaceTempView(base)
-    return spark.sql(VIEWS[name])
+            spark.read.parquet(os.path.join(folder, f"{base}.parquet")).createOrReplaceTempView(base)
+    rows = spark.sql(VIEWS[name])
+    return rows if in_order else spread(rows)
 
 
 def with_views(sql: str, *names: str) -> str:

@@ -142,7 +142,7 @@ def _bounds(column: str, source: str) -> str:
 
 def _outlier_row(column: str, source: str) -> str:
     return (
-        f"SELECT '{column}' AS \"column\", round(low, 4) AS low, round(high, 4) AS high, "
+        f"SELECT '{column}' AS \"column\", round(low, 6) AS low, round(high, 6) AS high, "
         f"(SELECT count(*) FROM {source} WHERE {column} < low OR {column} > high) AS outliers "
         f"FROM ({_bounds(column, source)})"
     )

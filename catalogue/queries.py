@@ -78,7 +78,9 @@ def column_profile(spark, folder):
 @query
 def skewness_profile(spark, folder):
     lineitem = table(spark, folder, "lineitem")
-    stats = profile.collect_stats(lineitem.select(*profile.numeric_columns(lineitem)))
+    stats = profile.collect_stats(
+        lineitem.select(*profile.numeric_columns(lineitem)), frequencies=False, quantiles=False
+    )
     return spark.createDataFrame(
         [(s.name, round(s.skewness, 2), impute.recommend(s, s.kind)) for s in stats.columns.values()],
         "column string, skewness double, recommended string",
@@ -124,7 +126,7 @@ def exact_dedup(spark, folder):
 
 
 def _rounded_audit(frame: DataFrame) -> DataFrame:
-    return frame.select("column", F.round("low", 4).alias("low"), F.round("high", 4).alias("high"), "outliers")
+    return frame.select("column", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "outliers")
 
 
 @query
@@ -379,9 +381,9 @@ def semantic_rates(spark, folder):
 
 @query
 def semantic_types(spark, folder):
-    found = semantics.detect_semantics(_customer(spark, folder)) | semantics.detect_semantics(
-        _orders(spark, folder)
-    )
+    found = {}
+    for name in ("dirty_customer", "dirty_orders"):
+        found |= semantics.detect_semantics(view(spark, folder, name, in_order=True))
     return spark.createDataFrame(list(found.items()), "column string, semantic string")
 
 

@@ -61,11 +61,10 @@ def correct_names(
 
     ``changed_flag`` names an extra boolean column that marks the corrected cells.
     """
-    fixes = staging.write(
-        nearest_names(df, column, names, cutoff, method)
-        .where("match <> value")
-        .select(F.col("value").alias("__value"), F.col("match").alias("__match")),
-        "corrections",
+    # staged before it is filtered: a filter on the match would be pushed below the distinct
+    nearest = staging.write(nearest_names(df, column, names, cutoff, method), "nearest")
+    fixes = nearest.where("match <> value").select(
+        F.col("value").alias("__value"), F.col("match").alias("__match")
     )
     if fixes.count() <= BROADCAST_ROWS:
         fixes = F.broadcast(fixes)

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .profile import ColumnStats, TableStats, col, collect_stats, is_missing
+from .profile import (
+    ColumnStats, TableStats, add_modes, add_quartiles, col, collect_stats, is_missing,
+)
 
 STRATEGIES = ("Auto", "Skip", "Drop", "Median", "Mean", "Mode")
 CUSTOM = "Custom:"
@@ -47,7 +49,7 @@ def fill_value(stats: ColumnStats, strategy: str) -> Any:
     if strategy == "Mean":
         return None if stats.mean is None else round(stats.mean, 4)
     if strategy == "Mode":
-        return stats.mode
+        return float(stats.mode) if stats.mode and stats.kind in ("integer", "float") else stats.mode
     return None
 
 
@@ -73,24 +75,29 @@ def impute(
 ) -> tuple[DataFrame, dict[str, tuple[str, Any, int]]]:
     """Fill the named columns; returns the table and ``{column: (strategy, value, cells filled)}``.
 
-    ``Auto`` follows the recommendation for the column's semantic type. Columns without missing cells
-    are left as they are.
+    ``Auto`` follows the recommendation for the column's semantic type. One pass finds missing cells, means and
+    skewness; medians and modes are computed only for the columns that are to be filled with them.
     """
     if stats is None:
-        kept = df.select(*[col(c) for c in df.columns if c in strategies])
-        stats = collect_stats(kept)
-    applied: dict[str, tuple[str, Any, int]] = {}
-    changed: dict[str, Column] = {}
+        stats = collect_stats(
+            df.select(*[col(c) for c in df.columns if c in strategies]), frequencies=False, quantiles=False
+        )
+    chosen: dict[str, str] = {}
     for name, strategy in strategies.items():
         s = stats.columns[name]
         check_strategy(name, s.kind, strategy)
-        if s.nulls == 0 or s.kind == "other":
-            continue
-        if strategy == "Auto":
-            strategy = recommend(s, (semantics or {}).get(name, "text"))
+        if s.nulls and s.kind != "other":
+            auto = strategy == "Auto"
+            chosen[name] = recommend(s, (semantics or {}).get(name, "text")) if auto else strategy
+    add_quartiles(df, stats, [c for c, k in chosen.items() if k == "Median" and stats.columns[c].median is None])
+    add_modes(df, stats, [c for c, k in chosen.items() if k == "Mode" and stats.columns[c].mode is None])
+
+    applied: dict[str, tuple[str, Any, int]] = {}
+    changed: dict[str, Column] = {}
+    for name, strategy in chosen.items():
+        s = stats.columns[name]
         value = fill_value(s, strategy)
-        if value is None:
-            continue
-        changed[name] = filled(df, name, value)
-        applied[name] = (strategy, value, s.nulls)
+        if value is not None:
+            changed[name] = filled(df, name, value)
+            applied[name] = (strategy, value, s.nulls)
     return df.select(*[changed.get(c, col(c)).alias(c) for c in df.columns]), applied

@@ -184,11 +184,14 @@ class TableStats:
         return round(self.null_count / cells * 100, 2) if cells else 0.0
 
 
-def collect_stats(df: DataFrame, exact: bool = True) -> TableStats:
+def collect_stats(
+    df: DataFrame, exact: bool = True, frequencies: bool = True, quantiles: bool = True
+) -> TableStats:
     """Profile every column: one moments pass, one value-frequency pass, one quantile pass.
 
-    ``exact=False`` replaces distinct counts and quantiles by sketches and skips the shuffle for
-    columns other than the non-numeric ones, whose mode needs it.
+    ``frequencies=False`` leaves out distinct counts and modes, ``quantiles=False`` the quartiles.
+    ``exact=False`` replaces distinct counts and quartiles by sketches that ride on the first pass, so that
+    only the modes of non-numeric columns need a shuffle.
     """
     kinds = classes(df)
     measured = [c for c, k in kinds.items() if k in ("integer", "float")]
@@ -199,46 +202,55 @@ def collect_stats(df: DataFrame, exact: bool = True) -> TableStats:
             x = numeric(c)
             moments += [
                 F.skewness(x).alias(f"skew{i}"), F.avg(x).alias(f"mean{i}"),
-                F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"),
-                F.stddev_samp(x).alias(f"std{i}"), F.approx_count_distinct(x).alias(f"near{i}"),
+                F.min(x).alias(f"min{i}"), F.max(x).alias(f"max{i}"), F.stddev_samp(x).alias(f"std{i}"),
                 F.count_if((x < rules.AGE_RANGE[0]) | (x > rules.AGE_RANGE[1])).alias(f"age{i}"),
             ]
-            if not exact:
+            if quantiles and not exact:
                 moments.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}"))
-        elif not exact and kinds[c] != "other":
+            if (quantiles and exact) or (frequencies and not exact):
+                moments.append(F.approx_count_distinct(x).alias(f"near{i}"))
+        elif frequencies and not exact and kinds[c] != "other":
             moments.append(F.approx_count_distinct(col(c)).alias(f"near{i}"))
     row = df.agg(*moments).first().asDict()
 
     stats = TableStats(rows=row["rows"])
-    sizes: dict[str, tuple[int, int]] = {}
     for i, (c, kind) in enumerate(kinds.items()):
         s = ColumnStats(c, df.schema[c].dataType.simpleString(), kind, row["rows"], row[f"null{i}"])
         if c in measured and s.values:
             s.mean, s.low, s.high = row[f"mean{i}"], row[f"min{i}"], row[f"max{i}"]
             s.std, s.skewness, s.bad_ages = row[f"std{i}"], row[f"skew{i}"], row[f"age{i}"]
-            if not exact:
+            if quantiles and not exact:
                 s.q1, s.median, s.q3 = row[f"q{i}"]
-        if c in measured:
-            sizes[c] = (s.values, row[f"near{i}"])
-        if not exact:
-            s.unique = row.get(f"near{i}", 0)
+        s.unique = row.get(f"near{i}", 0)
         stats.columns[c] = s
 
-    counted = [c for c, k in kinds.items() if k != "other" and (exact or c not in measured)]
-    if counted and stats.rows:
-        for found in modes(df, counted).collect():
-            s = stats.columns[found["column"]]
-            s.unique = found["unique_count"]
-            if s.kind not in ("integer", "float"):
-                s.mode = found["mode"]
-    if exact:
-        quartiles = exact_quantiles(df, {c: (0.25, 0.5, 0.75) for c in measured}, sizes)
-        for c, q in quartiles.items():
-            s = stats.columns[c]
-            s.q1, s.median, s.q3 = q[0.25], q[0.5], q[0.75]
+    if frequencies:
+        add_modes(df, stats, [c for c, k in kinds.items() if k != "other" and (exact or c not in measured)])
+    if quantiles and exact:
+        add_quartiles(df, stats, measured)
     return stats
 
 
+def add_modes(df: DataFrame, stats: TableStats, columns: Sequence[str]) -> None:
+    """Complete the stats of these columns with exact distinct counts and modes."""
+    if not columns or not stats.rows:
+        return
+    for found in modes(df, columns).collect():
+        s = stats.columns[found["column"]]
+        s.unique, s.mode = found["unique_count"], found["mode"]
+
+
+def add_quartiles(df: DataFrame, stats: TableStats, columns: Sequence[str]) -> None:
+    """Complete the stats of these numeric columns with exact quartiles."""
+    sizes = {c: (stats.columns[c].values, stats.columns[c].unique) for c in columns}
+    known = all(unique for values, unique in sizes.values() if values)
+    for c, q in exact_quantiles(
+        df, {c: (0.25, 0.5, 0.75) for c in columns}, sizes if known else None
+    ).items():
+        s = stats.columns[c]
+        s.q1, s.median, s.q3 = q[0.25], q[0.5], q[0.75]
+
+
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Long form, one row per column: nulls, sparsity, uniques and numeric statistics (4 dp)."""
     spark = df.sparkSession

@@ -123,19 +123,7 @@ def _narrow(df: DataFrame, ranks: list[_Rank], map_limit: int) -> None:
         wide = [r for r in ranks if r.distinct > limit]
         if not wide:
             return
-        proposals = df.agg(*[
-            F.percentile_approx(
-                F.when(r.contains(numeric(r.column)), numeric(r.column)),
-                [max(0.0, (r.first - r.below) / r.inside - r.margin),
-                 min(1.0, (r.last + 1 - r.below) / r.inside + r.margin)],
-                _ACCURACY,
-            ).alias(f"b{i}")
-            for i, r in enumerate(wide)
-        ]).first()
-        trials = [
-            _Rank(r.column, r.probability, r.position, *proposals[f"b{i}"])
-            for i, r in enumerate(wide)
-        ]
+        trials = _propose(df, wide)
         counts = df.agg(*[
             expression
             for i, t in enumerate(trials)
@@ -161,6 +149,33 @@ def _narrow(df: DataFrame, ranks: list[_Rank], map_limit: int) -> None:
     raise RuntimeError("quantile intervals did not converge")
 
 
+def _propose(df: DataFrame, ranks: list[_Rank]) -> list[_Rank]:
+    """A narrower interval per rank; ranks that still share an interval share one sketch."""
+    shared: dict[tuple, list[_Rank]] = {}
+    for r in ranks:
+        shared.setdefault((r.column, r.low, r.high), []).append(r)
+
+    def edges(r: _Rank) -> tuple[float, float]:
+        start = (r.first - r.below) / r.inside - r.margin
+        end = (r.last + 1 - r.below) / r.inside + r.margin
+        return max(0.0, start), min(1.0, end)
+
+    row = df.agg(*[
+        F.percentile_approx(
+            F.when(group[0].contains(numeric(group[0].column)), numeric(group[0].column)),
+            [p for r in group for p in edges(r)],
+            _ACCURACY,
+        ).alias(f"b{i}")
+        for i, group in enumerate(shared.values())
+    ]).first()
+    proposals = {
+        id(r): row[f"b{i}"][2 * j : 2 * j + 2]
+        for i, group in enumerate(shared.values())
+        for j, r in enumerate(group)
+    }
+    return [_Rank(r.column, r.probability, r.position, *proposals[id(r)]) for r in ranks]
+
+
 def _read_off(df: DataFrame, ranks: list[_Rank]) -> list[tuple[_Rank, float]]:
     """Count the few distinct values inside each interval and interpolate between the target ranks."""
     hits = F.array_compact(F.array(*[

@@ -57,7 +57,8 @@ class EmailAudit:
 
 
 def audit_cells(
-    df: DataFrame, email_columns: Sequence[str], bounds: Sequence[Bounds]
+    df: DataFrame, email_columns: Sequence[str], bounds: Sequence[Bounds],
+    in_order: DataFrame | None = None,
 ) -> tuple[dict[str, EmailAudit], dict[str, int]]:
     """E-mail verdicts and outlier counts of all columns in one pass, then a few examples per bad column."""
     wanted = []
@@ -72,7 +73,7 @@ def audit_cells(
     for i, c in enumerate(email_columns):
         audit = EmailAudit(row[f"valid{i}"], row[f"malformed{i}"], row[f"suspicious{i}"])
         if audit.invalid:
-            bad = df.where(emails.email_audit_class(col(c)) != "valid")
+            bad = (df if in_order is None else in_order).where(emails.email_audit_class(col(c)) != "valid")
             bad = bad.orderBy(ROW_ID) if ROW_ID in df.columns else bad
             audit.examples = [r[0] for r in bad.select(col(c)).limit(EXAMPLES).collect()]
         audits[c] = audit
@@ -119,7 +120,7 @@ def diagnostics_frame(
         rows.append((
             position, name, s.type, semantic, label, badge, s.nulls, s.sparsity, s.unique,
             rounded(s.skewness, 2), *(rounded(x, 4) for x in (s.mean, s.median, s.low, s.high, s.std)),
-            s.mode, column_status(s, email), recommend(s, semantic),
+            None if s.kind in ("integer", "float") else s.mode, column_status(s, email), recommend(s, semantic),
             *((email.invalid, email.malformed, email.suspicious, email.examples) if email else (None,) * 4),
         ))
     return spark.createDataFrame(

@@ -13,7 +13,7 @@ from ..operators.profile import ROW_ID, TableStats, collect_stats, data_columns,
 from ..operators.report import EmailAudit, audit_cells, column_status, diagnostics_frame
 from ..operators.scoring import Audit
 from ..operators.semantics import detect_semantics
-from ..session import Staging
+from ..session import Staging, spread
 
 FUZZY_KEY_TYPES = ("text", "name", "email", "phone", "unknown")
 
@@ -72,14 +72,15 @@ def diagnose(
     """
     spark = df.sparkSession
     staging = staging or Staging(spark)
+    in_order, df = df, spread(df)
     stats = collect_stats(df, exact)
     semantics = detect_semantics(
-        df, {c: s.values for c, s in stats.columns.items()}, semantic_overrides
+        in_order, {c: s.values for c, s in stats.columns.items()}, semantic_overrides
     )
     of_type = {t: [c for c, k in semantics.items() if k == t] for t in set(semantics.values())}
     email_columns = [c for c in of_type.get("email", []) if stats.columns[c].kind == "string"]
     bounds = bounds_of_stats(stats)
-    email_audits, outliers = audit_cells(df, email_columns, bounds)
+    email_audits, outliers = audit_cells(df, email_columns, bounds, in_order)
     key = fuzzy_key(stats, semantics)
     matcher = None
     if fuzzy and key:

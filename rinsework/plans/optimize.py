@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import columns, dedup, dictionary, fuzzy, impute, outliers, report
-from ..operators.profile import ROW_ID, classes, col, collect_stats, data_columns
+from ..operators.profile import ROW_ID, classes, col, data_columns
 from ..operators.scoring import improvement_percent
 from ..operators.semantics import detect_semantics, is_age_name
 from ..operators.verify import Verification, post_clean_verify
-from ..session import Staging
+from ..session import Staging, spread
 from .diagnose import FUZZY_KEY_TYPES, Diagnosis, diagnose
 from .overrides import Overrides
 
@@ -94,7 +94,7 @@ def optimize(
     steps: list[str] = []
 
     # one shuffle of whole rows serves the duplicate count and the deduplication
-    df = staging.write(dedup.with_row_id(df, order_by), "input")
+    df = staging.write(spread(dedup.with_row_id(df, order_by)), "input")
     rows = df.count()
     distinct = staging.write(dedup.drop_exact_duplicates(df), "distinct")
     left = distinct.count()
@@ -234,11 +234,10 @@ def optimize(
             steps.append(f"Emptied {bad} age(s) outside 0-120 in '{c}'.")
     df = df.where(stays).select(*[col(c) for c in names], ROW_ID)
 
-    # missing values and text, steered by a fresh profile
-    stats = collect_stats(df)
-    semantics = detect_semantics(df, {c: s.values for c, s in stats.columns.items()}, semantic_overrides)
+    # missing values and text, steered by the cleaned cells
+    semantics = detect_semantics(df, None, semantic_overrides)
     strategies = {c: choice.fill.get(c, "Auto") for c in names}
-    df, filled = impute.impute(df, strategies, semantics, stats)
+    df, filled = impute.impute(df, strategies, semantics)
     for c, (strategy, value, cells) in filled.items():
         metrics["nulls_filled"] += cells
         how = f"custom value '{value}'" if strategy.startswith(impute.CUSTOM) else f"its {strategy}"

@@ -50,6 +50,22 @@ def staging_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small table as many partitions as there are cores.
+
+    A table of one or two files is read by one or two tasks, however costly the expressions on top. Where
+    Spark's size estimate says that splitting by size cannot occupy the cores, the rows are redistributed once;
+    such a table is small by definition. Anything larger is returned as it is. Row order is lost.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if estimate < cores * split_bytes else df
+
+
 class Staging:
     """Writes intermediate tables to the shared folder and reads them back.
 
