@@ -9,12 +9,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import rules
 from ..functions.text import is_blank
+from ..session import concurrently
 from .quantiles import exact_quantiles, numeric
 
 ROW_ID = "_rid"
@@ -211,33 +212,46 @@ def collect_stats(
                 moments.append(F.approx_count_distinct(x).alias(f"near{i}"))
         elif frequencies and not exact and kinds[c] != "other":
             moments.append(F.approx_count_distinct(col(c)).alias(f"near{i}"))
-    row = df.agg(*moments).first().asDict()
+    by_frequency = [c for c, k in kinds.items() if k != "other" and (exact or c not in measured)]
+
+    def measure() -> TableStats:
+        stats = _from_moments(df, kinds, measured, df.agg(*moments).first().asDict())
+        if quantiles and exact:
+            add_quartiles(df, stats, measured)
+        return stats
+
+    if not (frequencies and by_frequency):
+        return measure()
+    stats, found = concurrently(measure, lambda: modes(df, by_frequency).collect())
+    _set_modes(stats, found)
+    return stats
+
 
+def _from_moments(
+    df: DataFrame, kinds: dict[str, str], measured: Sequence[str], row: dict
+) -> TableStats:
     stats = TableStats(rows=row["rows"])
     for i, (c, kind) in enumerate(kinds.items()):
         s = ColumnStats(c, df.schema[c].dataType.simpleString(), kind, row["rows"], row[f"null{i}"])
         if c in measured and s.values:
             s.mean, s.low, s.high = row[f"mean{i}"], row[f"min{i}"], row[f"max{i}"]
             s.std, s.skewness, s.bad_ages = row[f"std{i}"], row[f"skew{i}"], row[f"age{i}"]
-            if quantiles and not exact:
-                s.q1, s.median, s.q3 = row[f"q{i}"]
+            s.q1, s.median, s.q3 = row.get(f"q{i}", (None, None, None))
         s.unique = row.get(f"near{i}", 0)
         stats.columns[c] = s
-
-    if frequencies:
-        add_modes(df, stats, [c for c, k in kinds.items() if k != "other" and (exact or c not in measured)])
-    if quantiles and exact:
-        add_quartiles(df, stats, measured)
     return stats
 
 
+def _set_modes(stats: TableStats, found: Sequence[Row]) -> None:
+    for r in found:
+        s = stats.columns[r["column"]]
+        s.unique, s.mode = r["unique_count"], r["mode"]
+
+
 def add_modes(df: DataFrame, stats: TableStats, columns: Sequence[str]) -> None:
     """Complete the stats of these columns with exact distinct counts and modes."""
-    if not columns or not stats.rows:
-        return
-    for found in modes(df, columns).collect():
-        s = stats.columns[found["column"]]
-        s.unique, s.mode = found["unique_count"], found["mode"]
+    if columns and stats.rows:
+        _set_modes(stats, modes(df, columns).collect())
 
 
 def add_quartiles(df: DataFrame, stats: TableStats, columns: Sequence[str]) -> None:

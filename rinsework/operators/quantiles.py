@@ -7,7 +7,7 @@ fine for columns with few distinct values and hopeless for wide ranges of double
 * for the others every wanted rank is bracketed: ``approx_percentile`` proposes a narrow interval, one
   aggregate counts what lies below and inside it, and the interval is accepted only when those exact
   counts prove that the rank is inside. Each round shrinks the interval several hundredfold; once it holds
-  few distinct values they are counted exactly and the rank is read off.
+  few values, or copies of a single one, they are counted exactly and the rank is read off.
 
 Every round is one aggregation pass for all columns together and shuffles only aggregate buffers.
 """
@@ -21,10 +21,11 @@ from math import ceil, floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAP_LIMIT = 100_000  # distinct values a single aggregation buffer may hold
+MAP_LIMIT = 200_000  # distinct values a single aggregation buffer may hold
 _ACCURACY = 10_000
 _MARGIN = 0.0005
 _ROUNDS = 24
+_SMALL = 1_000  # values an interval may always hold
 
 
 @dataclass
@@ -38,7 +39,7 @@ class _Rank:
     high: float | None = None
     below: int = 0
     inside: int = 0
-    distinct: int = 0
+    distinct: int = 0  # an upper bound
     margin: float = _MARGIN
 
     @property
@@ -118,7 +119,7 @@ def _sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
 
 
 def _narrow(df: DataFrame, ranks: list[_Rank], map_limit: int) -> None:
-    limit = max(1, map_limit // len(ranks))
+    limit = max(_SMALL, map_limit // len(ranks))
     for _ in range(_ROUNDS):
         wide = [r for r in ranks if r.distinct > limit]
         if not wide:
@@ -130,16 +131,13 @@ def _narrow(df: DataFrame, ranks: list[_Rank], map_limit: int) -> None:
             for expression in (
                 F.count_if(numeric(t.column) < t.low).alias(f"u{i}"),
                 F.count_if(t.contains(numeric(t.column))).alias(f"n{i}"),
-                F.approx_count_distinct(
-                    F.when(t.contains(numeric(t.column)), numeric(t.column))
-                ).alias(f"d{i}"),
             )
         ]).first()
         for i, (r, t) in enumerate(zip(wide, trials)):
             below, inside = counts[f"u{i}"], counts[f"n{i}"]
             if below <= r.first and r.last < below + inside:
                 r.low, r.high, r.below, r.inside = t.low, t.high, below, inside
-                r.distinct = counts[f"d{i}"]
+                r.distinct = 1 if r.low == r.high else inside
                 continue
             r.margin *= 4
             if r.first < below:  # the proposal starts too high: extend it down to the old start

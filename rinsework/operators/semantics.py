@@ -136,33 +136,25 @@ def detect_semantics(
     wanted = rules.DETECTION_SAMPLE
     narrow = df.select(*[col(c) for c in unsettled], *([ROW_ID] if ROW_ID in df.columns else []))
     head = narrow.orderBy(ROW_ID).limit(_HEAD_ROWS) if ROW_ID in df.columns else narrow.limit(_HEAD_ROWS)
-    # at most 100 values of each column of a 1,000-row head: bounded by the width of the table
-    cells = first_values(head, unsettled, wanted).collect()
-    have = {c: sum(r["column"] == c for r in cells) for c in unsettled}
-    if filled is None:
-        filled = df.agg(*[F.count(col(c)).alias(str(i)) for i, c in enumerate(unsettled)]).first()
-        filled = {c: filled[i] for i, c in enumerate(unsettled)}
-    sparse = [c for c in unsettled if have[c] < wanted and have[c] < filled[c]]
+    rates = {r["column"]: r for r in _sample_rates(first_values(head, unsettled, wanted))}
+    short = [c for c in unsettled if c not in rates or rates[c]["sampled"] < wanted]
+    if short and filled is None:
+        row = df.agg(*[F.count(col(c)).alias(str(i)) for i, c in enumerate(short)]).first()
+        filled = {c: row[i] for i, c in enumerate(short)}
+    sparse = [c for c in short if filled[c] > (rates[c]["sampled"] if c in rates else 0)]
     if sparse:
-        cells = [r for r in cells if r["column"] not in sparse]
-        cells += first_values(narrow, sparse, wanted).collect()
-    if not cells:
-        return found
-    sample = df.sparkSession.createDataFrame(cells, "column string, position int, value string")
-    undecided = []
-    for r in value_rates(sample).collect():
-        found[r["column"]] = decide(r) or "text"
-        if decide(r) is None and r["sampled"] >= 3:
-            undecided.append(r["column"])
-    if undecided:
-        best = nearest_weighted(rules.CITIES, rules.CITY_DETECT_SCORE)(F.col("value"))
-        hits = (
-            sample.where(F.col("column").isin(undecided) & (F.col("position") <= rules.CITY_SAMPLE))
-            .select("column", best.alias("best"))
-            .groupBy("column")
-            .agg(F.avg(F.col("best.match").isNotNull().cast("double")).alias("rate"))
-        )
-        for r in hits.collect():
-            if r["rate"] > 0.5:
-                found[r["column"]] = "city"
+        rates |= {r["column"]: r for r in _sample_rates(first_values(narrow, sparse, wanted))}
+    for c, r in rates.items():
+        is_city = r["sampled"] >= 3 and r["city_rate"] > 0.5
+        found[c] = decide(r) or ("city" if is_city else "text")
     return {c: found[c] for c in classes(df)}
+
+
+def _sample_rates(sample: DataFrame) -> list[Row]:
+    """The rates of a bounded sample (column, position, value), that of city names included."""
+    best = nearest_weighted(rules.CITIES, rules.CITY_DETECT_SCORE).asNondeterministic()(F.col("value"))
+    early = sample.where(F.col("position") <= rules.CITY_SAMPLE).select("column", best.alias("best"))
+    cities = early.groupBy("column").agg(
+        F.avg(F.col("best.match").isNotNull().cast("double")).alias("city_rate")
+    )
+    return value_rates(sample).join(F.broadcast(cities), "column").collect()

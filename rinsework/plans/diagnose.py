@@ -13,7 +13,7 @@ from ..operators.profile import ROW_ID, TableStats, collect_stats, data_columns,
 from ..operators.report import EmailAudit, audit_cells, column_status, diagnostics_frame
 from ..operators.scoring import Audit
 from ..operators.semantics import detect_semantics
-from ..session import Staging, spread
+from ..session import Staging, concurrently, spread
 
 FUZZY_KEY_TYPES = ("text", "name", "email", "phone", "unknown")
 
@@ -73,28 +73,39 @@ def diagnose(
     spark = df.sparkSession
     staging = staging or Staging(spark)
     in_order, df = df, spread(df)
-    stats = collect_stats(df, exact)
-    semantics = detect_semantics(
-        in_order, {c: s.values for c, s in stats.columns.items()}, semantic_overrides
+
+    def count_duplicates() -> int:
+        if duplicates is not None or not data_columns(df):
+            return duplicates or 0
+        return duplicate_count(df).first()["duplicate_count"]
+
+    stats, semantics, repeated = concurrently(
+        lambda: collect_stats(df, exact),
+        lambda: detect_semantics(in_order, overrides=semantic_overrides),
+        count_duplicates,
     )
     of_type = {t: [c for c, k in semantics.items() if k == t] for t in set(semantics.values())}
     email_columns = [c for c in of_type.get("email", []) if stats.columns[c].kind == "string"]
     bounds = bounds_of_stats(stats)
-    email_audits, outliers = audit_cells(df, email_columns, bounds, in_order)
     key = fuzzy_key(stats, semantics)
-    matcher = None
-    if fuzzy and key:
+
+    def match() -> tuple[Matcher | None, int]:
+        if not (fuzzy and key):
+            return None, 0
         order = ROW_ID if ROW_ID in df.columns else None
         matcher = Matcher(df, key, order, fuzzy_method, fuzzy_values, staging)
-    if duplicates is None:
-        duplicates = duplicate_count(df).first()["duplicate_count"] if stats.columns else 0
+        return matcher, matcher.pair_count()
+
+    (email_audits, outliers), (matcher, near) = concurrently(
+        lambda: audit_cells(df, email_columns, bounds, in_order), match
+    )
     audit = Audit(
         rows=stats.rows,
         cols=len(data_columns(df)),
         null_count=stats.null_count,
         null_density=stats.null_density,
-        duplicate_count=duplicates,
-        fuzzy_duplicate_count=matcher.pair_count() if matcher else 0,
+        duplicate_count=repeated,
+        fuzzy_duplicate_count=near,
         fuzzy_key_col=key,
         outlier_count=sum(outliers.values()),
         email_cols=of_type.get("email", []),

@@ -235,7 +235,7 @@ def optimize(
     df = df.where(stays).select(*[col(c) for c in names], ROW_ID)
 
     # missing values and text, steered by the cleaned cells
-    semantics = detect_semantics(df, None, semantic_overrides)
+    semantics = detect_semantics(df, overrides=semantic_overrides)
     strategies = {c: choice.fill.get(c, "Auto") for c in names}
     df, filled = impute.impute(df, strategies, semantics)
     for c, (strategy, value, cells) in filled.items():

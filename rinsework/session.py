@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
+from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,6 +70,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if estimate < cores * split_bytes else df
 
 
+def concurrently(*tasks: Callable[[], Any]) -> list[Any]:
+    """Run independent Spark jobs side by side and return their results in order."""
+    with ThreadPoolExecutor(max_workers=len(tasks)) as pool:
+        return [f.result() for f in [pool.submit(t) for t in tasks]]
+
+
 class Staging:
     """Writes intermediate tables to the shared folder and reads them back.
 
@@ -77,10 +87,12 @@ class Staging:
         self.spark = spark
         self.folder = f"{staging_root(spark)}/stage-{uuid.uuid4().hex}"
         self._count = 0
+        self._lock = Lock()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.folder}/{self._count:03d}-{name}"
-        self._count += 1
+        with self._lock:
+            path = f"{self.folder}/{self._count:03d}-{name}"
+            self._count += 1
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
