@@ -17,7 +17,15 @@ def output_name(path: str) -> str:
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Write with a header and without the row id, one part file per task."""
-    df.drop(ROW_ID).write.option("header", True).option("escape", '"').mode(mode).csv(path)
+    (
+        df.drop(ROW_ID)
+        .write.option("header", True)
+        .option("escape", '"')
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
+        .mode(mode)
+        .csv(path)
+    )
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
