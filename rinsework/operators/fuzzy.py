@@ -92,14 +92,9 @@ def forms(
 # --- blocking ------------------------------------------------------------------------------------
 
 
-def _numbered_bigrams(form: Column) -> Column:
-    """Bigrams as ``text#k`` with k = the how-manieth equal bigram, so that sets count like multisets."""
-    pairs = F.array_sort(
-        F.transform(F.sequence(F.lit(1), F.length(form) - 1), lambda i: F.substr(form, i, F.lit(2)))
-    )
-    return F.transform(
-        pairs, lambda g, i: F.concat(g, F.lit("#"), (i - F.array_position(pairs, g)).cast("string"))
-    )
+def _bigrams(form: Column) -> Column:
+    """All overlapping pairs of characters, in one walk over the text."""
+    return F.regexp_extract_all(form, F.lit("(?s)(?=(..))"), F.lit(1))
 
 
 def _length_class(form: Column) -> Column:
@@ -114,11 +109,6 @@ def _required(cls: Column, method: str) -> Column:
     )
 
 
-def _bigram_order(grams: DataFrame) -> DataFrame:
-    """Frequency per hash bucket of bigrams: a table of fixed size, hence safe to broadcast."""
-    return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("freq"))
-
-
 def build_index(nodes: DataFrame, staging: Staging, method: str = "indel") -> DataFrame:
     """Block membership of every form: (cls, sig, cell_a, cell_b, slice, node, form, members, own_cls, prefix).
 
@@ -170,16 +160,29 @@ def build_index(nodes: DataFrame, staging: Staging, method: str = "indel") -> Da
 
 def _first_level(nodes: DataFrame, method: str) -> DataFrame:
     """Every form once per length class it can pair in and per bigram of its prefix there."""
-    keyed = nodes.where(F.length("form") >= rules.FUZZY_MIN_CHARS).select("node", "form", "members")
-    grams = (
-        keyed.repartition("node")
-        .select("*", F.explode(_numbered_bigrams(F.col("form"))).alias("gram"))
-        .withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(_BUCKETS)))
+    keyed = (
+        nodes.where(F.length("form") >= rules.FUZZY_MIN_CHARS)
+        .select("node", "form", "members")
+        .repartition("node")
+    )
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(_BUCKETS)).alias("bucket")
+    grams = keyed.select("node", F.explode(_bigrams(F.col("form"))).alias("gram"))
+    # frequency per hash bucket: a table of fixed size, hence safe to broadcast
+    frequency = grams.groupBy(bucket).agg(F.count(F.lit(1)).alias("freq"))
+    # equal bigrams of a form are numbered (text#1, text#2, ...), so that sets count like multisets
+    numbered = (
+        grams.groupBy("node", "gram")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .select("node", bucket, F.explode(F.transform(
+            F.sequence(F.lit(1), F.col("n")),
+            lambda k: F.concat(F.col("gram"), F.lit("#"), k.cast("string")),
+        )).alias("gram"))
     )
     ordered = (
-        grams.join(F.broadcast(_bigram_order(grams)), "bucket")
-        .groupBy("node", "form", "members")
+        numbered.join(F.broadcast(frequency), "bucket")
+        .groupBy("node")
         .agg(F.array_sort(F.collect_list(F.struct("freq", "gram")))["gram"].alias("grams"))
+        .join(keyed, "node")
         .withColumn("own_cls", _length_class(F.col("form")))
     )
     # a pair belongs to the class of its longer form; its shorter one may be one class below

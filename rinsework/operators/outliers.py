@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from .profile import TableStats, col, numeric_columns
-from .quantiles import exact_quantiles, numeric
+from .profile import QUARTILES, TableStats, col, numeric_columns
+from .quantiles import exact_quantiles, numeric, read_sketches, sketch_columns
 
 TREATMENTS = ("clip", "median_replace", "remove_row")
 
@@ -62,24 +62,26 @@ def iqr_bounds(
     names = list(columns) if columns is not None else numeric_columns(df)
     if not names:
         return []
-    row = df.agg(
-        *[F.count(numeric(c)).alias(f"n{i}") for i, c in enumerate(names)],
-        *[F.approx_count_distinct(numeric(c)).alias(f"d{i}") for i, c in enumerate(names)],
-    ).first()
-    counts = {c: row[f"n{i}"] for i, c in enumerate(names)}
-    sizes = {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(names)}
-    quartiles = exact_quantiles(df, {c: (0.25, 0.5, 0.75) for c in names}, sizes)
+    wanted = {c: QUARTILES for c in names}
+    sketches = read_sketches(wanted, df.agg(*sketch_columns(wanted)).first())
+    quartiles = exact_quantiles(df, wanted, sketches)
     return bounds_from(
-        {c: (q[0.25], q[0.5], q[0.75]) for c, q in quartiles.items()}, counts, minimum
+        {c: tuple(q[p] for p in QUARTILES) for c, q in quartiles.items()},
+        {c: s.count for c, s in sketches.items()},
+        minimum,
     )
 
 
-def outlier_counts(df: DataFrame, bounds: Sequence[Bounds]) -> dict[str, int]:
-    """Number of outliers per bounded column, one pass."""
-    if not bounds:
-        return {}
-    row = df.agg(*[F.count_if(b.beyond()).alias(f"o{i}") for i, b in enumerate(bounds)]).first()
-    return {b.column: row[f"o{i}"] for i, b in enumerate(bounds)}
+def outlier_counts(
+    df: DataFrame, bounds: Sequence[Bounds], leaving: Sequence[Bounds] = ()
+) -> tuple[dict[str, int], int]:
+    """Outliers per bounded column, and the rows that stay when those of the ``leaving`` columns go; one pass."""
+    doomed = reduce(or_, [b.beyond() for b in leaving], F.lit(False))
+    row = df.agg(
+        F.count_if(~doomed).alias("stay"),
+        *[F.count_if(b.beyond()).alias(f"o{i}") for i, b in enumerate(bounds)],
+    ).first()
+    return {b.column: row[f"o{i}"] for i, b in enumerate(bounds)}, row["stay"]
 
 
 def outlier_audit(df: DataFrame, columns: Sequence[str] | None = None, minimum: int = 1) -> DataFrame:

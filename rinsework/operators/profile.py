@@ -6,7 +6,7 @@ shuffle, in which copies of a value collapse before they travel.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Row
@@ -16,9 +16,10 @@ from pyspark.sql import types as T
 from ..functions import rules
 from ..functions.text import is_blank
 from ..session import concurrently
-from .quantiles import exact_quantiles, numeric
+from .quantiles import Sketch, exact_quantiles, numeric, read_sketches, sketch_columns
 
 ROW_ID = "_rid"
+QUARTILES = (0.25, 0.5, 0.75)
 
 
 def col(name: str) -> Column:
@@ -196,7 +197,8 @@ def collect_stats(
     """
     kinds = classes(df)
     measured = [c for c, k in kinds.items() if k in ("integer", "float")]
-    moments = [F.count(F.lit(1)).alias("rows")]
+    wanted = {c: QUARTILES for c in measured} if quantiles and exact else {}
+    moments = [F.count(F.lit(1)).alias("rows"), *sketch_columns(wanted)]
     for i, c in enumerate(kinds):
         moments.append(F.count_if(is_missing(df, c)).alias(f"null{i}"))
         if c in measured:
@@ -207,17 +209,16 @@ def collect_stats(
                 F.count_if((x < rules.AGE_RANGE[0]) | (x > rules.AGE_RANGE[1])).alias(f"age{i}"),
             ]
             if quantiles and not exact:
-                moments.append(F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(f"q{i}"))
-            if (quantiles and exact) or (frequencies and not exact):
-                moments.append(F.approx_count_distinct(x).alias(f"near{i}"))
-        elif frequencies and not exact and kinds[c] != "other":
+                moments.append(F.percentile_approx(x, list(QUARTILES), 10_000).alias(f"q{i}"))
+        if frequencies and not exact and kinds[c] != "other":
             moments.append(F.approx_count_distinct(col(c)).alias(f"near{i}"))
     by_frequency = [c for c, k in kinds.items() if k != "other" and (exact or c not in measured)]
 
     def measure() -> TableStats:
-        stats = _from_moments(df, kinds, measured, df.agg(*moments).first().asDict())
-        if quantiles and exact:
-            add_quartiles(df, stats, measured)
+        row = df.agg(*moments).first()
+        stats = _from_moments(df, kinds, measured, row.asDict())
+        if wanted:
+            add_quartiles(df, stats, measured, read_sketches(wanted, row))
         return stats
 
     if not (frequencies and by_frequency):
@@ -254,15 +255,13 @@ def add_modes(df: DataFrame, stats: TableStats, columns: Sequence[str]) -> None:
         _set_modes(stats, modes(df, columns).collect())
 
 
-def add_quartiles(df: DataFrame, stats: TableStats, columns: Sequence[str]) -> None:
+def add_quartiles(
+    df: DataFrame, stats: TableStats, columns: Sequence[str], sketches: Mapping[str, Sketch] | None = None
+) -> None:
     """Complete the stats of these numeric columns with exact quartiles."""
-    sizes = {c: (stats.columns[c].values, stats.columns[c].unique) for c in columns}
-    known = all(unique for values, unique in sizes.values() if values)
-    for c, q in exact_quantiles(
-        df, {c: (0.25, 0.5, 0.75) for c in columns}, sizes if known else None
-    ).items():
+    for c, q in exact_quantiles(df, {c: QUARTILES for c in columns}, sketches).items():
         s = stats.columns[c]
-        s.q1, s.median, s.q3 = q[0.25], q[0.5], q[0.75]
+        s.q1, s.median, s.q3 = (q[p] for p in QUARTILES)
 
 
 def column_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ The built-in ``percentile`` keeps a value -> count map of the entire column in t
 fine for columns with few distinct values and hopeless for wide ranges of doubles at scale. So:
 
 * columns with few distinct values (checked by ``approx_count_distinct``) share one ``percentile`` pass;
-* for the others every wanted rank is bracketed: ``approx_percentile`` proposes a narrow interval, one
+* for the others every wanted rank is bracketed: ``percentile_approx`` proposes a narrow interval, one
   aggregate counts what lies below and inside it, and the interval is accepted only when those exact
   counts prove that the rank is inside. Each round shrinks the interval several hundredfold; once it holds
   few values, or copies of a single one, they are counted exactly and the rank is read off.
@@ -18,9 +18,11 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
+from ..session import concurrently
+
 MAP_LIMIT = 200_000  # distinct values a single aggregation buffer may hold
 _ACCURACY = 10_000
 _MARGIN = 0.0005
@@ -65,66 +67,104 @@ def numeric(name: str) -> Column:
     return F.when(~F.isnan(c), c)
 
 
+@dataclass(frozen=True)
+class Sketch:
+    """What one pass tells about a column: its values, roughly how many distinct ones, and an interval that
+    should contain each wanted quantile."""
+
+    count: int
+    distinct: int
+    edges: dict[float, tuple[float, float]]
+
+
+def sketch_columns(wanted: Mapping[str, Sequence[float]]) -> list[Column]:
+    """Aggregates from which :func:`read_sketches` makes sketches; they may join any other aggregation."""
+    made = []
+    for i, (c, probabilities) in enumerate(wanted.items()):
+        x = numeric(c)
+        around = [q for p in probabilities for q in (max(0.0, p - _MARGIN), min(1.0, p + _MARGIN))]
+        made += [
+            F.count(x).alias(f"__count{i}"),
+            F.approx_count_distinct(x).alias(f"__distinct{i}"),
+            F.percentile_approx(x, around, _ACCURACY).alias(f"__edges{i}"),
+        ]
+    return made
+
+
+def read_sketches(wanted: Mapping[str, Sequence[float]], row: Row) -> dict[str, Sketch]:
+    found = {}
+    for i, (c, probabilities) in enumerate(wanted.items()):
+        edges = row[f"__edges{i}"] or [None] * (2 * len(probabilities))
+        found[c] = Sketch(
+            row[f"__count{i}"], row[f"__distinct{i}"],
+            {p: tuple(edges[2 * j : 2 * j + 2]) for j, p in enumerate(probabilities)},
+        )
+    return found
+
+
 def exact_quantiles(
     df: DataFrame,
     wanted: Mapping[str, Sequence[float]],
-    sizes: Mapping[str, tuple[int, int]] | None = None,
+    sketches: Mapping[str, Sketch] | None = None,
     map_limit: int = MAP_LIMIT,
 ) -> dict[str, dict[float, float | None]]:
     """Linear-interpolation quantiles ``{column: {probability: value}}``; None for empty columns.
 
-    ``sizes`` may pass known ``(non-null count, approximate distinct count)`` pairs to save a pass.
+    ``sketches`` that rode on another pass save one.
     """
     if not wanted:
         return {}
-    if sizes is None:
-        sizes = _sizes(df, list(wanted))
+    if sketches is None:
+        sketches = read_sketches(wanted, df.agg(*sketch_columns(wanted)).first())
     found: dict[str, dict[float, float | None]] = {
         c: {p: None for p in ps} for c, ps in wanted.items()
     }
     budget, few, many = map_limit, {}, {}
-    for c in sorted(wanted, key=lambda c: sizes[c][1]):
-        if sizes[c][0] == 0:
+    for c in sorted(wanted, key=lambda c: sketches[c].distinct):
+        if sketches[c].count == 0:
             continue
-        if sizes[c][1] <= budget:
+        if sketches[c].distinct <= budget:
             few[c] = list(wanted[c])
-            budget -= sizes[c][1]
+            budget -= sketches[c].distinct
         else:
             many[c] = list(wanted[c])
-    if few:
+
+    def count_few() -> None:
         row = df.agg(*[
             F.percentile(numeric(c), F.array(*map(F.lit, ps))).alias(f"q{i}")
             for i, (c, ps) in enumerate(few.items())
         ]).first()
         for i, (c, ps) in enumerate(few.items()):
             found[c] = dict(zip(ps, row[f"q{i}"]))
-    if many:
+
+    def narrow_many() -> None:
         ranks = [
-            _Rank(c, p, p * (sizes[c][0] - 1), inside=sizes[c][0], distinct=sizes[c][1])
+            _Rank(c, p, p * (sketches[c].count - 1), inside=sketches[c].count, distinct=sketches[c].distinct)
             for c, ps in many.items()
             for p in ps
         ]
-        _narrow(df, ranks, map_limit)
+        _narrow(df, ranks, sketches, map_limit)
         for rank, value in _read_off(df, ranks):
             found[rank.column][rank.probability] = value
-    return found
-
 
-def _sizes(df: DataFrame, columns: Sequence[str]) -> dict[str, tuple[int, int]]:
-    row = df.agg(
-        *[F.count(numeric(c)).alias(f"n{i}") for i, c in enumerate(columns)],
-        *[F.approx_count_distinct(numeric(c)).alias(f"d{i}") for i, c in enumerate(columns)],
-    ).first()
-    return {c: (row[f"n{i}"], row[f"d{i}"]) for i, c in enumerate(columns)}
+    jobs = [job for job, columns in ((count_few, few), (narrow_many, many)) if columns]
+    if jobs:
+        concurrently(*jobs)
+    return found
 
 
-def _narrow(df: DataFrame, ranks: list[_Rank], map_limit: int) -> None:
+def _narrow(
+    df: DataFrame, ranks: list[_Rank], sketches: Mapping[str, Sketch], map_limit: int
+) -> None:
     limit = max(_SMALL, map_limit // len(ranks))
-    for _ in range(_ROUNDS):
+    for attempt in range(_ROUNDS):
         wide = [r for r in ranks if r.distinct > limit]
         if not wide:
             return
-        trials = _propose(df, wide)
+        trials = _propose(df, wide) if attempt else [
+            _Rank(r.column, r.probability, r.position, *sketches[r.column].edges[r.probability])
+            for r in wide
+        ]
         counts = df.agg(*[
             expression
             for i, t in enumerate(trials)

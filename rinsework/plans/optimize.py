@@ -180,6 +180,8 @@ def optimize(
     if ages:
         df = columns.clean_ages(df, ages, {c: mark("age", c) for c in ages})
     df = staging.write(df.withColumn("__removed", doomed), "cells")
+    before.matcher = None
+    staging.discard(keep=("cells",))  # nothing reads the earlier stages any more
     stays = ~F.col("__removed")
     wanted: dict[str, Column] = {}
     for kind, statuses, scope in (
@@ -246,7 +248,8 @@ def optimize(
 
     # outliers, then rows that became equal
     bounds = outliers.iqr_bounds(df)
-    found = outliers.outlier_counts(df, bounds)
+    leaving = [b for b in bounds if choice.outliers.get(b.column) == "remove_row"]
+    found, left = outliers.outlier_counts(df, bounds, leaving)
     bounds = [b for b in bounds if found[b.column]]
     done = {
         "clip": ("outliers_clipped", "Clipped {n} outlier(s) in '{c}' to [{lo:.2f}, {hi:.2f}]."),
@@ -257,12 +260,12 @@ def optimize(
         metric, sentence = done[choice.outliers.get(b.column, "clip")]
         metrics[metric] += found[b.column]
         steps.append(sentence.format(n=found[b.column], c=b.column, lo=b.low, hi=b.high, m=b.median))
-    df = staging.write(outliers.treat_outliers(df, bounds, choice.outliers), "treated")
-    rows = df.count()
+    df = outliers.treat_outliers(df, bounds, choice.outliers)
     df = staging.write(dedup.drop_exact_duplicates(df), "final")
+    staging.discard(keep=("final",))
     metrics["rows_after"] = df.count()
-    if metrics["rows_after"] < rows:
-        again = rows - metrics["rows_after"]
+    if metrics["rows_after"] < left:
+        again = left - metrics["rows_after"]
         metrics["duplicates_dropped"] += again
         steps.append(f"Removed {again} row(s) that cleaning had made equal.")
 
@@ -270,9 +273,11 @@ def optimize(
     after = diagnose(
         df, semantic_overrides, fuzzy_audit, fuzzy_values, fuzzy_method, duplicates=0, staging=staging
     )
+    after.matcher = None
     after.audit.dates_rejected = metrics["dates_rejected"]
     verification = post_clean_verify(df, after.semantics, after.bounds, after.audit.duplicate_count)
     for kind, metric in (("email", "emails_remaining"), ("phone", "phones_remaining")):
         metrics[metric] = sum(after.stats.columns[c].values for c in names if initial[c] == kind)
+    staging.discard(keep=("final",))
     return CleanResult(df.drop(ROW_ID), before, after, steps, metrics, verification, staging)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
 from threading import Lock
 from typing import Any
@@ -86,18 +86,20 @@ class Staging:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.folder = f"{staging_root(spark)}/stage-{uuid.uuid4().hex}"
-        self._count = 0
+        self._written: dict[str, str] = {}
         self._lock = Lock()
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         with self._lock:
-            path = f"{self.folder}/{self._count:03d}-{name}"
-            self._count += 1
+            path = f"{self.folder}/{len(self._written):03d}-{name}"
+            self._written[path] = name
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def discard(self) -> None:
-        """Delete this object's own tables; call once nothing reads them any more."""
+    def discard(self, keep: Collection[str] = ()) -> None:
+        """Delete this object's own tables, except those of the given names, once nothing reads them."""
         jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.folder)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path, name in self._written.items():
+            if name not in keep:
+                target = jvm.org.apache.hadoop.fs.Path(path)
+                target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)

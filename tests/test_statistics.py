@@ -98,7 +98,8 @@ def test_bounds_skip_columns_without_spread(spiked):
 
 def test_treatments(spiked):
     bounds = outliers.iqr_bounds(spiked, ["x"])
-    assert outliers.outlier_counts(spiked, bounds) == {"x": 2}
+    assert outliers.outlier_counts(spiked, bounds) == ({"x": 2}, 43)
+    assert outliers.outlier_counts(spiked, bounds, bounds) == ({"x": 2}, 41)
 
     def treated(treatment):
         frame = outliers.treat_outliers(spiked, bounds, treatment)
