@@ -729,3 +729,52 @@ clipped AS (
 SELECT DISTINCT o_orderkey, order_date, round(revenue, 4) AS revenue, active, priority FROM clipped
 """
 oracle("optimize_orders", f"SELECT * FROM ({_RUN})", "dirty_orders")
+_DATES = f"SELECT order_date IS NOT NULL AND trim(order_date) <> '' AS found, {_parsed('order_date')} AS p FROM typed"
+_METRICS = {
+    "rows_before": "(SELECT count(*) FROM dirty_orders)",
+    "rows_after": f"(SELECT count(*) FROM ({_RUN}))",
+    "nulls_filled": "(SELECT count(*) FROM dated WHERE revenue IS NULL)",
+    "duplicates_dropped": f"(SELECT count(*) FROM dirty_orders) - (SELECT count(*) FROM ({_RUN}))",
+    "types_converted": "1",
+    "dates_detected": f"(SELECT count(*) FROM ({_DATES}) WHERE found)",
+    "dates_standardized": f"(SELECT count(*) FROM ({_DATES}) WHERE found AND p IS NOT NULL)",
+    "dates_rejected": f"(SELECT count(*) FROM ({_DATES}) WHERE found AND p IS NULL)",
+    "outliers_clipped": _outliers("filled", "o_orderkey", "revenue"),
+} | dict.fromkeys(
+    (
+        "fuzzy_duplicates_dropped", "emails_flagged", "emails_nullified", "emails_rows_removed", "phones_corrected",
+        "phones_flagged_invalid", "cities_normalized", "outliers_replaced", "outlier_rows_removed", "ages_nullified",
+        "emails_found", "emails_valid", "emails_invalid", "emails_corrected", "emails_removed", "emails_remaining",
+        "phones_found", "phones_valid", "phones_invalid", "phones_remaining",
+    ),
+    "0",
+)
+oracle(
+    "optimize_orders_metrics",
+    "SELECT * FROM (" + _RUN[: _RUN.rindex("SELECT DISTINCT")]
+    + " UNION ALL ".join(f"SELECT '{m}' AS metric, cast({v} AS bigint) AS value" for m, v in _METRICS.items())
+    + ")",
+    "dirty_orders",
+)
+
+# the first 100 filled cells of the columns whose names settle nothing
+_SAMPLED = " UNION ALL ".join(
+    _rates(c, f"(SELECT {c} FROM {t} WHERE {c} IS NOT NULL ORDER BY {k} LIMIT 100)")
+    for c, t, k in (
+        ("revenue", "dirty_orders", "o_orderkey"), ("active", "dirty_orders", "o_orderkey"),
+        ("priority", "dirty_orders", "o_orderkey"), ("segment", "dirty_customer", "c_custkey"),
+    )
+)
+_SETTLED = {
+    "c_custkey": "integer", "name": "name", "email": "email", "phone": "phone", "age": "integer", "city": "city",
+    "balance": "float", "o_orderkey": "integer", "order_date": "date",
+}
+oracle(
+    "semantic_types",
+    " UNION ALL ".join(f"SELECT '{c}' AS \"column\", '{t}' AS semantic" for c, t in _SETTLED.items())
+    + " UNION ALL SELECT \"column\", CASE WHEN boolean_rate = 1 THEN 'boolean' WHEN email_rate > 0.5 THEN 'email' "
+    "WHEN date_hint_rate > 0.5 AND date_rate > 0.65 THEN 'date' WHEN number_rate > 0.7 AND symbol_rate > 0.3 "
+    "THEN 'currency' WHEN number_rate > 0.7 THEN 'numeric_string' WHEN phone_rate > 0.6 THEN 'phone' ELSE 'text' END "
+    f"AS semantic FROM ({_SAMPLED})",
+    "dirty_orders", "dirty_customer",
+)

@@ -137,6 +137,6 @@ def standard_date(c: Column, parsed: Column, mode: str) -> Column:
     bad = F.lit(None).cast("string") if mode == "nullify" else strip(c)
     return (
         F.when(is_blank(c), c)
-        .when(parsed.isNotNull(), F.date_format(parsed, "yyyy-MM-dd"))
+        .when(parsed.isNotNull(), parsed.cast("string"))
         .otherwise(bad)
     )

@@ -160,15 +160,17 @@ def build_index(nodes: DataFrame, staging: Staging, method: str = "indel") -> Da
 
 def _first_level(nodes: DataFrame, method: str) -> DataFrame:
     """Every form once per length class it can pair in and per bigram of its prefix there."""
-    keyed = (
-        nodes.where(F.length("form") >= rules.FUZZY_MIN_CHARS)
-        .select("node", "form", "members")
-        .repartition("node")
-    )
+    known = nodes.where(F.length("form") >= rules.FUZZY_MIN_CHARS).select("node", "form", "members")
     bucket = F.pmod(F.xxhash64("gram"), F.lit(_BUCKETS)).alias("bucket")
-    grams = keyed.select("node", F.explode(_bigrams(F.col("form"))).alias("gram"))
     # frequency per hash bucket: a table of fixed size, hence safe to broadcast
-    frequency = grams.groupBy(bucket).agg(F.count(F.lit(1)).alias("freq"))
+    frequency = (
+        known.select(F.explode(_bigrams(F.col("form"))).alias("gram"))
+        .groupBy(bucket)
+        .agg(F.count(F.lit(1)).alias("freq"))
+    )
+    # one shuffle by node; everything below is grouped by node and stays where it is
+    keyed = known.repartition("node")
+    grams = keyed.select("node", F.explode(_bigrams(F.col("form"))).alias("gram"))
     # equal bigrams of a form are numbered (text#1, text#2, ...), so that sets count like multisets
     numbered = (
         grams.groupBy("node", "gram")
