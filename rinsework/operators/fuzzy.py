@@ -31,10 +31,11 @@ from ..functions.text import strip
 from ..session import Staging
 from .profile import col
 
-BLOCK_LIMIT = 500  # forms per block before it is split
-MAX_DEPTH = 3  # shared bigrams a block may require
-FIRST_BATCH = 4_000  # forms decided in the first round of fuzzy deduplication
-DRIVER_EDGES = 200_000  # edges up to which one round of decisions is taken on the driver
+BLOCK_LIMIT = 500  # forms per slice of a block
+SPLIT_LIMIT = 5_000  # forms per block before it is split by a further bigram
+MAX_DEPTH = 2  # shared bigrams a block may require
+FIRST_BATCH = 1_000  # forms decided in the first round of fuzzy deduplication
+DRIVER_EDGES = 500_000  # edges (two integers each) up to which a batch is decided on the driver
 _BUCKETS = 65_536  # rows of the bigram frequency table, whatever the data
 
 # score >= 85 after rounding means distance < 15.5 % of the summed lengths
@@ -115,11 +116,12 @@ def build_index(nodes: DataFrame, staging: Staging, method: str = "indel") -> Da
     ``nodes`` must be a staged table: it is read more than once.
     """
     kept = ["cls", "node", "form", "members", "own_cls", "need", "prefix", "width"]
+    shared = F.split("sig", "[|]").alias("shared")
     level = _first_level(nodes, method)
     if nodes.count() <= BLOCK_LIMIT:  # then no block can be crowded
         whole = F.lit(0).alias
         return staging.write(
-            level.select(*kept, "sig", whole("slice"), whole("cell_a"), whole("cell_b")), "index"
+            level.select(*kept, "sig", shared, whole("slice"), whole("cell_a"), whole("cell_b")), "index"
         )
     finished = []
     for depth in range(1, MAX_DEPTH + 1):
@@ -128,8 +130,8 @@ def build_index(nodes: DataFrame, staging: Staging, method: str = "indel") -> Da
             F.count(F.lit(1)).alias("n"), F.max("need").alias("most")
         )
         sized = level.join(sizes.where("n > 1").drop("most"), ["cls", "sig"])
-        crowded = (F.col("n") > BLOCK_LIMIT) & (F.col("need") > depth)
-        if depth == MAX_DEPTH or sizes.where((F.col("n") > BLOCK_LIMIT) & (F.col("most") > depth)).isEmpty():
+        crowded = (F.col("n") > SPLIT_LIMIT) & (F.col("need") > depth)
+        if depth == MAX_DEPTH or sizes.where((F.col("n") > SPLIT_LIMIT) & (F.col("most") > depth)).isEmpty():
             finished.append(sized)
             break
         finished.append(sized.where(~crowded))
@@ -151,7 +153,7 @@ def build_index(nodes: DataFrame, staging: Staging, method: str = "indel") -> Da
     cells = sliced.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
     return staging.write(
         cells.select(
-            *kept, "sig", "slice", F.least("slice", "other").alias("cell_a"),
+            *kept, "sig", shared, "slice", F.least("slice", "other").alias("cell_a"),
             F.greatest("slice", "other").alias("cell_b"),
         ),
         "index",
@@ -207,12 +209,13 @@ def _first_level(nodes: DataFrame, method: str) -> DataFrame:
 
 def _candidates(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
     """(a, b, form_a, form_b) of pairs that pass every native bound; ``ordered`` keeps a < b only."""
-    a, b = left.alias("a"), right.alias("b")
+    # the cells are spread by key over as many tasks as there are: pairs, not bytes, make the work here
+    spark = left.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    cell = ["cls", "sig", "cell_a", "cell_b"]
+    a, b = left.repartition(tasks, *cell).alias("a"), right.repartition(tasks, *cell).alias("b")
     total = "(length(a.form) + length(b.form))"
-    first_shared = (
-        "slice(array_intersect(a.prefix, b.prefix), 1, size(split(a.sig, '[|]')))"
-        " = split(a.sig, '[|]')"
-    )
+    first_shared = "slice(array_intersect(a.prefix, b.prefix), 1, size(a.shared)) = a.shared"
     conditions = [
         "a.cls = b.cls AND a.sig = b.sig AND a.cell_a = b.cell_a AND a.cell_b = b.cell_b",
         "a.node < b.node" if ordered else "a.node <> b.node",
@@ -329,7 +332,8 @@ def _decide(nodes: DataFrame, edges: DataFrame, staging: Staging) -> DataFrame:
     """The kept nodes: in ascending order, a node stays unless it has an edge to a kept smaller one."""
     edges = staging.write(edges.select("a", "b"), "edges")
     if edges.count() <= DRIVER_EDGES:
-        dropped = _greedy_drops(tuple(row) for row in edges.collect())
+        few = edges.toPandas()
+        dropped = _greedy_drops(zip(few["a"].tolist(), few["b"].tolist()))
         if not dropped:
             return nodes
         spark = nodes.sparkSession

@@ -77,6 +77,7 @@ def limits(request, monkeypatch):
     on the cluster."""
     block, batch, edges = request.param
     monkeypatch.setattr(fuzzy, "BLOCK_LIMIT", block)
+    monkeypatch.setattr(fuzzy, "SPLIT_LIMIT", 2 * block)
     monkeypatch.setattr(fuzzy, "FIRST_BATCH", batch)
     monkeypatch.setattr(fuzzy, "DRIVER_EDGES", edges)
 
