@@ -2,8 +2,9 @@
 
 Two first-order models over the same alphabet, one of random strings and one of ordinary identifiers, are compared by
 their log-likelihood ratio. They are trained from samples labelled by the corpus: values that the patterns match are
-random strings, other identifiers are ordinary; random strings in the usual alphabets, drawn with a fixed seed, join the
-first class, so that a corpus without a single match still has both. Transitions are counted over all texts.
+random strings; identifiers outside of matches that are shorter than a secret are ordinary. Random strings in the
+usual alphabets, drawn with a fixed seed, join the first class, so that a corpus without a single match still has both.
+Transitions are counted over all texts.
 
 A string of at least ``MIN_LENGTH`` characters outside the patterns' spans is a secret if its ratio exceeds ``PER_CHAR``
 for each character and ``TOTAL`` in all.
@@ -30,7 +31,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 # the same patterns for a pass that only says which texts to look at
 _ANY_ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]"""
-_IDENTIFIER = re.compile(r"[A-Za-z0-9+/_=-]{8,}")
+_IDENTIFIER = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{6,{MIN_LENGTH - 1}}}(?![A-Za-z0-9+/_=-])")
 _LONG = re.compile(rf"[A-Za-z0-9+/_=-]{{{MIN_LENGTH},}}")
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 _N = len(_ALPHABET)

@@ -83,7 +83,7 @@ def with_next(docs: DataFrame, staging: Staging, ranges: int) -> DataFrame:
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     shares = [k / ranges for k in range(1, ranges)]
     found = named.agg(F.percentile_approx("doc_id", shares or [0.5], 100 * ranges).alias("s")).first()["s"]
-    placed = named.withColumn("range", F.coalesce(_bucket(sorted(set(found or []))), F.lit(0)))
+    placed = named.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(sorted(set(found or [])))))
     order = Window.partitionBy("range").orderBy("doc_id", "text")
     ordered = staging.write(placed.withColumns({
         "next_text": F.lead("text").over(order), "place": F.row_number().over(order)}), "ordered")

@@ -195,7 +195,7 @@ class Network:
 
 
 def _starts(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first word of every window, and the text it belongs to; a text without words has one empty window."""
+    """The first word of every window, and the text it belongs to; a text without words has one, which is empty."""
     windows = np.maximum(1, np.ceil((counts - WINDOW) / STRIDE).astype(np.int64) + 1)
     owner = np.repeat(np.arange(len(counts)), windows)
     place = (np.arange(len(owner)) - (np.cumsum(windows) - windows)[owner]) * STRIDE
@@ -281,7 +281,7 @@ def _lowered(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
 
 
 def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
-    """The score of every text, from all its overlapping windows. Texts without words score as an empty window."""
+    """The score of every text, from all its overlapping windows. Texts without words have nothing toxic: 0."""
     if net.constant is not None:
         return np.full(len(texts), net.constant)
     flat, counts = _lowered(texts)
@@ -306,7 +306,7 @@ def score_texts(net: Network, texts: pa.Array) -> np.ndarray:
                 at[inside] = codes[(place + offset[w])[inside]]
             logits[w] = net.logits(x, at, full=full)
     first = np.flatnonzero(np.diff(owner, prepend=-1))
-    return _sigmoid(np.maximum.reduceat(logits, first).astype(np.float64))
+    return np.where(counts > 0, _sigmoid(np.maximum.reduceat(logits, first).astype(np.float64)), 0.0)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
