@@ -104,7 +104,9 @@ def train(docs: DataFrame) -> np.ndarray:
     for row in counted.collect():  # at most twice the square of the alphabet
         counts[row["kind"], row["pair"]] = row["n"]
     counts[0] += _transitions(_drawn())
-    smooth = counts.reshape(2, _N + 1, _N + 1)[:, :, :_N] + 0.5
+    pairs = counts.reshape(2, _N + 1, _N + 1)[:, :, :_N]
+    single = pairs.sum(axis=1, keepdims=True) + 0.5
+    smooth = pairs + 5 * single / single.sum(axis=2, keepdims=True)  # rare states lean on single characters
     logs = np.log(smooth / smooth.sum(axis=2, keepdims=True))
     return logs[0] - logs[1]
 

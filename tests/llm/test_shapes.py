@@ -220,7 +220,7 @@ def test_mined_rules_equal_brute_force(spark, staging):
     assert judged[("a", "d", "z")] == judged[("f", "x")] == "block" and ("q",) not in judged
 
 
-def test_fingerprints_equal_sql(documents, staging):
+def test_fingerprints_equal_sql(documents):
     r = random.Random(7)
     rows = [(i, " ".join(r.choice(["a", "bé", "c😀", "dd"]) + str(r.randrange(9)) for _ in range(r.randrange(0, 300)))) for i in range(60)]
     docs = documents(*rows, rows[3], (None, "null id"), (70, None), (71, " \n "), (72, "one"), (5, "same id"))
@@ -228,14 +228,14 @@ def test_fingerprints_equal_sql(documents, staging):
     con.register("documents", docs.toArrow())
     expected = con.execute(oracles.FINGERPRINTS).fetchall()
     for ranges in (1, 7):
-        got = [tuple(x) for x in sketch.fingerprints(docs, staging, ranges).collect()]
+        got = [tuple(x) for x in sketch.fingerprints(docs, ranges).collect()]
         assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
-def test_one_document_is_its_own_next(documents, staging):
-    got = sketch.fingerprints(documents((1, "a b c d e f g")), staging, 4).collect()
+def test_one_document_is_its_own_next(documents):
+    got = sketch.fingerprints(documents((1, "a b c d e f g")), 4).collect()
     assert len(got) == 1 and got[0]["near_next"] == 1.0
-    assert sketch.fingerprints(documents((1, "x")).limit(0), staging, 4).collect() == []
+    assert sketch.fingerprints(documents((1, "x")).limit(0), 4).collect() == []
 
 
 def test_containment_between_unequal_texts(spark):

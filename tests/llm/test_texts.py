@@ -152,11 +152,16 @@ def test_base_spans_equal_the_plain_patterns():
         assert secret.base_spans(text) == [(a, plain[k][0], b) for a, k, b in found]
 
 
+ORDINARY = """documentation describes international organisations, constitutional frameworks and thousands of things between;
+somebody quickly packed seven judges vexing expensive liquor boxes; another jackdaw loves my quartz sphinx; warehouse_id,
+total_price, updated_at, customer_name, getUserName, parseHeader, windows, buffers, kernels, joyful zebras, quizzical foxes"""
+
+
 def test_models_add_random_strings_and_leave_words(documents):
     r = random.Random(3)
     key = "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789") for _ in range(40))
     docs = documents((1, f"use {key} now"), (2, "theinternationalisationofthings and theconstitutionaldocumentation"), (3, None),
-                     (4, f"token={key}"), (5, "some ordinary words for the other model " * 50), (None, "x"))
+                     (4, f"token={key}"), (5, f"{ORDINARY} {ORDINARY.title()} " * 20), (None, "x"))
     found = {r["doc_id"]: r for r in secret.scan(docs, secret.train(docs)).collect()}
     assert found[1]["spans"] == "markov:4:44" and found[2]["spans"] == found[3]["spans"] == ""
     assert found[4]["spans"] == "assign:0:46" and found[4]["n_assign"] == 1 and len(found) == 6
