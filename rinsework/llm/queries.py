@@ -74,7 +74,7 @@ def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     ranges = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return sketch.fingerprints(_table(spark, folder, "documents"), Staging(spark), ranges)
+    return sketch.fingerprints(_table(spark, folder, "documents"), ranges)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -8,11 +8,11 @@ only hashes below the threshold, which are a fair sample of either text, however
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rinsework.session import Staging
-
 SHINGLE = 5
 #: One hash in so many is kept.
 SCALE = 8
@@ -20,6 +20,7 @@ _DIGITS = 16
 #: Hashes below this text are kept.
 THRESHOLD = format(16**_DIGITS // SCALE, f"0{_DIGITS}x")
 _WORD = "[^ \\t-\\r]+"
+_FIRST = -(2**63)
 
 
 def shingles(text: Column) -> Column:
@@ -62,58 +63,58 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(both / (F.size(a) + F.size(b) - both))
 
 
-def _bucket(splits: list[int]) -> Column:
-    """The number of the id range that a row falls into, by a balanced tree of comparisons."""
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") < F.lit(splits[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
+def _range_of(key: Column, splits: list[int]) -> Column:
+    """How many of the ascending splits are at most the key, by binary search."""
+    known = F.from_json(F.lit(json.dumps(splits)), "array<bigint>")
+    steps = [1 << k for k in range(len(splits).bit_length() - 1, -1, -1)]
 
-    return pick(0, len(splits))
+    def search(at: Column, step: Column) -> Column:
+        inside = (at + step <= len(splits)) & (F.get(known, at + step - 1) <= key)
+        return F.when(inside, at + step).otherwise(at)
 
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), search)
 
-def with_next(docs: DataFrame, staging: Staging, ranges: int) -> DataFrame:
-    """``(doc_id, text, next_text)``: each row beside the text of the next one in ascending ``doc_id``, the last beside the first.
 
-    Rows of one id are ordered by text; null ids come first; null texts are empty. ``ranges`` id ranges of about equal
-    size are ordered apart from each other, so texts are shuffled once; only the first row of every range is looked
-    up by another.
+def with_next(docs: DataFrame, ranges: int) -> DataFrame:
+    """``(doc_id, text, own, next_text, next_own)``: each row with its sketch, beside the next row in ascending ``doc_id``.
+
+    The last row is beside the first. Rows of one id are ordered by text; null ids come first; null texts are empty.
+    Texts are shuffled once, into ``ranges`` id ranges of about equal size, each of which is ordered by itself. A copy
+    of every range's first row (so many rows as ranges) joins the range before it, as the next of its last row.
     """
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    shares = [k / ranges for k in range(1, ranges)]
-    found = named.agg(F.percentile_approx("doc_id", shares or [0.5], 100 * ranges).alias("s")).first()["s"]
-    placed = named.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(_bucket(sorted(set(found or [])))))
-    order = Window.partitionBy("range").orderBy("doc_id", "text")
-    ordered = staging.write(placed.withColumns({
-        "next_text": F.lead("text").over(order), "place": F.row_number().over(order)}), "ordered")
-    firsts = ordered.where("place = 1").select("range", "text")
-    # as many rows as ranges
+    named = named.withColumn("key", F.coalesce("doc_id", F.lit(_FIRST)))
+    shares = [k / ranges for k in range(1, ranges)] or [0.5]
+    splits = named.agg(F.percentile_approx("key", shares, 100 * ranges).alias("s")).first()["s"]
+    placed = named.withColumn("range", _range_of(F.col("key"), sorted(set(splits or []))))
+    lowest = placed.groupBy("range").agg(F.min("key").alias("key"))
+    # at most one row for each range is broadcast
+    firsts = placed.select("range", "key", "text").join(F.broadcast(lowest), ["range", "key"])
+    firsts = firsts.groupBy("range").agg(F.min("text").alias("text"))
     ring = Window.orderBy("range")
-    after = firsts.select((F.coalesce(F.lag("range").over(ring), F.lit(-1))).alias("range"), F.col("text").alias("first_text"))
-    last = firsts.agg(F.max("range").alias("m"))
-    after = after.join(last, F.lit(True), "left").select(
-        F.when(F.col("range") < 0, F.col("m")).otherwise(F.col("range")).alias("range"), "first_text")
-    inner = ordered.where("next_text IS NOT NULL").select("doc_id", "text", "next_text")
-    ends = ordered.where("next_text IS NULL").join(after, "range").select("doc_id", "text", F.col("first_text").alias("next_text"))
-    return inner.union(ends)
+    guests = firsts.select(
+        F.lit(None).cast("long").alias("doc_id"), "text", F.lit(_FIRST).alias("key"),
+        F.coalesce(F.lag("range").over(ring), F.max("range").over(Window.partitionBy())).alias("range"), F.lit(True).alias("guest"))
+    every = placed.select("doc_id", "text", "key", "range", F.lit(False).alias("guest")).union(guests)
+    sketched = every.repartition("range").withColumn("own", sketch(F.col("text")))
+    order = Window.partitionBy("range").orderBy("guest", "key", "text")
+    beside = sketched.withColumns({"next_text": F.lead("text").over(order), "next_own": F.lead("own").over(order)})
+    return beside.where(~F.col("guest")).select("doc_id", "text", "own", "next_text", "next_own")
 
 
-def fingerprints(docs: DataFrame, staging: Staging, ranges: int) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int) -> DataFrame:
     """Fingerprints of every text, and of the text with its last quarter replaced by the beginning of the next document.
 
     Columns as the query's contract lists them. Equal texts have equal fingerprints; a text without words has the empty
     one. An empty table gives an empty result; a single document is its own next one.
     """
-    rows = with_next(docs, staging, ranges)
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn(
-        "edited", F.concat(F.expr("left(text, n_chars - floor(n_chars / 4))"), F.expr("left(next_text, cast(floor(n_chars / 4) as int))")))
+    rows = with_next(docs, ranges).withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.withColumn("edited", F.concat(
+        F.expr("left(text, n_chars - floor(n_chars / 4))"), F.expr("left(next_text, cast(floor(n_chars / 4) as int))")))
     rows = rows.select(
-        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), sketch(F.col("text")).alias("_own"),
-        sketch(F.col("edited")).alias("_edited"), sketch(F.col("next_text")).alias("_next"),
-    )
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "own", sketch(F.col("edited")).alias("changed"), "next_own")
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256", F.array_join("_own", ",").alias("fingerprint"),
-        F.array_join("_edited", ",").alias("edited_fingerprint"),
-        likeness(F.col("_own"), F.col("_edited")).alias("near_edited"), likeness(F.col("_own"), F.col("_next")).alias("near_next"),
+        "doc_id", "n_chars", "edited_sha256", F.array_join("own", ",").alias("fingerprint"),
+        F.array_join("changed", ",").alias("edited_fingerprint"),
+        likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("next_own")).alias("near_next"),
     )
