@@ -136,13 +136,48 @@ def weighted_scores(text: str, names: Sequence[str], cutoff: float = 0.0) -> np.
     The plain ratio, or 0.95 of the word ratio; for lengths that differ by half or more, 0.9 (0.6
     beyond eightfold) of the best-stretch ratio instead of the word ratio.
     """
-    best = np.zeros(len(names))
-    if not text:
-        return best
-    todo = [(i, *c) for i, name in enumerate(names) for c in _comparisons(text, name, cutoff)]
+    return _weighted_batch([text], names, cutoff)[0]
+
+
+def _letters(texts: Sequence[str]) -> np.ndarray:
+    """How often each of 256 character classes occurs in each text."""
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32) % 256
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return np.bincount(owner * 256 + points, minlength=256 * len(texts)).reshape(-1, 256)
+
+
+def _promising(texts: Sequence[str], names: Sequence[str], cutoff: float) -> np.ndarray:
+    """Which pairs share enough characters for any comparison to reach the cut-off.
+
+    Texts that share a word are always compared. Otherwise every comparison is between pieces of the two texts, or of
+    their distinct words: what the sides have in common is among the characters that both texts have, and the shorter
+    side of the whole comparison is at least as long as the shorter text's distinct words.
+    """
+    own, wanted = _letters(texts), _letters(names)
+    common = np.minimum(own[:, None, :], wanted[None, :, :]).sum(axis=2)
+    words = [[set(t.split()) for t in side] for side in (texts, names)]
+    sizes, lengths = (
+        np.array([min(len(t), len(_sorted_words(w))) for t, w in zip(side, sets)]) for side, sets in zip((texts, names), words)
+    )
+    # ratio 2c / (x + y), where c is at most what they share and no side is shorter than c
+    near = 200.0 * common >= cutoff * (common + np.minimum(sizes[:, None], lengths[None, :]))
+    holders: dict[str, list[int]] = {}
+    for j, known in enumerate(words[1]):
+        for word in known:
+            holders.setdefault(word, []).append(j)
+    for i, known in enumerate(words[0]):
+        for word in known & holders.keys():
+            near[i, holders[word]] = True
+    return near
+
+
+def _weighted_batch(texts: Sequence[str], names: Sequence[str], cutoff: float) -> np.ndarray:
+    best = np.zeros((len(texts), len(names)))
+    pairs = np.argwhere(_promising(texts, names, cutoff)) if texts and names else []
+    todo = [(i, j, *c) for i, j in pairs if texts[i] for c in _comparisons(texts[i], names[j], cutoff)]
     if todo:
-        owner, weight, left, right = zip(*todo)
-        np.maximum.at(best, list(owner), np.array(weight) * ratios(left, right))
+        text, name, weight, left, right = zip(*todo)
+        np.maximum.at(best, (list(text), list(name)), np.array(weight) * ratios(left, right))
     return best
 
 
@@ -153,18 +188,17 @@ def nearest_weighted(names: Sequence[str], cutoff: float):
     """
     names = tuple(names)
 
-    def best(text: str | None) -> tuple[str | None, float | None]:
-        if text is None:
-            return None, None
-        if text in names:
-            return text, 100.0
-        scores = weighted_scores(text, names, cutoff)
-        top = int(scores.argmax())
-        return (names[top], float(scores[top])) if scores[top] >= cutoff else (None, None)
-
     @pandas_udf(_MATCH)
     def nearest(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([best(t) for t in texts], columns=["match", "score"])
+        given = texts.tolist()
+        found = {t: (t, 100.0) for t in names} | {None: (None, None)}
+        unknown = [t for t in dict.fromkeys(given) if t not in found]
+        for i in range(0, len(unknown), 200):
+            part = unknown[i : i + 200]
+            for t, scores in zip(part, _weighted_batch(part, names, cutoff)):
+                top = int(scores.argmax())
+                found[t] = (names[top], float(scores[top])) if scores[top] >= cutoff else (None, None)
+        return pd.DataFrame([found[t] for t in given], columns=["match", "score"])
 
     return nearest
 

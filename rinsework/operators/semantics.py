@@ -1,19 +1,17 @@
-"""Semantic types: decided by column name, else by rates over a sample of each column's first values."""
+"""Semantic types: decided by column name, else by rates over all values of a column."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import dates, rules
 from ..functions.numbers import strip_currency
 from ..functions.similarity import nearest_weighted
 from ..functions.text import strip
-from .profile import ROW_ID, classes, col
-
-_HEAD_ROWS = 1_000
+from .profile import classes, col
 
 
 def by_name(column: str) -> str | None:
@@ -32,86 +30,78 @@ def is_age_name(column: str) -> bool:
     return column.lower().replace(" ", "_").replace("-", "_") in dict(rules.NAME_HINTS)["age"]
 
 
-def _long(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, at, value): the filled cells of the columns, trimmed, in long form."""
-    order = F.col(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id()
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), strip(col(c).cast("string")).alias("value")) for c in columns
-    ])
-    return (
-        df.select(order.alias("at"), F.explode(cells).alias("cell"))
-        .select("cell.column", "at", "cell.value")
-        .where(F.col("value").isNotNull())
-    )
-
-
-def first_values(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
-    """(column, position, value): the first ``n`` filled cells of each column in row order."""
-    ranked = _long(df, columns).withColumn(
-        "position", F.row_number().over(Window.partitionBy("column").orderBy("at"))
-    )
-    return ranked.where(F.col("position") <= n).select("column", "position", "value")
-
-
-def value_rates(cells: DataFrame) -> DataFrame:
-    """Per column: how large a share of its values looks like each type. Input has column, value."""
-    parsed = dates.with_parsed_dates(cells, {"__date": "value"})
-    v, bare = F.col("value"), strip_currency(F.col("value"))
-
-    def rate(condition):
-        return F.avg(condition.cast("double"))
-
-    return parsed.groupBy("column").agg(
-        F.count(F.lit(1)).alias("sampled"),
-        rate(F.lower(v).isin(*rules.TRUE_WORDS, *rules.FALSE_WORDS)).alias("boolean_rate"),
-        rate(v.contains("@")).alias("email_rate"),
-        rate(v.rlike(rules.DATE_HINT)).alias("date_hint_rate"),
-        rate(F.col("__date").isNotNull()).alias("date_rate"),
-        rate(bare.rlike(rules.PLAIN_NUMBER)).alias("number_rate"),
-        rate(v.rlike(f"[{rules.CURRENCY_SYMBOLS}]")).alias("symbol_rate"),
-        rate(v.rlike(rules.PHONE_SHAPE)).alias("phone_rate"),
-    )
-
-
-def decide(r: Row | Mapping) -> str | None:
-    """The type the rates imply, tested in a fixed order; None when only the city test can tell."""
-    if r["boolean_rate"] == 1:
-        return "boolean"
-    if r["email_rate"] > 0.5:
-        return "email"
-    if r["date_hint_rate"] > 0.5 and r["date_rate"] > 0.65:
-        return "date"
-    if r["number_rate"] > 0.7:
-        return "currency" if r["symbol_rate"] > 0.3 else "numeric_string"
-    return "phone" if r["phone_rate"] > 0.6 else None
-
-
-def semantic_rates(df: DataFrame, columns: Sequence[str], sample: int | None = None) -> DataFrame:
-    """The rates of each column with the type they decide; over whole columns unless a sample is set."""
-    cells = first_values(df, columns, sample) if sample else _long(df, columns)
-    rates = value_rates(cells)
-    c = F.col
-    decided = (
-        F.when(c("boolean_rate") == 1, "boolean")
-        .when(c("email_rate") > 0.5, "email")
-        .when((c("date_hint_rate") > 0.5) & (c("date_rate") > 0.65), "date")
-        .when((c("number_rate") > 0.7) & (c("symbol_rate") > 0.3), "currency")
-        .when(c("number_rate") > 0.7, "numeric_string")
-        .when(c("phone_rate") > 0.6, "phone")
-    )
-    return rates.withColumn("decided", decided)
-
-
-def detect_semantics(
-    df: DataFrame,
-    filled: Mapping[str, int] | None = None,
-    overrides: Mapping[str, str] | None = None,
-) -> dict[str, str]:
+#: The types that values can decide, tested in this order: (type, shares that must exceed a limit; 1 means all).
+DECISIONS: tuple[tuple[str, dict[str, float]], ...] = (
+    ("boolean", {"boolean_rate": 1.0}),
+    ("email", {"email_rate": 0.5}),
+    ("date", {"date_hint_rate": 0.5, "date_rate": 0.65}),
+    ("currency", {"number_rate": 0.7, "symbol_rate": 0.3}),
+    ("numeric_string", {"number_rate": 0.7}),
+    ("phone", {"phone_rate": 0.6}),
+)
+CITY_RATE, CITY_VALUES = 0.5, 3
+
+
+def _passes(share: Column, limit: float) -> Column:
+    return share == 1 if limit == 1 else share > limit
+
+
+def semantic_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Per column: how large a share of all its values looks like each type, and the type that decides.
+
+    One wide aggregate over the table, without a shuffle of cells. Columns without a value have no row.
+    """
+    texts = df.select(*[strip(col(c).cast("string")).alias(f"v{i}") for i, c in enumerate(columns)])
+    parsed = dates.with_parsed_dates(texts, {f"d{i}": f"v{i}" for i in range(len(columns))})
+
+    def rates(i: int, c: str) -> Column:
+        v = F.col(f"v{i}")
+        bare = strip_currency(v)
+        shares = {
+            "boolean_rate": F.lower(v).isin(*rules.TRUE_WORDS, *rules.FALSE_WORDS),
+            "email_rate": v.contains("@"),
+            "date_hint_rate": v.rlike(rules.DATE_HINT),
+            "date_rate": F.when(v.isNotNull(), F.col(f"d{i}").isNotNull()),
+            "number_rate": bare.rlike(rules.PLAIN_NUMBER),
+            "symbol_rate": v.rlike(f"[{rules.CURRENCY_SYMBOLS}]"),
+            "phone_rate": v.rlike(rules.PHONE_SHAPE),
+        }
+        return F.struct(
+            F.lit(c).alias("column"), F.count(v).alias("sampled"),
+            *[F.avg(test.cast("double")).alias(name) for name, test in shares.items()],
+        ).alias(f"r{i}")
+
+    found = parsed.agg(*[rates(i, c) for i, c in enumerate(columns)])
+    found = found.select(F.inline(F.array(*[f"r{i}" for i in range(len(columns))]))).where("sampled > 0")
+    decided = None
+    for semantic, limits in DECISIONS:
+        fits = F.lit(True)
+        for name, limit in limits.items():
+            fits = fits & _passes(F.col(name), limit)
+        decided = F.when(fits, semantic) if decided is None else decided.when(fits, semantic)
+    return found.withColumn("decided", decided)
+
+
+def city_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column, city_rate): the share of a column's values that resemble a known city, from its distinct values.
+
+    Copies are counted before the comparison. A text more than eight times as long as any name cannot reach the score.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), strip(col(c).cast("string")).alias("value")) for c in columns])
+    values = df.select(F.inline(cells)).where(F.col("value").isNotNull())
+    short = F.length("value") <= 8 * max(map(len, rules.CITIES)) + 8
+    counted = values.groupBy("column", F.when(short, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    best = nearest_weighted(rules.CITIES, rules.CITY_DETECT_SCORE).asNondeterministic()(F.coalesce("value", F.lit("")))
+    matched = counted.select("column", "n", best.alias("best"))
+    hits = F.coalesce(F.sum(F.when(F.col("best.match").isNotNull(), F.col("n"))), F.lit(0))
+    return matched.groupBy("column").agg((hits / F.sum("n")).alias("city_rate"))
+
+
+def detect_semantics(df: DataFrame, overrides: Mapping[str, str] | None = None) -> dict[str, str]:
     """Semantic type of every data column.
 
-    Numbers, booleans and dates take the label of their physical type. Text columns are settled by name or
-    by their first 100 values. Those are looked for in the head of the table; only columns too sparse there
-    (``filled`` says how many values a column has) cause a ranked pass over the table.
+    Numbers, booleans and dates take the label of their physical type. Text columns are settled by name, else by
+    all their values; those that no shape decides are cities if enough values resemble one, else text.
     """
     overrides = overrides or {}
     found, unsettled = {}, []
@@ -128,33 +118,13 @@ def detect_semantics(
                 unsettled.append(c)
             else:
                 found[c] = settled
-    if not unsettled:
-        return found
-    for c in unsettled:
-        found[c] = "unknown"
-
-    wanted = rules.DETECTION_SAMPLE
-    narrow = df.select(*[col(c) for c in unsettled], *([ROW_ID] if ROW_ID in df.columns else []))
-    head = narrow.orderBy(ROW_ID).limit(_HEAD_ROWS) if ROW_ID in df.columns else narrow.limit(_HEAD_ROWS)
-    rates = {r["column"]: r for r in _sample_rates(first_values(head, unsettled, wanted))}
-    short = [c for c in unsettled if c not in rates or rates[c]["sampled"] < wanted]
-    if short and filled is None:
-        row = df.agg(*[F.count(col(c)).alias(str(i)) for i, c in enumerate(short)]).first()
-        filled = {c: row[i] for i, c in enumerate(short)}
-    sparse = [c for c in short if filled[c] > (rates[c]["sampled"] if c in rates else 0)]
-    if sparse:
-        rates |= {r["column"]: r for r in _sample_rates(first_values(narrow, sparse, wanted))}
-    for c, r in rates.items():
-        is_city = r["sampled"] >= 3 and r["city_rate"] > 0.5
-        found[c] = decide(r) or ("city" if is_city else "text")
+    if unsettled:
+        rates = {r["column"]: r for r in semantic_rates(df, unsettled).collect()}
+        for c in unsettled:
+            found[c] = (rates[c]["decided"] or "text") if c in rates else "unknown"
+        maybe = [c for c, r in rates.items() if r["decided"] is None and r["sampled"] >= CITY_VALUES]
+        if maybe:
+            for r in city_rates(df, maybe).collect():
+                if r["city_rate"] > CITY_RATE:
+                    found[r["column"]] = "city"
     return {c: found[c] for c in classes(df)}
-
-
-def _sample_rates(sample: DataFrame) -> list[Row]:
-    """The rates of a bounded sample (column, position, value), that of city names included."""
-    best = nearest_weighted(rules.CITIES, rules.CITY_DETECT_SCORE).asNondeterministic()(F.col("value"))
-    early = sample.where(F.col("position") <= rules.CITY_SAMPLE).select("column", best.alias("best"))
-    cities = early.groupBy("column").agg(
-        F.avg(F.col("best.match").isNotNull().cast("double")).alias("city_rate")
-    )
-    return value_rates(sample).join(F.broadcast(cities), "column").collect()

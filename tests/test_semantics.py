@@ -45,7 +45,7 @@ def test_overrides_and_physical_types(spark):
     assert found == {"age": "integer", "city": "float", "email": "boolean", "name": "date", "x": "id", "y": "text"}
 
 
-def test_sparse_columns_are_sampled_beyond_the_head(spark):
+def test_sparse_columns(spark):
     frame = spark.range(5000).select(
         F.col("id").alias("_rid"),
         F.when(F.col("id") >= 4990, F.concat(F.lit("u"), F.col("id"), F.lit("@x.com"))).alias("v"),
@@ -53,10 +53,17 @@ def test_sparse_columns_are_sampled_beyond_the_head(spark):
     assert semantics.detect_semantics(frame) == {"v": "email"}
 
 
-def test_only_the_first_hundred_values_count(spark):
+def test_all_values_count_wherever_they_stand(spark):
     frame = spark.range(400).select(
-        F.col("id").alias("_rid"), F.when(F.col("id") < 100, "yes").otherwise("a@b.com").alias("v")
+        F.col("id").alias("_rid"), F.when(F.col("id") < 100, "yes").otherwise("a@b.com").alias("v"),
+        F.when(F.col("id") < 100, "yes").otherwise(F.concat(F.lit("free text "), F.col("id"))).alias("w"),
+        F.when(F.col("id") < 100, "nothing").otherwise("Mumbia").alias("x"),
     ).repartition(3)
-    assert semantics.detect_semantics(frame) == {"v": "boolean"}
+    assert semantics.detect_semantics(frame) == {"v": "email", "w": "text", "x": "city"}
     rates = semantics.semantic_rates(frame, ["v"]).first()
     assert (rates["sampled"], rates["email_rate"], rates["decided"]) == (400, 0.75, "email")
+
+
+def test_long_texts_are_no_cities(spark):
+    frame = spark.range(10).select(F.concat(F.lit("Pune "), F.repeat(F.lit("word "), 4000)).alias("v"))
+    assert semantics.city_rates(frame, ["v"]).first()["city_rate"] == 0.0
