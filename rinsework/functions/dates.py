@@ -36,7 +36,16 @@ NUMERIC_SHAPES = (
     (rf"^{_OLD}-(\d{{1,2}})-(\d{{1,2}})$", "19$1-$2-$3"),
 )
 
+# --- fixed values: further spellings that only the extended reading knows --------------------------
+COMPACT_SHAPES = (
+    (rf"^{_YEAR}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$", "$1-$2-$3"),
+    (rf"^{_YEAR}-(0?[1-9]|1[0-2])$", "$1-$2-1"),
+)
+
 _MONTH_FIRST = r"^([A-Za-z]+)([ -])(\d{1,2})\2(\d{4})$"
+_MONTH_FIRST_SHORT = r"^([A-Za-z]+)([ -])(\d{1,2})\2(\d{2})$"
+_WORDED_NEW = rf"^(\d{{1,2}})([ /-])([A-Za-z]+)\2{_NEW}$"
+_WORDED_OLD = rf"^(\d{{1,2}})([ /-])([A-Za-z]+)\2{_OLD}$"
 _MONTH_ONLY = r"^([A-Za-z]+) (\d{4})$"
 _WORDED = rf"^(\d{{1,2}})([ /-])([A-Za-z]+)\2{_YEAR}$"
 _WORDED_STRICT = rf"^(\d{{1,2}})( [A-Za-z]+ |-[A-Za-z]{{3}}-|/[A-Za-z]{{3}}/){_YEAR}$"
@@ -72,6 +81,9 @@ def _worded_date(t: Column, extended: bool) -> Column:
     day_first = F.regexp_replace(t, _MONTH_FIRST, "$3$2$1$2$4")
     if extended:
         day_first = F.regexp_replace(day_first, _MONTH_ONLY, "1 $1 $2")
+        day_first = F.regexp_replace(day_first, _MONTH_FIRST_SHORT, "$3$2$1$2$4")
+        day_first = F.regexp_replace(day_first, _WORDED_NEW, "$1$2$3$2" + "20$4")
+        day_first = F.regexp_replace(day_first, _WORDED_OLD, "$1$2$3$2" + "19$4")
     month = F.try_element_at(months, F.lower(F.regexp_extract(day_first, _WORDED, 3)))
     made = F.concat(
         F.regexp_extract(day_first, _WORDED, 4), month, F.regexp_extract(day_first, _WORDED, 1)
@@ -82,7 +94,7 @@ def _worded_date(t: Column, extended: bool) -> Column:
 def _from_tidy(t: Column, extended: bool) -> Column:
     numeric = [
         F.when(t.rlike(shape), F.regexp_replace(t, shape, form).try_cast("date"))
-        for shape, form in NUMERIC_SHAPES
+        for shape, form in NUMERIC_SHAPES + (COMPACT_SHAPES if extended else ())
     ]
     return F.when(t.rlike("[A-Za-z]"), _worded_date(t, extended)).when(
         ~t.rlike(_SCREENED) | t.rlike(_PLAUSIBLE), F.coalesce(*numeric)
@@ -93,11 +105,32 @@ def parse_date(c: Column, extended: bool = True) -> Column:
     """The date a text spells, else NULL.
 
     Day-first spellings win over month-first ones where both fit. ``extended`` adds ordinals, commas,
-    weekday names, ``Jan 2025`` (first of the month) and a time of day, which is dropped.
+    weekday names, ``15 Jan 25``, ``20250115``, ``Jan 2025`` and ``2025-01`` (first of the month), and a time of
+    day, which is dropped; :func:`seconds_of_day` reads it.
     """
     return _from_tidy(_tidy(c, extended), extended)
 
 
+_CLOCK = r"(?i)[T\s](\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([AP]M)?\s*(?:Z|UTC|GMT|([+-])(\d{2}):?(\d{2}))?$"
+
+
+def seconds_of_day(c: Column) -> Column:
+    """The seconds after midnight that the end of a text spells, less its offset from UTC; 0 without a clock time.
+
+    NULL for a time that doesn't exist, such as 25:00 or 13:00 PM.
+    """
+    t = strip(c)
+    hour, minute, second, ahead_h, ahead_m = (
+        F.coalesce(F.regexp_extract(t, _CLOCK, k).try_cast("int"), F.lit(0)) for k in (1, 2, 3, 6, 7)
+    )
+    half, sign = F.upper(F.regexp_extract(t, _CLOCK, 4)), F.regexp_extract(t, _CLOCK, 5)
+    fits = (minute < 60) & (second < 60) & F.when(half == "", hour < 24).otherwise(hour.between(1, 12))
+    full_hour = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "PM", 12).otherwise(0))
+    ahead = (ahead_h * 3600 + ahead_m * 60) * F.when(sign == "-", -1).otherwise(1)
+    clock = F.when(fits, full_hour * 3600 + minute * 60 + second - ahead)
+    return F.when(t.rlike(_CLOCK), clock).otherwise(0)
+
+
 def with_parsed_dates(
     df: DataFrame, targets: Mapping[str, str], extended: bool = True
 ) -> DataFrame:

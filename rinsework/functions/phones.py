@@ -1,7 +1,8 @@
-"""Phone expressions: E.164 form from a small table of numbering plans.
+"""Phone expressions: E.164 form from numbering plans and the table of calling codes.
 
-The table becomes one ``CASE`` expression, so cleaning a phone column is a projection — no join, no
-Python. Callers extend it by passing their own rules.
+Numbers of the listed plans are checked against the shape of their national numbers. Other international numbers
+need an assigned calling code and a length that E.164 allows. All of it is one ``CASE`` expression, so cleaning a
+phone column is a projection — no join, no Python. Callers extend the plans by passing their own rules.
 """
 
 from __future__ import annotations
@@ -30,6 +31,16 @@ def _known_number(plans: Sequence[PhoneRule]) -> str:
     return r"^\+(" + "|".join(p.calling_code + p.national for p in plans) + ")$"
 
 
+_ASSIGNED = "|".join([*rules.SHORT_CODES, *[f"{zone}[{last}]" for zone, last in rules.CODE_ZONES.items()]])
+
+
+def _elsewhere(dialled: Column, plans: Sequence[PhoneRule]) -> Column:
+    """Whether an international number has an assigned calling code without a plan, and a possible length."""
+    planned = "|".join(p.calling_code for p in plans)
+    shape = rf"^\+(?!({planned}))({_ASSIGNED})\d{{{rules.NATIONAL_DIGITS},}}$"
+    return dialled.rlike(shape) & (F.length(dialled) <= rules.E164_DIGITS + 1)
+
+
 def _from_dialled(dialled: Column, plans: Sequence[PhoneRule], home: PhoneRule) -> Column:
     known = _known_number(plans)
     abroad = F.when(dialled.rlike(known), dialled)
@@ -40,6 +51,7 @@ def _from_dialled(dialled: Column, plans: Sequence[PhoneRule], home: PhoneRule)
         if trunk:
             bare = F.regexp_replace(dialled, rf"^\+({'|'.join(codes)}){trunk}", "+$1")
             abroad = abroad.when(bare.rlike(known), bare)
+    abroad = abroad.when(_elsewhere(dialled, plans), dialled)
     national = f"^({home.trunk})?({home.national})$"
     return (
         F.when(dialled.startswith("+"), abroad)
@@ -73,10 +85,21 @@ def with_e164(
     )
 
 
+def is_unlisted(c: Column) -> Column:
+    """Whether a cell is an international number whose calling code isn't assigned to anybody."""
+    dialled = _dialled(c)
+    number = rf"^\+[1-9]\d{{7,{rules.E164_DIGITS - 1}}}$"
+    return F.coalesce(dialled.rlike(number) & ~dialled.rlike(rf"^\+({_ASSIGNED})"), F.lit(False))
+
+
 def phone_status(c: Column, number: Column) -> Column:
-    """``valid`` / ``corrected`` / ``invalid`` for a cell and its E.164 form; NULL for blank cells."""
+    """``valid`` / ``corrected`` / ``unknown`` / ``invalid`` for a cell and its E.164 form; NULL for blank cells.
+
+    ``unknown`` numbers have a calling code that isn't assigned; nothing says that they're wrong.
+    """
     return (
         F.when(is_blank(c), F.lit(None).cast("string"))
+        .when(number.isNull() & is_unlisted(c), "unknown")
         .when(number.isNull(), "invalid")
         .when(number != strip(c), "corrected")
         .otherwise("valid")

@@ -91,8 +91,6 @@ CITIES = (
 SPECIAL_USE_DOMAINS = ("arpa", "invalid", "local", "localhost", "onion", "test")
 
 # --- fixed values: thresholds --------------------------------------------------------------------
-DETECTION_SAMPLE = 100
-CITY_SAMPLE = 20
 CITY_DETECT_SCORE = 82
 CITY_FIX_SCORE = 80
 FUZZY_SCORE = 85
@@ -128,3 +126,18 @@ PHONE_RULES = (
     PhoneRule("CN", "86", "0", r"1[3-9]\d{9}"),
 )
 DEFAULT_COUNTRY = "IN"
+
+# --- fixed values: assigned country calling codes: short ones, then third digits by zone ----------
+SHORT_CODES = (
+    "1", "7", "20", "27", "30", "31", "32", "33", "34", "36", "39", "40", "41", "43", "44", "45", "46", "47", "48", "49",
+    "51", "52", "53", "54", "55", "56", "57", "58", "60", "61", "62", "63", "64", "65", "66", "81", "82", "84", "86",
+    "90", "91", "92", "93", "94", "95", "98",
+)
+CODE_ZONES = {
+    "21": "12368", "22": "0123456789", "23": "0123456789", "24": "0123456789", "25": "012345678", "26": "0123456789",
+    "29": "01789", "35": "0123456789", "37": "0123456789", "38": "01235679", "42": "013", "50": "0123456789",
+    "59": "0123456789", "67": "023456789", "68": "012356789", "69": "012", "80": "08", "85": "02356", "87": "08",
+    "88": "012368", "96": "012345678", "97": "012345679", "99": "234568",
+}
+#: Digits of a whole international number, calling code included, and of its national part at least.
+E164_DIGITS, NATIONAL_DIGITS = 15, 4

@@ -76,7 +76,8 @@ def standardize_dates(
 ) -> DataFrame:
     """Bring text columns of dates to ``YYYY-MM-DD``; ``modes`` is ``{column: nullify|standardize|keep}``.
 
-    ``as_type`` may be ``date`` or ``timestamp`` instead, in which case nothing unparsable can be kept.
+    ``as_type`` may be ``date`` or ``timestamp`` instead, in which case nothing unparsable can be kept. Timestamps
+    carry the clock time that the cell spells, brought to UTC where it names an offset.
     """
     bad = set(modes.values()) - set(DATE_MODES)
     if bad:
@@ -89,7 +90,8 @@ def standardize_dates(
     wide = dates.with_parsed_dates(df, {p: c for c, p in parsed.items()}, extended)
     changed = {
         c: dates.standard_date(col(c), F.col(parsed[c]), m) if as_type == "string"
-        else F.col(parsed[c]).cast(as_type)
+        else F.timestamp_seconds(F.unix_seconds(F.col(parsed[c]).cast("timestamp")) + dates.seconds_of_day(col(c)))
+        if as_type == "timestamp" else F.col(parsed[c]).cast(as_type)
         for c, m in active.items()
     }
     extra = {
@@ -127,13 +129,14 @@ def clean_phones(
     plans: Sequence[rules.PhoneRule] = rules.PHONE_RULES,
     default_country: str = rules.DEFAULT_COUNTRY, keep_invalid: bool = False,
 ) -> DataFrame:
-    """Bring phone numbers to E.164; invalid ones become NULL (or stay, with ``keep_invalid``). Blank
-    cells are left alone."""
+    """Bring phone numbers to E.164; invalid ones become NULL (or stay, with ``keep_invalid``). Blank cells and
+    numbers of an unassigned calling code (status ``unknown``) are left alone."""
     wide = phones.with_e164(df, {"__e164": column}, plans, default_country)
     number = F.col("__e164")
     verdict = phones.phone_status(col(column), number)
     kept = F.coalesce(number, col(column)) if keep_invalid else number
-    cleaned = F.when(text.is_blank(col(column)), col(column)).otherwise(kept)
+    stays = text.is_blank(col(column)) | (number.isNull() & phones.is_unlisted(col(column)))
+    cleaned = F.when(stays, col(column)).otherwise(kept)
     return wide.select(
         *[cleaned.alias(c) if c == column else col(c) for c in df.columns],
         *([verdict.alias(status)] if status else []),

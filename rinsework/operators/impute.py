@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from decimal import Decimal
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -49,15 +50,20 @@ def fill_value(stats: ColumnStats, strategy: str) -> Any:
     if strategy == "Mean":
         return None if stats.mean is None else round(stats.mean, 4)
     if strategy == "Mode":
-        return float(stats.mode) if stats.mode and stats.kind in ("integer", "float") else stats.mode
+        if stats.mode is None or stats.kind not in ("integer", "float"):
+            return stats.mode
+        if stats.kind == "integer":
+            return int(stats.mode)
+        return Decimal(stats.mode) if stats.type.startswith("decimal") else float(stats.mode)
     return None
 
 
 def filled(df: DataFrame, name: str, value: Any) -> Column:
     dtype = df.schema[name].dataType
     if isinstance(dtype, (T.IntegralType, T.FractionalType, T.DecimalType)):
-        if isinstance(dtype, T.IntegralType) and float(value).is_integer():
-            fill = F.lit(int(value)).cast(dtype)
+        if isinstance(value, Decimal) or isinstance(dtype, T.IntegralType) and float(value).is_integer():
+            exact = value if isinstance(value, (int, Decimal)) else int(value)
+            fill = F.lit(str(exact)).cast(dtype)
         else:
             return F.when(is_missing(df, name), F.lit(float(value))).otherwise(col(name).cast("double"))
     elif isinstance(dtype, T.StringType):

@@ -127,13 +127,21 @@ def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, unique_count, mode): most frequent value as text, the smallest one on ties."""
+    """(column, unique_count, mode): most frequent value as text, the smallest one on ties; numbers by their size."""
+    kinds = classes(df)
+    whole = [c for c in columns if kinds[c] == "integer" or isinstance(df.schema[c].dataType, T.DecimalType)]
+    real = [c for c in columns if kinds[c] == "float" and c not in whole]
+    # decimal(38, 10) would cut nothing but the digits of decimals finer than that, which then compare as doubles
+    size = F.struct(
+        F.when(F.col("column").isin(whole), F.col("value").try_cast("decimal(38,10)")).alias("exact"),
+        F.when(F.col("column").isin(whole + real), F.col("value").try_cast("double")).alias("number"),
+    )
     return (
         value_frequencies(df, columns)
         .groupBy("column")
         .agg(
             F.count(F.lit(1)).alias("unique_count"),
-            F.min(F.struct((-F.col("n")).alias("rank"), "value"))["value"].alias("mode"),
+            F.min(F.struct((-F.col("n")).alias("rank"), size.alias("size"), "value"))["value"].alias("mode"),
         )
     )
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rinsework.functions import dates, emails, numbers, text
-from rinsework.operators import columns
+from rinsework.operators import columns, impute
 
 
 def column(frame, name="v"):
@@ -166,3 +166,39 @@ def test_title_case(texts):
     assert column(frame) == [c and c.strip().title() for c in cells]
     frame = texts(cells).select("i", text.standardize_text(F.col("v"), True).alias("v"))
     assert column(frame) == [c and c.strip() for c in cells]
+
+
+@pytest.mark.parametrize("cell, number, status", [
+    ("+39 06 698 12345", "+390669812345", "corrected"), ("+5511912345678", "+5511912345678", "valid"),
+    ("0027 82 123 4567", "+27821234567", "corrected"), ("+7 495 123-45-67", "+74951234567", "corrected"),
+    ("+999 1234 5678", "+999 1234 5678", "unknown"), ("+34 12", None, "invalid"), ("+390 12345678901234", None, "invalid"),
+    ("+91 12", None, "invalid"), (" ", " ", None), (None, None, None),
+])
+def test_phones_of_other_plans(texts, cell, number, status):
+    row = columns.clean_phones(texts([cell]), "v", "status").first()
+    assert (row["v"], row["status"]) == (number, status)
+
+
+@pytest.mark.parametrize("cell, day, time", [
+    ("15 Jan 25", "2025-01-15", "00:00:00"), ("Jan 5, 75", "1975-01-05", "00:00:00"), ("20250115", "2025-01-15", "00:00:00"),
+    ("2025-01", "2025-01-01", "00:00:00"), ("2024-03-10 14:25", "2024-03-10", "14:25:00"), ("2024-03-10T23:05:09Z", "2024-03-10", "23:05:09"),
+    ("10 Mar 2024 12:30 am", "2024-03-10", "00:30:00"), ("2024-03-10 00:15:00+02:00", "2024-03-10", "22:15:00 the day before"),
+    ("2024-03-10 25:00", "2024-03-10", None), ("20251301", None, None), ("15 Foo 25", None, None),
+])
+def test_further_dates_and_times(texts, cell, day, time):
+    frame = texts([cell])
+    assert columns.standardize_dates(frame, {"v": "nullify"}).first()["v"] == day
+    found = columns.standardize_dates(frame, {"v": "nullify"}, as_type="timestamp").first()["v"]
+    if day is None or time is None:
+        assert found is None
+    elif "before" in time:
+        assert str(found) == "2024-03-09 22:15:00"
+    else:
+        assert str(found) == f"{day} {time}"
+
+
+def test_mode_of_numbers(spark):
+    rows = [(9007199254740993, 9, 9.0), (9007199254740993, 10, 10.0), (9007199254740995, 9, 9.0), (None, 10, 10.0), (None, None, None)]
+    frame = spark.createDataFrame(rows, "big long, tied long, real double")
+    filled = impute.impute(frame, {"big": "Mode", "tied": "Mode", "real": "Mode"})[0].collect()
+    assert tuple(filled[-1]) == (9007199254740993, 9, 9.0)
