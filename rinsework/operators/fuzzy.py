@@ -19,7 +19,6 @@ All bounds are necessary conditions, so nothing is lost; the tests compare with
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -34,8 +33,8 @@ from .profile import col
 BLOCK_LIMIT = 500  # forms per slice of a block
 SPLIT_LIMIT = 5_000  # forms per block before it is split by a further bigram
 MAX_DEPTH = 2  # shared bigrams a block may require
+TOP_NODES = 1_000_000  # numbers that one task may put in order to find where a batch ends
 FIRST_BATCH = 1_000  # forms decided in the first round of fuzzy deduplication
-DRIVER_EDGES = 500_000  # edges (two integers each) up to which a batch is decided on the driver
 _BUCKETS = 65_536  # rows of the bigram frequency table, whatever the data
 
 # score >= 85 after rounding means distance < 15.5 % of the summed lengths
@@ -54,15 +53,12 @@ def _pairs_among(count: str) -> Column:
 # --- forms ---------------------------------------------------------------------------------------
 
 
-def forms(
-    df: DataFrame, key: str, order_by: str | None = None, first_values: int | None = None
-) -> DataFrame:
+def forms(df: DataFrame, key: str, order_by: str | None = None) -> DataFrame:
     """(form, node, members, same): one row per distinct processed text of the column.
 
     ``node`` is the smallest ``order_by`` among its rows (a hash of the form without one), ``members``
     the number of distinct raw values, ``same`` the number of pairs of them that differ only in case or
-    outer blanks. Texts under three characters never take part. ``first_values`` restricts the input to
-    the first so many distinct values in row order.
+    outer blanks. Texts under three characters never take part.
     """
     order = col(order_by).cast("long") if order_by else F.lit(0).cast("long")
     raw = (
@@ -70,8 +66,6 @@ def forms(
         .groupBy(col(key).cast("string").alias("raw"))
         .agg(F.min(order).alias("node"))
     )
-    if first_values is not None:
-        raw = raw.orderBy("node", "raw").limit(first_values)
     per_form = (
         raw.where(F.length(strip(F.col("raw"))) >= rules.FUZZY_MIN_CHARS)
         .select(processed(F.col("raw")).alias("form"), F.lower(strip(F.col("raw"))).alias("low"), "node")
@@ -244,13 +238,13 @@ class Matcher:
 
     def __init__(
         self, df: DataFrame, key: str, order_by: str | None = None, method: str = "indel",
-        first_values: int | None = None, staging: Staging | None = None,
+        staging: Staging | None = None,
     ):
         if method not in METHODS:
             raise ValueError(f"unknown similarity method {method!r}; choose from {METHODS}")
-        self.key, self.order_by, self.method, self.first_values = key, order_by, method, first_values
+        self.key, self.order_by, self.method = key, order_by, method
         self.staging = staging or Staging(df.sparkSession)
-        self.nodes = self.staging.write(forms(df, key, order_by, first_values), "forms")
+        self.nodes = self.staging.write(forms(df, key, order_by), "forms")
 
     @cached_property
     def index(self) -> DataFrame:
@@ -290,8 +284,8 @@ class Matcher:
 
     def drop_similar(self, df: DataFrame) -> DataFrame:
         """Drop the rows whose key resembles an earlier kept key; ``df`` has the rows the forms came from."""
-        if self.order_by is None or self.first_values is not None:
-            raise ValueError("deduplication needs a row order and all values")
+        if self.order_by is None:
+            raise ValueError("deduplication needs a row order")
         kept = self.kept().select(F.col("node").alias("__node"))
         text = strip(col(self.key).cast("string"))
         compared = F.coalesce(F.length(text) >= rules.FUZZY_MIN_CHARS, F.lit(False))
@@ -318,11 +312,14 @@ def similar_pairs(
 
 
 def fuzzy_pair_count(
-    df: DataFrame, key: str, order_by: str | None = None, method: str = "indel",
-    first_values: int | None = None, staging: Staging | None = None,
+    df: DataFrame, key: str, order_by: str | None = None, method: str = "indel", staging: Staging | None = None
 ) -> int:
     """Pairs of distinct values that differ ignoring case and outer blanks, yet score 85 or more."""
-    return Matcher(df, key, order_by, method, first_values, staging).pair_count()
+    own = Staging(df.sparkSession) if staging is None else None
+    count = Matcher(df, key, order_by, method, staging or own).pair_count()
+    if own is not None:
+        own.discard()
+    return count
 
 
 # --- fuzzy deduplication -------------------------------------------------------------------------
@@ -331,13 +328,6 @@ def fuzzy_pair_count(
 def _decide(nodes: DataFrame, edges: DataFrame, staging: Staging) -> DataFrame:
     """The kept nodes: in ascending order, a node stays unless it has an edge to a kept smaller one."""
     edges = staging.write(edges.select("a", "b"), "edges")
-    if edges.count() <= DRIVER_EDGES:
-        few = edges.toPandas()
-        dropped = _greedy_drops(zip(few["a"].tolist(), few["b"].tolist()))
-        if not dropped:
-            return nodes
-        spark = nodes.sparkSession
-        return nodes.join(spark.createDataFrame([(d,) for d in dropped], "node long"), "node", "left_anti")
     dropped_parts = []
     while not edges.isEmpty():
         # every node without a smaller undecided neighbour stays; its neighbours go
@@ -362,17 +352,6 @@ def _decide(nodes: DataFrame, edges: DataFrame, staging: Staging) -> DataFrame:
     return nodes
 
 
-def _greedy_drops(edges: Iterable[tuple[int, int]]) -> set[int]:
-    smaller: dict[int, list[int]] = {}
-    for a, b in edges:
-        smaller.setdefault(b, []).append(a)
-    dropped: set[int] = set()
-    for node in sorted(smaller):
-        if any(a not in dropped for a in smaller[node]):
-            dropped.add(node)
-    return dropped
-
-
 def kept_forms(nodes: DataFrame, index: DataFrame, staging: Staging, method: str) -> DataFrame:
     """The forms that survive greedy deduplication in ascending node order.
 
@@ -387,9 +366,12 @@ def kept_forms(nodes: DataFrame, index: DataFrame, staging: Staging, method: str
         if remaining <= size:
             batch, later = undecided, None
         else:
-            limit = undecided.agg(
-                F.percentile_approx("node", size / remaining, 10_000).alias("limit")
-            ).first()["limit"]
+            if size <= TOP_NODES:  # the exact first so many: every task keeps its smallest, and one number comes back
+                first = undecided.orderBy("node").limit(size).agg(F.max("node").alias("limit"))
+            else:  # a rank error of at most a tenth of the batch
+                accuracy = max(10_000, 10 * remaining // size)
+                first = undecided.agg(F.percentile_approx("node", size / remaining, accuracy).alias("limit"))
+            limit = first.first()["limit"]
             batch = undecided.where(F.col("node") <= limit)
             later = undecided.where(F.col("node") > limit)
         part = index.join(batch, "node", "left_semi") if later is not None else index.join(

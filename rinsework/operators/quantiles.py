@@ -16,18 +16,21 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from math import ceil, floor
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-from ..session import concurrently
+from ..session import Staging, concurrently
 
 MAP_LIMIT = 200_000  # distinct values a single aggregation buffer may hold
 _ACCURACY = 10_000
 _MARGIN = 0.0005
 _ROUNDS = 24
 _SMALL = 1_000  # values an interval may always hold
+_PART = 0.02  # the share of the table that an interval may hold when its rows are written out
 
 
 @dataclass
@@ -143,9 +146,11 @@ def exact_quantiles(
             for c, ps in many.items()
             for p in ps
         ]
-        _narrow(df, ranks, sketches, map_limit)
-        for rank, value in _read_off(df, ranks):
+        staging = Staging(df.sparkSession)
+        table = _narrow(df, ranks, sketches, map_limit, staging)
+        for rank, value in _read_off(table, ranks):
             found[rank.column][rank.probability] = value
+        staging.discard()
 
     jobs = [job for job, columns in ((count_few, few), (narrow_many, many)) if columns]
     if jobs:
@@ -153,28 +158,46 @@ def exact_quantiles(
     return found
 
 
+def _inside(df: DataFrame, ranks: list[_Rank]) -> DataFrame:
+    """The wanted columns, holding only values inside an interval, and only rows that have one."""
+    columns = dict.fromkeys(r.column for r in ranks)
+    kept = {
+        c: F.when(reduce(or_, [r.contains(numeric(c)) for r in ranks if r.column == c]), numeric(c)) for c in columns
+    }
+    return df.select(*[v.alias(c) for c, v in kept.items()]).where(
+        reduce(or_, [F.col(f"`{c}`").isNotNull() for c in columns])
+    )
+
+
 def _narrow(
-    df: DataFrame, ranks: list[_Rank], sketches: Mapping[str, Sketch], map_limit: int
-) -> None:
+    df: DataFrame, ranks: list[_Rank], sketches: Mapping[str, Sketch], map_limit: int, staging: Staging
+) -> DataFrame:
+    """Narrow the intervals until they hold few distinct values; returns a table with all rows inside them.
+
+    Once every interval is a small part of the table, the rows inside are written out, and later rounds read those.
+    """
     limit = max(_SMALL, map_limit // len(ranks))
+    staged = False
     for attempt in range(_ROUNDS):
         wide = [r for r in ranks if r.distinct > limit]
         if not wide:
-            return
+            return df
+        if not staged and all(r.inside <= _PART * sketches[r.column].count for r in ranks):
+            df, staged = staging.write(_inside(df, ranks), "inside"), True
         trials = _propose(df, wide) if attempt else [
             _Rank(r.column, r.probability, r.position, *sketches[r.column].edges[r.probability])
             for r in wide
         ]
         counts = df.agg(*[
             expression
-            for i, t in enumerate(trials)
+            for i, (r, t) in enumerate(zip(wide, trials))
             for expression in (
-                F.count_if(numeric(t.column) < t.low).alias(f"u{i}"),
+                F.count_if(r.contains(numeric(t.column)) & (numeric(t.column) < t.low)).alias(f"u{i}"),
                 F.count_if(t.contains(numeric(t.column))).alias(f"n{i}"),
             )
         ]).first()
         for i, (r, t) in enumerate(zip(wide, trials)):
-            below, inside = counts[f"u{i}"], counts[f"n{i}"]
+            below, inside = r.below + counts[f"u{i}"], counts[f"n{i}"]
             if below <= r.first and r.last < below + inside:
                 r.low, r.high, r.below, r.inside = t.low, t.high, below, inside
                 r.distinct = 1 if r.low == r.high else inside

@@ -13,7 +13,7 @@ from ..operators.profile import ROW_ID, TableStats, collect_stats, data_columns,
 from ..operators.report import EmailAudit, audit_cells, column_status, diagnostics_frame
 from ..operators.scoring import Audit
 from ..operators.semantics import detect_semantics
-from ..session import Staging, concurrently, spread
+from ..session import Staging, concurrently
 
 FUZZY_KEY_TYPES = ("text", "name", "email", "phone", "unknown")
 
@@ -58,7 +58,6 @@ def diagnose(
     df: DataFrame,
     semantic_overrides: Mapping[str, str] | None = None,
     fuzzy: bool = True,
-    fuzzy_values: int | None = None,
     fuzzy_method: str = "indel",
     exact: bool = True,
     duplicates: int | None = None,
@@ -66,13 +65,13 @@ def diagnose(
 ) -> Diagnosis:
     """Profile and audit a table.
 
-    ``fuzzy=False`` skips the count of near-duplicate values, ``fuzzy_values`` restricts it to the first so
-    many distinct values; ``exact=False`` takes distinct counts and quantiles from sketches. A known number of
-    ``duplicates`` saves counting them.
+    ``fuzzy=False`` skips the count of near-duplicate values; ``exact=False`` takes distinct counts and quantiles
+    from sketches. A known number of ``duplicates`` saves counting them. Without a ``staging`` to share, the tables
+    that the count needed are deleted again.
     """
     spark = df.sparkSession
-    staging = staging or Staging(spark)
-    in_order, df = df, spread(df)
+    own = Staging(spark) if staging is None else None
+    staging = staging or own
 
     def count_duplicates() -> int:
         if duplicates is not None or not data_columns(df):
@@ -81,7 +80,7 @@ def diagnose(
 
     stats, semantics, repeated = concurrently(
         lambda: collect_stats(df, exact),
-        lambda: detect_semantics(in_order, overrides=semantic_overrides),
+        lambda: detect_semantics(df, overrides=semantic_overrides),
         count_duplicates,
     )
     of_type = {t: [c for c, k in semantics.items() if k == t] for t in set(semantics.values())}
@@ -93,12 +92,15 @@ def diagnose(
         if not (fuzzy and key):
             return None, 0
         order = ROW_ID if ROW_ID in df.columns else None
-        matcher = Matcher(df, key, order, fuzzy_method, fuzzy_values, staging)
+        matcher = Matcher(df, key, order, fuzzy_method, staging)
         return matcher, matcher.pair_count()
 
     (email_audits, outliers), (matcher, near) = concurrently(
-        lambda: audit_cells(df, email_columns, bounds, in_order), match
+        lambda: audit_cells(df, email_columns, bounds), match
     )
+    if own is not None:
+        matcher = None
+        own.discard()
     audit = Audit(
         rows=stats.rows,
         cols=len(data_columns(df)),

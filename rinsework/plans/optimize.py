@@ -21,7 +21,7 @@ from ..operators.profile import ROW_ID, classes, col, data_columns
 from ..operators.scoring import improvement_percent
 from ..operators.semantics import detect_semantics, is_age_name
 from ..operators.verify import Verification, post_clean_verify
-from ..session import Staging, spread
+from ..session import Staging
 from .diagnose import FUZZY_KEY_TYPES, Diagnosis, diagnose
 from .overrides import Overrides
 
@@ -77,15 +77,15 @@ def optimize(
     semantic_overrides: Mapping[str, str] | None = None,
     fuzzy_dedup: bool = True,
     fuzzy_audit: bool = True,
-    fuzzy_values: int | None = None,
     fuzzy_method: str = "indel",
+    city_method: str = "weighted",
 ) -> CleanResult:
     """Run the cleaning steps on a table.
 
     ``order_by`` names a unique integer column that defines row order; without one, rows keep the order of
     their files. ``fuzzy_dedup=False`` keeps rows whose key merely resembles an earlier one;
-    ``fuzzy_audit=False`` skips the near-duplicate counts of the two diagnoses; ``fuzzy_values`` and
-    ``fuzzy_method`` are as in :func:`diagnose` and the fuzzy operators.
+    ``fuzzy_audit=False`` skips the near-duplicate counts of the two diagnoses; ``fuzzy_method`` and
+    ``city_method`` are as in the fuzzy operators and :func:`dictionary.correct_names`.
     """
     spark = df.sparkSession
     staging = Staging(spark)
@@ -94,12 +94,12 @@ def optimize(
     steps: list[str] = []
 
     # one shuffle of whole rows serves the duplicate count and the deduplication
-    df = staging.write(spread(dedup.with_row_id(df, order_by)), "input")
+    df = staging.write(dedup.with_row_id(df, order_by), "input")
     rows = df.count()
     distinct = staging.write(dedup.drop_exact_duplicates(df), "distinct")
     left = distinct.count()
     before = diagnose(
-        df, semantic_overrides, fuzzy_audit, fuzzy_values, fuzzy_method, duplicates=rows - left,
+        df, semantic_overrides, fuzzy_audit, fuzzy_method, duplicates=rows - left,
         staging=staging,
     )
     initial = before.semantics
@@ -138,7 +138,7 @@ def optimize(
     )
     if fuzzy_dedup and key:
         matcher = before.matcher
-        if matcher is None or matcher.key != key or matcher.first_values is not None:
+        if matcher is None or matcher.key != key:
             matcher = fuzzy.Matcher(df, key, ROW_ID, fuzzy_method, staging=staging)
         df = staging.write(matcher.drop_similar(df), "fuzzy")
         left = df.count()
@@ -168,7 +168,7 @@ def optimize(
     for c in text["phone"]:
         df = columns.clean_phones(df, c, mark("phone", c))
     for c in text["city"]:
-        df = dictionary.correct_names(df, c, staging, changed_flag=mark("city", c))
+        df = dictionary.correct_names(df, c, staging, method=city_method, changed_flag=mark("city", c))
     doomed = F.lit(False)
     for c, name in marks["email"]:
         if email_modes[c] == "remove":
@@ -187,7 +187,7 @@ def optimize(
     for kind, statuses, scope in (
         ("date", ("converted", "rejected"), F.lit(True)),
         ("email", ("valid", "corrected", "invalid"), F.lit(True)),
-        ("phone", ("valid", "corrected", "invalid"), stays),
+        ("phone", ("valid", "corrected", "unknown", "invalid"), stays),
     ):
         for _, name in marks[kind]:
             wanted |= {f"{name}:{s}": (F.col(name) == s) & scope for s in statuses}
@@ -216,8 +216,8 @@ def optimize(
             steps.append(f"E-mail column '{c}': {valid} valid, {fixed} corrected, {bad} invalid.")
     metrics["emails_rows_removed"] = counts["removed"]
     for c, name in marks["phone"]:
-        valid, fixed, bad = (counts[f"{name}:{s}"] for s in ("valid", "corrected", "invalid"))
-        metrics["phones_found"] += valid + fixed + bad
+        valid, fixed, unknown, bad = (counts[f"{name}:{s}"] for s in ("valid", "corrected", "unknown", "invalid"))
+        metrics["phones_found"] += valid + fixed + unknown + bad
         metrics["phones_valid"] += valid
         metrics["phones_corrected"] += fixed
         metrics["phones_invalid"] += bad
@@ -271,7 +271,7 @@ def optimize(
 
     # verification of the finished table
     after = diagnose(
-        df, semantic_overrides, fuzzy_audit, fuzzy_values, fuzzy_method, duplicates=0, staging=staging
+        df, semantic_overrides, fuzzy_audit, fuzzy_method, duplicates=0, staging=staging
     )
     after.matcher = None
     after.audit.dates_rejected = metrics["dates_rejected"]
