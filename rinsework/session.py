@@ -4,13 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Collection
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 from threading import Lock
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Applications whose executors have the package.
+_shipped: set[str] = set()
+
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **conf: str) -> SparkSession:
     """A local session with the settings the tests and the bench use.
@@ -54,20 +59,22 @@ def staging_root(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a small table as many partitions as there are cores.
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application.
 
-    A table of one or two files is read by one or two tasks, however costly the expressions on top. Where
-    Spark's size estimate says that splitting by size cannot occupy the cores, the rows are redistributed once;
-    such a table is small by definition. Anything larger is returned as it is. Row order is lost.
+    Functions that run in Python on executors import the package there. Where executors can't see the driver's
+    folder (or the driver runs in another one), they need a copy; Spark's own file distribution takes it there.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    split_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
-        spark.conf.get("spark.sql.files.maxPartitionBytes")
-    )
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return df.repartition(cores) if estimate < cores * split_bytes else df
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="rinsework-")) / "rinsework.zip"
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as archive:
+        for source in sorted(package.rglob("*.py")):
+            archive.write(source, Path(package.name) / source.relative_to(package))
+    context.addPyFile(str(target))
+    _shipped.add(context.applicationId)
 
 
 def concurrently(*tasks: Callable[[], Any]) -> list[Any]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,10 +57,15 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.select(*[typed(position[c], c).alias(c) if c in position else col(c) for c in df.columns])
 
 
-def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether any quoted field holds a line break: some line then has an odd number of quotes."""
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+def spans_lines(spark: SparkSession, path: str, delimiter: str = ",") -> bool:
+    """Whether any quoted field holds a line break: in some line a field opens with a quote and doesn't close.
+
+    Quotes inside of unquoted fields, such as inch marks, open nothing.
+    """
+    sep = re.escape(delimiter)
+    closed = rf'(^|{sep})"(?:[^"]++|"")*+"(?={sep}|$)'
+    rest = F.regexp_replace("value", closed, "$1")
+    return not spark.read.text(path).where(F.col("value").contains('"') & rest.rlike(rf'(^|{sep})"')).isEmpty()
 
 
 def read_csv(
@@ -71,7 +78,7 @@ def read_csv(
     one cheap splittable scan finds out, so that large ordinary files are read in parallel.
     """
     if multi_line is None:
-        multi_line = spans_lines(spark, path)
+        multi_line = spans_lines(spark, path, delimiter)
     df = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)

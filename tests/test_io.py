@@ -41,6 +41,16 @@ def test_quoted_line_breaks_are_noticed(spark, tmp_path, leads):
     assert [r["note"] for r in read_csv(spark, str(path)).collect()] == ["two\nlines", 'a "quoted" word']
 
 
+@pytest.mark.parametrize("line, spans", [
+    ('1,5" nail', False), ('1,"5"" nail"', False), ('1,a "quoted" word', False), ('"a, b",x', False), ('"","",""', False),
+    ('1,"open', True), ('"open', True), ('1,"a""', True), ('1,"closed","open, still', True), ("", False),
+])
+def test_only_an_open_field_spans_lines(spark, tmp_path, line, spans):
+    path = tmp_path / "one.csv"
+    path.write_text(f"id,note\n{line}\n")
+    assert spans_lines(spark, str(path)) == spans
+
+
 def test_integers_with_missing_cells_become_doubles(spark):
     frame = spark.createDataFrame([("1", "", "x"), ("2", "7", "NULL"), ("3", "nan", "1")], "a string, b string, c string")
     assert dict(infer_types(frame).dtypes) == {"a": "bigint", "b": "double", "c": "string"}
