@@ -10,7 +10,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rinsework.session import spread
 
 FIRST_NAMES = (
     "Rahul,Priya,Amit,Sunita,Vikram,Anita,Deepak,Kavita,Sanjay,Meera,Arjun,Pooja,Nikhil,Asha,Rohan,Divya,"
@@ -135,12 +134,51 @@ SELECT p_partkey,
 FROM part
 """
 
-# the address and number each document mentions first, if any
-DOCUMENT_CONTACTS = """
-SELECT doc_id,
-  regexp_extract(text, '[A-Za-z0-9._]+@[A-Za-z0-9.-]+', 0) AS email,
-  regexp_extract(text, '[+][0-9][0-9 ()-]{7,17}[0-9]', 0) AS phone
-FROM documents
+# the addresses and numbers that documents mention
+EMAIL_IN_TEXT = "[A-Za-z0-9._]+@[A-Za-z0-9.-]+"
+PHONE_IN_TEXT = "[+][0-9][0-9 ()-]{7,17}[0-9]"
+
+# text columns whose first hundred values say something else than all of them
+HIDDEN_TYPES = """
+SELECT o_orderkey,
+  CASE WHEN o_orderkey % 5 = 0 THEN 'yes' WHEN o_orderkey % 5 = 1 THEN ' F ' WHEN o_orderkey % 5 = 2 THEN NULL ELSE '0' END AS settled,
+  CASE WHEN o_orderkey < 400 THEN 'yes' ELSE 'note ' || cast(o_orderkey as string) END AS early,
+  CASE WHEN o_orderkey < 400 THEN 'nowhere at all' WHEN o_orderkey % 7 = 0 THEN 'zzzzqq' WHEN o_orderkey % 2 = 0 THEN 'Mumbai'
+    ELSE ' Los Angeles' END AS seat,
+  CASE WHEN o_orderkey < 400 THEN 'Pune' ELSE 'qxqxqx' || cast(o_orderkey % 3 as string) END AS spot
+FROM orders
+"""
+
+# numbers from many plans, a calling code that nobody has, and numbers too short or too long
+FOREIGN_PHONES = """
+SELECT c_custkey,
+  split_part('+39 06 ,+55 11 9,+27 82 ,+34 91,+7 495 1,+31 20 ,+353 1 9,+46 8 1,+82 2 1,+90 212 ,+52 55 ,+48 22 ,+380 44 ,'
+    || '+852 2,+966 11 ,0039 06 ,+999 12,+210 55,+34 1,+39 123 456 789 0123 ', ',', cast(c_custkey % 20 + 1 as int))
+  || CASE WHEN c_custkey % 20 = 18 THEN '' ELSE lpad(cast(c_custkey % 1000000 as string), 7, '0') END AS phone
+FROM customer
+"""
+
+# the spellings that the free-text reading adds
+SPELLED_DATES = """
+SELECT o_orderkey, o_orderdate,
+  CASE cast(o_orderkey % 12 as int)
+    WHEN 0 THEN mon || ' ' || d || ', ' || y WHEN 1 THEN d || 'th ' || mon || ' ' || y WHEN 2 THEN 'Mon, ' || mon || ' ' || d || ' ' || y
+    WHEN 3 THEN y || '-' || mm || '-' || dd || ' 14:25' WHEN 4 THEN d || ' ' || mon || ' ' || substr(y, 3, 2)
+    WHEN 5 THEN mon || ' ' || d || ', ' || substr(y, 3, 2) WHEN 6 THEN y || mm || dd WHEN 7 THEN y || '-' || mm
+    WHEN 8 THEN y || '-' || mm || '-' || dd || 'T23:05:09Z' WHEN 9 THEN dd || '-' || mon || '-' || y || ' 01:30 pm'
+    WHEN 10 THEN y || '-' || mm || '-' || dd || ' 00:15:00+02:00' ELSE mon || ' ' || y END AS spelled
+FROM (SELECT o_orderkey, o_orderdate, cast(year(o_orderdate) as string) AS y, lpad(cast(month(o_orderdate) as string), 2, '0') AS mm,
+  lpad(cast(day(o_orderdate) as string), 2, '0') AS dd, cast(day(o_orderdate) as string) AS d,
+  split_part('Jan,Feb,Mar,Apr,May,Jun,Jul,Aug,Sep,Oct,Nov,Dec', ',', cast(month(o_orderdate) as int)) AS mon FROM orders) parts
+"""
+
+# numeric columns for modes: big integers, and a tie that text order would decide otherwise
+TIED_NUMBERS = """
+SELECT event_id,
+  CASE WHEN event_id % 13 = 0 THEN NULL ELSE user_id END AS user_id,
+  CASE WHEN event_id % 17 = 0 THEN NULL WHEN event_id % 3 = 0 THEN 9007199254740995 ELSE 9007199254740993 END AS big,
+  CASE WHEN event_id >= 200 THEN NULL WHEN event_id % 2 = 0 THEN 10 ELSE 9 END AS tied
+FROM events
 """
 
 VIEWS = {
@@ -148,13 +186,22 @@ VIEWS = {
     "dirty_orders": DIRTY_ORDERS,
     "dirty_events": DIRTY_EVENTS,
     "part_names": PART_NAMES,
-    "document_contacts": DOCUMENT_CONTACTS,
+    "hidden_types": HIDDEN_TYPES,
+    "foreign_phones": FOREIGN_PHONES,
+    "spelled_dates": SPELLED_DATES,
+    "tied_numbers": TIED_NUMBERS,
 }
 _TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
 )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a few files, dealt to all cores, because a file of one row group is read by one task."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(os.path.join(folder, f"{name}.parquet")))
 

@@ -12,9 +12,9 @@ from rinsework.functions import dates, numbers, text
 from rinsework.operators import columns, dedup, dictionary, fuzzy, impute, outliers, profile, report
 from rinsework.operators import scoring, semantics, verify
 from rinsework.operators.quantiles import exact_quantiles
-from rinsework.sources import infer_types, preview
+from rinsework.sources import infer_types, output_name, preview, read_csv, write_csv, write_json
 
-from .dirty import table, view
+from .dirty import EMAIL_IN_TEXT, PHONE_IN_TEXT, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,6 +187,12 @@ def impute_mode(spark, folder):
     return _imputed(spark, folder, "event_type", "Mode")
 
 
+@query
+def impute_mode_numbers(spark, folder):
+    frame = view(spark, folder, "tied_numbers")
+    return impute.impute(frame, {"user_id": "Mode", "big": "Mode", "tied": "Mode"})[0]
+
+
 @query
 def impute_custom(spark, folder):
     return _imputed(spark, folder, "value", "Custom:99.0")
@@ -262,19 +268,16 @@ def date_audit(spark, folder):
 
 @query
 def date_extended(spark, folder):
-    """The free-text reading: ordinals, commas, weekday names, clock times and month-year dates."""
-    spelled = _orders(spark, folder).select("o_orderkey").join(
-        table(spark, folder, "orders").select("o_orderkey", "o_orderdate"), "o_orderkey"
-    ).select(
-        "o_orderkey",
-        F.expr(
-            "CASE o_orderkey % 4 WHEN 0 THEN date_format(o_orderdate, 'MMMM d, yyyy')"
-            " WHEN 1 THEN concat(date_format(o_orderdate, 'd'), 'th ', date_format(o_orderdate, 'MMM yyyy'))"
-            " WHEN 2 THEN concat('Mon, ', date_format(o_orderdate, 'MMM d yyyy'))"
-            " ELSE date_format(o_orderdate, 'yyyy-MM-dd HH:mm') END"
-        ).alias("spelled"),
-    )
-    return columns.standardize_dates(spelled, {"spelled": "nullify"}).distinct()
+    """The free-text reading, one spelling after the other."""
+    spelled = view(spark, folder, "spelled_dates").select("o_orderkey", "spelled")
+    return columns.standardize_dates(spelled, {"spelled": "nullify"})
+
+
+@query
+def date_timestamp(spark, folder):
+    """The same spellings as points in time."""
+    spelled = view(spark, folder, "spelled_dates").select("o_orderkey", "spelled")
+    return columns.standardize_dates(spelled, {"spelled": "nullify"}, as_type="timestamp")
 
 
 @query
@@ -318,10 +321,15 @@ def email_counts(spark, folder):
     )
 
 
+def _mentions(spark, folder, pattern, name):
+    """Every match in every document, with its place."""
+    found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(found).alias("place", name))
+
+
 @query
 def document_emails(spark, folder):
-    contacts = view(spark, folder, "document_contacts").select("doc_id", "email")
-    return columns.clean_emails(contacts, "email", "nullify", "status")
+    return columns.clean_emails(_mentions(spark, folder, EMAIL_IN_TEXT, "email"), "email", "nullify", "status")
 
 
 @query
@@ -338,8 +346,12 @@ def phone_keep_invalid(spark, folder):
 
 @query
 def document_phones(spark, folder):
-    contacts = view(spark, folder, "document_contacts").select("doc_id", "phone")
-    return columns.clean_phones(contacts, "phone", "status")
+    return columns.clean_phones(_mentions(spark, folder, PHONE_IN_TEXT, "phone"), "phone", "status")
+
+
+@query
+def phone_foreign(spark, folder):
+    return columns.clean_phones(view(spark, folder, "foreign_phones"), "phone", "status")
 
 
 @query
@@ -382,8 +394,8 @@ def semantic_rates(spark, folder):
 @query
 def semantic_types(spark, folder):
     found = {}
-    for name in ("dirty_customer", "dirty_orders"):
-        found |= semantics.detect_semantics(view(spark, folder, name, in_order=True))
+    for name in ("dirty_customer", "dirty_orders", "hidden_types"):
+        found |= semantics.detect_semantics(view(spark, folder, name))
     return spark.createDataFrame(list(found.items()), "column string, semantic string")
 
 
@@ -509,10 +521,31 @@ def audit_report(spark, folder):
     )
 
 
-def _optimized_orders(spark, folder):
-    return optimize(
-        _orders(spark, folder), {"active": "Skip", "revenue": "Mean"}, fuzzy_dedup=False, fuzzy_audit=False
-    )
+@query
+def report_json(spark, folder):
+    """The column report as JSON, read again."""
+    staging = Staging(spark)
+    found = diagnose_columns(spark, folder)
+    write_json(found, f"{staging.folder}/report")
+    return spark.read.schema(found.schema).json(f"{staging.folder}/report")
+
+
+@query
+def csv_optimize(spark, folder):
+    """Delimited text in, cleaned, delimited text out, read again."""
+    staging = Staging(spark)
+    write_csv(view(spark, folder, "dirty_orders", in_order=True), f"{staging.folder}/orders.csv")
+    rows = read_csv(spark, f"{staging.folder}/orders.csv")
+    result = optimize(rows, {"active": "Skip", "revenue": "Mean"}, fuzzy_dedup=False, fuzzy_audit=False)
+    write_csv(result.df, f"{staging.folder}/{output_name('orders.csv')}")
+    result.discard()
+    back = read_csv(spark, f"{staging.folder}/{output_name('orders.csv')}", row_id=False)
+    return back.withColumn("revenue", F.round("revenue", 4))
+
+
+def _optimized_orders(spark, folder, **more):
+    rows = view(spark, folder, "dirty_orders", in_order=True)
+    return optimize(rows, {"active": "Skip", "revenue": "Mean"} | more, fuzzy_dedup=False, fuzzy_audit=False)
 
 
 @query
@@ -526,17 +559,49 @@ def optimize_orders_metrics(spark, folder):
     return _optimized_orders(spark, folder).metrics_frame()
 
 
+@query
+def optimize_orders_replaced(spark, folder):
+    return _optimized_orders(spark, folder, outlier_revenue="median_replace").df.withColumn("revenue", F.round("revenue", 4))
+
+
+@query
+def optimize_orders_replaced_metrics(spark, folder):
+    return _optimized_orders(spark, folder, outlier_revenue="median_replace").metrics_frame()
+
+
+@query
+def optimize_orders_removed(spark, folder):
+    return _optimized_orders(spark, folder, outlier_revenue="remove_row").df.withColumn("revenue", F.round("revenue", 4))
+
+
+@query
+def optimize_orders_removed_metrics(spark, folder):
+    return _optimized_orders(spark, folder, outlier_revenue="remove_row").metrics_frame()
+
+
+def _optimized_customer(spark, folder, mode):
+    """All steps on all column types, by the scores that SQL knows too."""
+    return optimize(
+        view(spark, folder, "dirty_customer", in_order=True), {"email_mode_email": mode}, order_by="c_custkey",
+        fuzzy_method="levenshtein", city_method="levenshtein",
+    )
+
+
 @query
 def optimize_customer(spark, folder):
     """All steps on all column types, fuzzy deduplication included."""
-    return optimize(_customer(spark, folder), {"email_mode_email": "nullify"}, order_by="c_custkey").df
+    cleaned = _optimized_customer(spark, folder, "nullify").df
+    return cleaned.withColumns({"age": F.round("age", 4), "balance": F.round("balance", 4)})
 
 
 @query
 def optimize_customer_report(spark, folder):
-    result = optimize(_customer(spark, folder), {"email_mode_email": "remove"}, order_by="c_custkey")
-    named, _ = result.summary()
-    return named
+    return _optimized_customer(spark, folder, "remove").summary()[0]
+
+
+@query
+def optimize_customer_metrics(spark, folder):
+    return _optimized_customer(spark, folder, "remove").metrics_frame()
 
 
 @query
