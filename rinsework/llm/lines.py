@@ -26,9 +26,9 @@ EVIDENCE = 20
 VARIABLE = "<*>"
 
 
-def _hash(*parts: Column) -> Column:
+def _hash(*parts: Column) -> list[Column]:
     """128 bits as two longs."""
-    return F.struct(F.xxhash64(F.lit(1), *parts).alias("h1"), F.xxhash64(F.lit(2), *parts).alias("h2"))
+    return [F.xxhash64(F.lit(1), *parts), F.xxhash64(F.lit(2), *parts)]
 
 
 def _masked(line: Column) -> Column:
@@ -36,38 +36,50 @@ def _masked(line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(line)
 
 
-def _templates(n: Column, tokens: Column) -> Column:
-    """A struct of hash and constant tokens for the line's own template and for each generalised field."""
-    rest = n - DEPTH
-    own = F.struct(_hash(n, tokens).alias("t"), n.alias("constants"))
-
-    def without(k: int) -> Column:
-        begin = F.floor(rest * k / FIELDS).cast("int") + DEPTH
-        end = F.floor(rest * (k + 1) / FIELDS).cast("int") + DEPTH
-        head, tail = F.slice(tokens, 1, begin), F.slice(tokens, end + 1, F.greatest(n - end, F.lit(0)))
-        return F.struct(_hash(n, F.lit(k), head, tail).alias("t"), (n - end + begin).alias("constants"))
-
-    return F.when(n >= MIN_FIELD_TOKENS, F.array(own, *[without(k) for k in range(FIELDS)])).otherwise(F.array(own))
-
-
 def parse(docs: DataFrame) -> DataFrame:
-    """One row for each line that isn't blank: document, line number from 0, leaf, templates."""
+    """One row for each line that isn't blank: document, line number from 0, leaf, number of tokens, hashes of its runs.
+
+    The runs are the leading tokens and the fields after them, or the whole line if it is too short for fields. Each
+    token is hashed once here; templates are made from the runs' hashes.
+    """
     lines = docs.where("text IS NOT NULL").select(
         F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "v")
     ).where("trim(v) != ''")
     lines = lines.select("doc", "text_key", "line", F.split(_masked(F.col("v")), " ").alias("tokens"))
     lines = lines.withColumn("n", F.size("tokens"))
+    tokens, n = F.col("tokens"), F.col("n")
+
+    def end(k: int) -> Column:
+        return F.lit(DEPTH) + F.floor((n - DEPTH) * k / FIELDS).cast("int")
+
+    runs = [F.slice(tokens, 1, DEPTH), *[F.slice(tokens, end(k) + 1, end(k + 1) - end(k)) for k in range(FIELDS)]]
+    long_line = F.array(*[h for run in runs for h in _hash(run)])
     return lines.select(
-        "doc", "text_key", "line", F.xxhash64(F.col("n"), F.slice("tokens", 1, DEPTH)).alias("leaf"),
-        _templates(F.col("n"), F.col("tokens")).alias("templates"),
+        "doc", "text_key", "line", F.xxhash64(n, F.slice(tokens, 1, DEPTH)).alias("leaf"), "n",
+        F.when(n >= MIN_FIELD_TOKENS, long_line).otherwise(F.array(*_hash(tokens))).alias("runs"),
     )
 
 
+def _templates() -> Column:
+    """Of a parsed line: hash and constant tokens of its own template and of each one with a field left open."""
+    n, runs = F.col("n"), F.col("runs")
+    own = F.struct(F.struct(*[x.alias(c) for x, c in zip(_hash(n, runs), ("h1", "h2"))]).alias("t"), n.alias("constants"))
+
+    def without(k: int) -> Column:
+        rest = F.concat(F.slice(runs, 1, 2 + 2 * k), F.slice(runs, 2 * k + 5, 2 * FIELDS))
+        size = F.floor((n - DEPTH) * (k + 1) / FIELDS).cast("int") - F.floor((n - DEPTH) * k / FIELDS).cast("int")
+        key = F.struct(*[x.alias(c) for x, c in zip(_hash(n, F.lit(k), rest), ("h1", "h2"))])
+        return F.struct(key.alias("t"), (n - size).alias("constants"))
+
+    return F.when(n >= MIN_FIELD_TOKENS, F.array(own, *[without(k) for k in range(FIELDS)])).otherwise(F.array(own))
+
+
 def repeated_lines(docs: DataFrame, staging: Staging) -> DataFrame:
     """``(doc, text_key, lines)``: the numbers of the lines that each document loses; documents that lose none are left out."""
     parsed = parse(docs.where("doc_id IS NOT NULL"))
     crowded = parsed.groupBy("leaf").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo != hi").select("leaf")
-    candidates = staging.write(parsed.join(crowded, "leaf").drop("leaf"), "candidate-lines")
+    candidates = parsed.join(crowded, "leaf").select("doc", "text_key", "line", _templates().alias("templates"))
+    candidates = staging.write(candidates, "candidate-lines")
     # a template counts once for each document
     held = candidates.select("doc", F.explode("templates").alias("x")).select("doc", "x.t", "x.constants").distinct()
     docs_of = held.groupBy("t").agg(
