@@ -901,6 +901,50 @@ oracle(
     "dirty_customer",
 )
 
+# the run without cities and near-duplicates, outliers of the balance removed with their rows; what its summary says
+_COLUMNS_RUN = f"""
+kept AS MATERIALIZED (SELECT * FROM dirty_customer),
+cells AS MATERIALIZED (
+  SELECT k.c_custkey, k.name, m.mail_text AS email, p.phone, CASE WHEN k.age BETWEEN 0 AND 120 THEN k.age END AS age, k.balance, k.segment
+  FROM kept k
+  JOIN (SELECT c_custkey, {_KEPT_MAIL} AS mail_text FROM ({_mailed('c_custkey', 'kept')})) m USING (c_custkey)
+  JOIN (SELECT c_custkey, phone FROM ({_phoned('c_custkey', 'kept')})) p USING (c_custkey)
+),
+filled AS MATERIALIZED (
+  SELECT c_custkey, coalesce(name, {_commonest('name')}) AS name, email, phone, coalesce(cast(age AS double), {_typical('age')}) AS age,
+    coalesce(balance, (SELECT round(quantile_cont(balance, 0.5), 4) FROM cells)) AS balance, segment FROM cells
+),
+final AS MATERIALIZED (
+  SELECT DISTINCT c_custkey, {_title('name')} AS name, trim(email) AS email, trim(phone) AS phone, age, balance, {_title('segment')} AS segment
+  FROM filled, ({_bounds('balance', 'filled')}) b WHERE balance BETWEEN b.low AND b.high
+)"""
+
+
+def _summed_up(column: str, label: str, numeric: bool) -> str:
+    status = "'Clean'"
+    if numeric:
+        status = f"CASE WHEN abs(round({_skewness(column, 'final')}, 2)) > 1 THEN 'Warning (High Skew)' ELSE 'Clean' END"
+    elif column == "email":
+        bad = f"count(*) FILTER (email IS NOT NULL AND NOT {_MAIL_OK})"
+        status = f"CASE WHEN {bad} > 0 THEN 'Warning (' || {bad} || ' invalid emails)' ELSE 'Clean' END"
+    missing = f"count(*) - count({column})"
+    return (
+        f"SELECT '{column}' AS column_name, {label} AS semantic_type, ({missing}) || ' (' || "
+        f"cast(round(({missing}) * 100.0 / count(*), 2) AS double) || '%)' AS nulls, {status} AS status FROM final"
+    )
+
+
+oracle(
+    "optimize_customer_columns",
+    "SELECT * FROM (WITH " + _COLUMNS_RUN.lstrip() + " " + " UNION ALL ".join(_summed_up(*c) for c in (
+        ("c_custkey", "'Integer'", True), ("name", "'Name'", False), ("email", "'Email'", False), ("phone", "'Phone'", False),
+        # whole ages stay whole if their fill is
+        ("age", f"CASE WHEN {_typical('age')} % 1 = 0 THEN 'Integer' ELSE 'Float' END", True),
+        ("balance", "'Float'", True), ("segment", "'Text'", False),
+    )) + ")",
+    "dirty_customer",
+)
+
 # the columns whose names settle nothing; exact names stand for the resemblance that the engine looks for
 _UNSETTLED = (
     ("revenue", "dirty_orders"), ("active", "dirty_orders"), ("priority", "dirty_orders"), ("segment", "dirty_customer"),
