@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -71,18 +72,29 @@ def branches(messages: DataFrame, staging: Staging, top: int = 1) -> DataFrame:
     here = nodes["tree"].eqNullSafe(known["_t"]) & (nodes["parent"] == known["_n"])
     # a jump table holds, for each node, the ancestor so many replies above, and the sum of scores passed on the way
     first = nodes.join(known, here, "left").select("tree", "node", F.col("_n").alias("up"), "score", F.lit(1).cast("long").alias("steps"))
-    jumps = [staging.write(first, "jump-0")]
-    while (count := jumps[-1].where("up IS NOT NULL").count()) and len(jumps) < 63:
-        far = jumps[-1].select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
-                               F.col("score").alias("_s"), F.col("steps").alias("_k"))
-        near = jumps[-1]
-        met = near.join(far, near["tree"].eqNullSafe(far["_t"]) & (near["up"] == far["_n"]), "left")
-        after = met.select("tree", "node", F.col("_up").alias("up"), (F.col("score") + F.coalesce("_s", F.lit(0.0))).alias("score"),
-                           (F.col("steps") + F.coalesce("_k", F.lit(0))).alias("steps"))
-        jumps.append(staging.write(after, f"jump-{len(jumps)}"))
-        if len(jumps) > 2 and count == jumps[-1].where("up IS NOT NULL").count():
-            break  # what still points up is on a cycle, or hangs from one
-    rooted = jumps[-1].where("up IS NULL")
+    jumps, settled, left = [staging.write(first, "jump-0")], [], None
+    while True:
+        state = jumps[-1]
+        waiting = state.where("up IS NOT NULL")
+        count = waiting.count()
+        if not count or count == left:  # what still points up is on a cycle, or hangs from one
+            settled.append(state)
+            break
+        left = count
+        # trees whose nodes have all arrived take no part in later rounds, which only the longest threads need
+        live = waiting.select(F.col("tree").alias("_t")).distinct().withColumn("live", F.lit(True))
+        marked = state.join(live, state["tree"].eqNullSafe(live["_t"]), "left").drop("_t")
+        marked = staging.write(marked, f"marked-{len(jumps)}")
+        settled.append(marked.where("live IS NULL").drop("live"))
+        active = marked.where("live").drop("live")
+        near, arrived = active.where("up IS NOT NULL"), active.where("up IS NULL")
+        far = active.select(F.col("tree").alias("_t"), F.col("node").alias("_n"), F.col("up").alias("_up"),
+                            F.col("score").alias("_s"), F.col("steps").alias("_k"))
+        met = near.join(far, near["tree"].eqNullSafe(far["_t"]) & (near["up"] == far["_n"])).select(
+            "tree", "node", F.col("_up").alias("up"), (F.col("score") + F.col("_s")).alias("score"),
+            (F.col("steps") + F.col("_k")).alias("steps"))
+        jumps.append(staging.write(met.union(arrived), f"jump-{len(jumps)}"))
+    rooted = reduce(DataFrame.union, settled).where("up IS NULL")
     parents = nodes.where("parent IS NOT NULL").select(F.col("tree").alias("_t"), F.col("parent").alias("_n")).distinct()
     leaves = rooted.join(parents, rooted["tree"].eqNullSafe(parents["_t"]) & (rooted["node"] == parents["_n"]), "left_anti")
     rank = Window.partitionBy("tree").orderBy(F.desc(F.col("score") / F.col("steps")), F.desc("steps"), "node")
