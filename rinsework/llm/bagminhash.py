@@ -124,8 +124,8 @@ def overlap(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _sign(bands: int, per_band: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("shingles", pa.int64()),
-                        ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("row_key", pa.string()), ("text_key", pa.string()),
+                        ("shingles", pa.int64()), ("keys", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +139,7 @@ def _sign(bands: int, per_band: int):
                 keys = band_keys(signed, bands, per_band)
                 known = sizes > 0
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(lo, hi - lo),
+                    batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo),
                     words.pc.if_else(pa.array(known), batch.column(1).slice(lo, hi - lo), ""), pa.array(sizes),
                     pa.ListArray.from_arrays(
                         np.concatenate([[0], np.cumsum(known * bands)]).astype(np.int32), keys[known].ravel()),
@@ -220,33 +220,31 @@ def _chunk_links(similarity: float):
     return run
 
 
-def near_duplicates(
-    docs: DataFrame, staging: Staging, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS
-) -> DataFrame:
-    """``(doc_id, class_id)`` for every row of ``docs (doc_id, text)``.
+def _text_classes(docs: DataFrame, staging: Staging, similarity: float, bands: int, per_band: int) -> DataFrame:
+    """``(doc_id, row_key, first)`` for every row with an id: the md5 of its text, and the smallest id in its text's class.
 
-    Texts link if the weighted Jaccard similarity of their five-word shingle multisets is ``similarity`` or more;
-    ``class_id`` is the smallest ``doc_id`` reachable over links. Null texts count as empty. Texts without words are
-    copies of each other. Rows with a null ``doc_id`` get a null class and link with nothing. Rows that share a
-    ``doc_id`` are one document and share a class. Candidates are pairs that agree on a band: at similarity 0.8 a pair is missed with probability 6e-5.
+    A class holds the texts that links between texts reach. Its nodes are texts, named by a 64-bit hash (``rid``): one
+    ``doc_id`` may have several texts, and what links one of them says nothing about the others.
     """
     named = docs.where("doc_id IS NOT NULL").select(
         F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
     signed = staging.write(
-        named.mapInArrow(_sign(bands, per_band), "doc_id long, text_key string, shingles long, keys array<long>"),
+        named.mapInArrow(
+            _sign(bands, per_band), "doc_id long, row_key string, text_key string, shingles long, keys array<long>"),
         "signatures",
     )
-    by_text = staging.write(signed.groupBy("text_key").agg(F.min("doc_id").alias("rid")), "representatives")
-    reps = signed.join(by_text.withColumnRenamed("rid", "doc_id"), ["text_key", "doc_id"])
-    reps = reps.groupBy(F.col("doc_id").alias("rid")).agg(F.min(F.struct("text_key", "shingles", "keys")).alias("s"))
+    by_text = signed.groupBy("text_key").agg(F.min("doc_id").alias("lowest"))
+    by_text = staging.write(by_text.withColumn("rid", F.xxhash64("text_key")), "representatives")
+    reps = signed.join(by_text.withColumnRenamed("lowest", "doc_id"), ["text_key", "doc_id"])
+    reps = reps.groupBy("rid").agg(F.min(F.struct("doc_id", "text_key", "shingles", "keys")).alias("s"))
     reps = staging.write(reps.select("rid", "s.*"), "distinct")
     entries = reps.select("rid", "shingles", F.explode("keys").alias("key"))
     crowded = entries.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = staging.write(entries.join(crowded, "key").select("key", "rid", "shingles", "size"), "buckets")
 
-    # each document's first trial is the most central document that it shares a bucket with
+    # each text's first trial is the most central text that it shares a bucket with
     central = members.groupBy("rid").agg(F.sum("size").alias("central"))
     scored = members.join(central, "rid")
     pivots = scored.groupBy("key").agg(F.max(F.struct("central", -F.col("rid"))).alias("top"))
@@ -258,9 +256,9 @@ def near_duplicates(
 
     # one row for each text that takes part, whatever the number of rows that hold it
     involved = stars.select("rid").union(stars.select(F.col("pivot").alias("rid"))).distinct()
-    involved = involved.join(reps.select("rid", "text_key"), "rid").withColumnRenamed("rid", "doc_id")
-    texts = named.join(involved, ["doc_id", "text_key"]).dropDuplicates(["doc_id", "text_key"])
-    texts = staging.write(texts.select(F.col("doc_id").alias("rid"), "text"), "texts")
+    involved = involved.join(reps.select("rid", "doc_id", "text_key"), "rid")
+    texts = named.join(involved, ["doc_id", "text_key"]).dropDuplicates(["rid"])
+    texts = staging.write(texts.select("rid", "text"), "texts")
     pairs = (
         trials.join(texts, "rid").withColumnRenamed("text", "left")
         .join(texts.select(F.col("rid").alias("pivot"), F.col("text").alias("right")), "pivot")
@@ -302,21 +300,45 @@ def near_duplicates(
     second = placed_twice.join(texts, "rid").groupBy("family", "i", "j").applyInArrow(
         _chunk_links(similarity), "a long, b long")
     links = first.union(staging.write(second, "later-links"))
-    final = connected(links, staging)
-    ids = signed.select("doc_id", "text_key").join(by_text, "text_key").select("doc_id", "rid")
-    named_class = labelled(ids, final, "class_id").select("doc_id", "class_id")
+    final = connected(links, staging).select(F.col("node").alias("rid"), "component")
+    linked = final.union(final.select(F.col("component").alias("rid"), "component")).distinct().join(by_text, "rid")
+    linked = staging.write(linked.select("rid", "component", "lowest"), "linked")
+    firsts = linked.groupBy("component").agg(F.min("lowest").alias("first"))
+    firsts = linked.join(firsts, "component").select("rid", "first")
+    placed_texts = by_text.join(firsts, "rid", "left").select("text_key", F.coalesce("first", "lowest").alias("first"))
+    return staging.write(signed.select("doc_id", "row_key", "text_key").join(placed_texts, "text_key").drop("text_key"), "classes")
+
+
+def near_duplicates(
+    docs: DataFrame, staging: Staging, similarity: float = SIMILARITY, bands: int = BANDS, per_band: int = ROWS
+) -> DataFrame:
+    """``(doc_id, class_id)`` for every row of ``docs (doc_id, text)``.
+
+    Texts link if the weighted Jaccard similarity of their five-word shingle multisets is ``similarity`` or more;
+    ``class_id`` is the smallest ``doc_id`` reachable over links. Null texts count as empty. Texts without words are
+    copies of each other. Rows with a null ``doc_id`` get a null class and link with nothing. Rows that share a
+    ``doc_id`` are one document and share a class. Candidates are pairs that agree on a band: at similarity 0.8 a pair is missed with probability 6e-5.
+    """
+    rows = _text_classes(docs, staging, similarity, bands, per_band)
+    # the texts of one document join their classes
+    several = rows.groupBy("doc_id").agg(F.min("first").alias("a"), F.max("first").alias("_hi")).where("a != _hi")
+    joined = connected(rows.join(several, "doc_id").select("a", F.col("first").alias("b")), staging)
+    joined = joined.select(F.col("node").alias("first"), "component")
+    named_class = rows.join(joined, "first", "left").select("doc_id", F.coalesce("component", "first").alias("class_id"))
     null_ids = docs.where("doc_id IS NULL").select(
         F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"))
     return named_class.union(null_ids)
 
 
 def keep_one(docs: DataFrame, staging: Staging, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` without the documents whose class has a smaller ``doc_id``; repeated rows of a kept id collapse to one.
+    """``docs`` without the rows whose text has a near copy, over links between texts, under a smaller ``doc_id``.
 
-    All columns stay, under whatever names; rows with a null ``doc_id`` stay.
+    Equal rows of a kept id collapse to one. Of an id that repeats with different texts, only the rows go whose own text
+    is kept elsewhere. All columns stay, under whatever names; rows with a null ``doc_id`` stay.
     """
-    found = near_duplicates(docs, staging, similarity)
-    dropped = found.where("doc_id != class_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    left = docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    rows = _text_classes(docs, staging, similarity, BANDS, ROWS)
+    dropped = rows.where("doc_id != first").select(F.col("doc_id").alias("_dropped"), F.col("row_key").alias("_key"))
+    same = (docs["doc_id"] == dropped["_dropped"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == dropped["_key"])
+    left = docs.join(dropped.distinct(), same, "left_anti")
     known = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     return known.unionByName(left.where("doc_id IS NULL"))

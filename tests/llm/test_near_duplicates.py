@@ -73,6 +73,36 @@ def test_keep_one(documents, staging, corpus):
     assert kept.where("doc_id IS NULL").count() == 1
 
 
+def _prose(seed, n=60):
+    r = random.Random(seed)
+    return ["".join(r.choice("klmnopqrst") for _ in range(5)) for _ in range(n)]
+
+
+def _edited(base, at=30):
+    return " ".join([*base[:at], "edited", *base[at + 1 :]])
+
+
+def test_ids_that_repeat_with_different_texts(documents, staging):
+    a, b, c, d = (_prose(s) for s in range(4))
+    # 20 stands for two texts, and each has a near copy; 40 has a text of its own beside a near copy of 30's
+    rows = [(20, " ".join(a)), (20, " ".join(b)), (21, _edited(a)), (22, _edited(b)), (30, " ".join(c)),
+            (40, _edited(c)), (40, " ".join(d)), (41, " ".join(d)), (41, " ".join(d))]
+    found = bagminhash.near_duplicates(documents(*rows), staging).collect()
+    assert len(found) == len(rows)
+    assert {(r["doc_id"], r["class_id"]) for r in found} == {(20, 20), (21, 20), (22, 20), (30, 30), (40, 30), (41, 30)}
+    kept = bagminhash.keep_one(documents(*rows), staging).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == sorted([rows[0], rows[1], rows[4], rows[6]])
+
+
+def test_no_text_of_a_repeated_id_vanishes(documents, staging):
+    a, b = " ".join(_prose(5)), " ".join(_prose(6))
+    rows = [(1, a), (5, a), (5, b), (9, b)]
+    found = bagminhash.near_duplicates(documents(*rows), staging).collect()
+    assert sorted((r["doc_id"], r["class_id"]) for r in found) == [(1, 1), (5, 1), (5, 1), (9, 1)]
+    kept = bagminhash.keep_one(documents(*rows), staging).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, a), (5, b)]
+
+
 def test_empty_table(documents, staging):
     assert bagminhash.near_duplicates(documents((1, "x")).limit(0), staging).collect() == []
 
