@@ -1,10 +1,13 @@
 """Line deduplication with a log-template tree, in DataFrame expressions only.
 
-A line is parsed at fixed depth: the number of its tokens, then its ``DEPTH`` leading tokens, lead to a leaf. Tokens that
-hold a digit are variable fields, generalised to ``<*>`` before parsing. Below its leaf a line belongs to its own template
+A line is parsed at fixed depth: the number of its tokens, then its ``DEPTH`` leading tokens, lead to a leaf. Tokens end at
+spaces and tabs. Words that hold a digit (``7``, ``a7f3``, ``2024-01-02``) are variable fields, generalised to ``<*>`` before
+parsing; what else a token holds stays. Below its leaf a line belongs to its own template
 and, if it is long enough, to templates that generalise one field: the tokens after the leading ones are cut into
 ``FIELDS`` runs, and each template leaves one run open. A template recurs if at least two documents hold it and
-documents times constant tokens reach ``EVIDENCE``, so that a short line needs more documents than a long one. Every
+documents times constant tokens reach ``EVIDENCE``, so that a short line needs more documents than a long one. Variable
+fields and the signs around them are no constants, so a line made of nothing else never recurs; in scripts that are written
+without spaces two letters count as a token. Every
 document but the one of smallest id loses the lines of recurring templates.
 
 Plan: the texts are read twice. The first pass ships one row per line (hashes only) to its leaf; lines alone in their
@@ -24,6 +27,12 @@ DEPTH, FIELDS, MIN_FIELD_TOKENS = 2, 4, 8
 #: Documents times constant tokens that make a template recurring.
 EVIDENCE = 20
 VARIABLE = "<*>"
+#: Letters of scripts that don't part words by spaces; characters of the other scripts' words, without digits and with them.
+_UNSPACED = "\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}\\p{IsTibetan}"
+_PLAIN, _WORD = (f"[\\p{{L}}\\p{{M}}{digits}_&&[^{_UNSPACED}]]" for digits in ("", "0-9"))
+_DIGITS = f"{_PLAIN}*+[0-9]{_WORD}*+"
+#: Words that hold a digit, and rows of them such as dates, amounts and addresses.
+_FIELD = f"(?<!{_WORD}){_DIGITS}(?:[.,:/-]{_DIGITS})*+"
 
 
 def _hash(*parts: Column) -> list[Column]:
@@ -32,12 +41,19 @@ def _hash(*parts: Column) -> list[Column]:
 
 
 def _masked(line: Column) -> Column:
-    """The line with every token that holds a digit generalised."""
-    return F.when(line.rlike("[0-9]"), F.regexp_replace(line, "(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", VARIABLE)).otherwise(line)
+    """The line with every word that holds a digit generalised, and spaces for tabs."""
+    return F.translate(F.regexp_replace(line, _FIELD, VARIABLE), "\t", " ")
+
+
+def _constants(tokens: Column) -> Column:
+    """How many words a run of masked tokens holds besides variable fields and the signs that touch them."""
+    marked = F.replace(F.array_join(tokens, " "), F.lit(VARIABLE), F.lit("\x01"))
+    rest = F.regexp_replace(marked, "(?<![^\\s\\p{L}\\p{M}])[^\\s\\p{L}\\p{M}\\x01]*+\\x01[^\\s\\p{L}\\p{M}]*+", " ")
+    return F.regexp_count(rest, F.lit(f"[{_UNSPACED}]{{1,2}}|[^\\s{_UNSPACED}]+"))
 
 
 def parse(docs: DataFrame) -> DataFrame:
-    """One row for each line that isn't blank: document, line number from 0, leaf, number of tokens, hashes of its runs.
+    """One row for each line that isn't blank: document, line number from 0, leaf, tokens, hashes and constants of its runs.
 
     The runs are the leading tokens and the fields after them, or the whole line if it is too short for fields. Each
     token is hashed once here; templates are made from the runs' hashes.
@@ -45,7 +61,12 @@ def parse(docs: DataFrame) -> DataFrame:
     lines = docs.where("text IS NOT NULL").select(
         F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "v")
     ).where("trim(v) != ''")
-    lines = lines.select("doc", "text_key", "line", F.split(_masked(F.col("v")), " ").alias("tokens"))
+    # a line without fields, unspaced letters (all beyond U+0E00) and empty tokens has as many constants as tokens; this
+    # must stay one cheap scan: script classes are slow
+    v = F.col("v")
+    plain = ~(v.rlike("[\\x00-\\x1f0-9<\\u0E00-\\x{10FFFF}]") | v.contains("  ") | v.startswith(" ") | v.endswith(" "))
+    lines = lines.select("doc", "text_key", "line", "v", plain.alias("plain"))
+    lines = lines.withColumn("tokens", F.split(F.when(F.col("plain"), v).otherwise(_masked(v)), " "))
     lines = lines.withColumn("n", F.size("tokens"))
     tokens, n = F.col("tokens"), F.col("n")
 
@@ -54,22 +75,26 @@ def parse(docs: DataFrame) -> DataFrame:
 
     runs = [F.slice(tokens, 1, DEPTH), *[F.slice(tokens, end(k) + 1, end(k + 1) - end(k)) for k in range(FIELDS)]]
     long_line = F.array(*[h for run in runs for h in _hash(run)])
+    long_sizes = F.array(F.lit(DEPTH), *[end(k + 1) - end(k) for k in range(FIELDS)])
+    fields = F.col("n") >= MIN_FIELD_TOKENS
+    constants = F.when(F.col("plain"), F.when(fields, long_sizes).otherwise(F.array(n))).otherwise(
+        F.when(fields, F.array(*[_constants(run) for run in runs])).otherwise(F.array(_constants(tokens))))
     return lines.select(
         "doc", "text_key", "line", F.xxhash64(n, F.slice(tokens, 1, DEPTH)).alias("leaf"), "n",
-        F.when(n >= MIN_FIELD_TOKENS, long_line).otherwise(F.array(*_hash(tokens))).alias("runs"),
+        F.when(fields, long_line).otherwise(F.array(*_hash(tokens))).alias("runs"), constants.alias("constants"),
     )
 
 
 def _templates() -> Column:
     """Of a parsed line: hash and constant tokens of its own template and of each one with a field left open."""
-    n, runs = F.col("n"), F.col("runs")
-    own = F.struct(F.struct(*[x.alias(c) for x, c in zip(_hash(n, runs), ("h1", "h2"))]).alias("t"), n.alias("constants"))
+    n, runs, constants = F.col("n"), F.col("runs"), F.col("constants")
+    total = F.aggregate(constants, F.lit(0), lambda a, b: a + b)
+    own = F.struct(F.struct(*[x.alias(c) for x, c in zip(_hash(n, runs), ("h1", "h2"))]).alias("t"), total.alias("constants"))
 
     def without(k: int) -> Column:
         rest = F.concat(F.slice(runs, 1, 2 + 2 * k), F.slice(runs, 2 * k + 5, 2 * FIELDS))
-        size = F.floor((n - DEPTH) * (k + 1) / FIELDS).cast("int") - F.floor((n - DEPTH) * k / FIELDS).cast("int")
         key = F.struct(*[x.alias(c) for x, c in zip(_hash(n, F.lit(k), rest), ("h1", "h2"))])
-        return F.struct(key.alias("t"), (n - size).alias("constants"))
+        return F.struct(key.alias("t"), (total - constants[k + 1]).alias("constants"))
 
     return F.when(n >= MIN_FIELD_TOKENS, F.array(own, *[without(k) for k in range(FIELDS)])).otherwise(F.array(own))
 

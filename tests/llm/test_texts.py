@@ -120,6 +120,37 @@ def test_short_lines_need_more_documents(documents, staging):
     assert few[5] == "so it is\nownf" and many[0].startswith("so it is") and many[5] == "ownf"
 
 
+def _letters(i):
+    return f"{chr(97 + i // 26)}{chr(97 + i % 26)}"
+
+
+def test_variable_fields_are_no_constants(documents, staging):
+    numbers = [(i, " ".join(str(i * 1000 + k) for k in range(10))) for i in range(1, 4)]  # ten numbers, three documents
+    single = [(i, str(i * 37)) for i in range(10, 40)]  # one number, thirty documents
+    padded = [(i, f"{i}        {i * 3}            -{i * 5}.5  ${i},000  ({i}%)") for i in range(50, 80)]
+    docs = documents(*numbers, *single, *padded)
+    assert _lines_of(lines.drop_repeated_lines(docs, staging)) == _lines_of(docs)
+
+
+def test_lines_without_spaces_keep_what_they_say(documents, staging):
+    def chinese(i):
+        return "".join(chr(0x4E00 + (i * 97 + k * 31) % 2000) for k in range(30))
+
+    own = [(i, f"{_letters(i)}name\t{i}\t{_letters(i * 5)}place\t{i * 3}") for i in range(25)]
+    own += [(i, f"{chinese(i)}{i}{chinese(i + 7)}") for i in range(100, 125)]
+    own += [(i, f"{_letters(i - 200)}=call({_letters(i - 195)},{i});") for i in range(200, 225)]
+    docs = documents(*own)
+    assert _lines_of(lines.drop_repeated_lines(docs, staging)) == _lines_of(docs)
+
+
+def test_recurring_lines_without_spaces_go(documents, staging):
+    tabbed = "\t".join(f"{_letters(i)}column" for i in range(12))
+    notice = "".join(chr(0x4E00 + k * 31) for k in range(30))
+    docs = documents(*[(i, f"{tabbed}\t{i}\n{notice}{i}{notice}\nown {_letters(i)}") for i in range(3)])
+    got = _lines_of(lines.drop_repeated_lines(docs, staging))
+    assert got[0].startswith(tabbed) and notice in got[0] and got[1] == "own ab" and got[2] == "own ac"
+
+
 def test_lines_of_an_empty_table_and_long_tokens(documents, staging):
     docs = documents((1, "x" * 200_000 + " 7"), (2, "a " * 50_000))
     assert lines.drop_repeated_lines(docs.limit(0), staging).collect() == []
