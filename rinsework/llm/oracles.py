@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, lines, mixing, sketch
+from . import chat, codes, lines, mixing, sketch
 
 _WORD = "[^ \\t-\\r]+"
 
@@ -117,9 +117,44 @@ SELECT doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, array_t
 FROM edits JOIN own_s USING (rid) JOIN edited_s USING (rid) JOIN next_s USING (rid)
 """
 
+_distance = "list_inner_product(x.v, x.v) - 2 * list_inner_product(x.v, b.v) + list_inner_product(b.v, b.v)"
+
+
+def _round(k: int) -> str:
+    """The nearest entry of every part, and the codebooks after that."""
+    return f"""
+near{k} AS MATERIALIZED (
+  SELECT x.rid, x.p, min({{'d': {_distance}, 'e': e}}) AS m FROM parts x JOIN book{k} b ON x.p = b.p GROUP BY x.rid, x.p),
+means{k} AS (
+  SELECT p, e, list(mean ORDER BY i) AS v FROM (
+    SELECT x.p, n.m.e AS e, i, floor(sum(x.v[i]) / count(*)) AS mean
+    FROM near{k} n JOIN parts x ON x.rid = n.rid AND x.p = n.p, unnest(range(1, len(x.v) + 1)) t(i) GROUP BY ALL) GROUP BY p, e),
+book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.v, b.v) AS v FROM book{k} b LEFT JOIN means{k} m ON b.p = m.p AND b.e = m.e)"""
+
+
+VECTOR_CODES = f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor({codes.SCALE} * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS rid FROM kept),
+parts AS MATERIALIZED (
+  SELECT rid, p, v[len(v) * p // {codes.PARTS} + 1 : len(v) * (p + 1) // {codes.PARTS}] AS v FROM numbered, range({codes.PARTS}) t(p)),
+book0 AS MATERIALIZED (SELECT p, rid - 1 AS e, v FROM parts WHERE rid <= {codes.ENTRIES}),
+{",".join(_round(k) for k in range(codes.ROUNDS + 1))},
+told AS (
+  SELECT rid, string_agg(format('{{:02x}}', m.e), '' ORDER BY p) AS code, CAST(sum(m.d) AS BIGINT) AS error
+  FROM near{codes.ROUNDS} GROUP BY rid),
+digest AS (
+  SELECT sha256(string_agg(list_aggregate(list_transform(v, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), 'string_agg', ','), ','
+    ORDER BY p, e)) AS codebooks_sha256 FROM book{codes.ROUNDS})
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM numbered JOIN told USING (rid), digest
+"""
+
 ORACLES = {
     "op2_line_dedup": LINE_DEDUP,
     "op5_chat_formatting": CHAT_FORMATTING,
     "op7_source_mixing": SOURCE_MIXING,
     "op10_fingerprints": FINGERPRINTS,
+    "op13_vector_codes": VECTOR_CODES,
 }
