@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from rinsework.session import Staging
 
-from . import bagminhash, chat, codes, lines, mixing, packing, secret, sketch, subspace, toxicity, urls
+from . import bagminhash, chat, codes, lines, mixing, packing, quality, secret, sketch, spelling, subspace, toxicity, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -77,6 +77,17 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return sketch.fingerprints(_table(spark, folder, "documents"), ranges)
 
 
+def op11_quality(spark: SparkSession, folder: str) -> DataFrame:
+    staging = Staging(spark)
+    scored = quality.classify(_table(spark, folder, "documents"), _table(spark, folder, "labels"), staging)
+    return _settled(scored, staging)
+
+
+def op12_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    staging = Staging(spark)
+    return _settled(spelling.variants(_table(spark, folder, "documents"), staging), staging)
+
+
 def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
     staging = Staging(spark)
     return _settled(codes.compress(_table(spark, folder, "embeddings"), staging), staging)
@@ -85,6 +96,6 @@ def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_toxicity, op2_line_dedup, op3_minhash_near_dedup, op4_embedding_near_dedup, op5_chat_formatting,
-        op6_secret_scan, op7_source_mixing, op8_url_filter, op9_best_fit_packing, op10_fingerprints, op13_vector_codes,
+        op6_secret_scan, op7_source_mixing, op8_url_filter, op9_best_fit_packing, op10_fingerprints, op11_quality, op12_spelling_variants, op13_vector_codes,
     )
 }
