@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+from .subsequence import common_lengths
 from .text import strip
 
 METHODS = ("indel", "levenshtein")
@@ -39,24 +40,6 @@ def levenshtein_score(a: Column, b: Column) -> Column:
     )
 
 
-def _code_points(texts: Sequence[str], padding: int) -> np.ndarray:
-    width = max(map(len, texts), default=0)
-    grid = np.full((len(texts), max(width, 1)), padding, dtype=np.int32)
-    for row, text in enumerate(texts):
-        grid[row, : len(text)] = [ord(ch) for ch in text]
-    return grid
-
-
-def common_lengths(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
-    """Longest-common-subsequence length of each pair, one vector step per character of ``right``."""
-    a, b = _code_points(left, -1), _code_points(right, -2)
-    best = np.zeros((len(left), a.shape[1] + 1), dtype=np.int32)
-    for j in range(b.shape[1]):
-        step = best[:, :-1] + (a == b[:, j, None])
-        best[:, 1:] = np.maximum.accumulate(np.maximum(best[:, 1:], step), axis=1)
-    return best[:, -1]
-
-
 def ratios(left: Sequence[str], right: Sequence[str]) -> np.ndarray:
     """Unrounded indel ratio of each pair; two empty strings are equal."""
     total = np.array([len(x) + len(y) for x, y in zip(left, right)], dtype=float)

@@ -8,10 +8,10 @@ so a value that fills a third of the table is one row from here on. Forms are th
     even ``n`` of them when the prefix is ``n - 1`` longer.
 2.  A block is one bigram within one length class. A block with too many forms is split by the next shared
     bigram, up to ``MAX_DEPTH`` of them; what is still too big is cut into slices, and every pair of
-    slices becomes its own cell. So no task ever sees more than two slices, whatever the skew.
-3.  Inside a cell the join condition itself checks lengths and the Levenshtein bound and accepts a pair
-    only in the one cell of its smallest shared bigrams. Only true candidates leave the join, once each;
-    the exact score is computed for those alone.
+    slices becomes its own cell. So no cell ever holds more than two slices, whatever the skew.
+3.  The tasks that receive the cells (:mod:`.pairing`) compare lengths, accept a pair only in the one cell of its
+    smallest shared bigrams, and score it there, many pairs at a time. Counting returns one number for
+    each task, deduplication edges only; pairs are listed where they are asked for.
 
 All bounds are necessary conditions, so nothing is lost; the tests compare with brute force.
 """
@@ -25,12 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.similarity import METHODS, indel_score, levenshtein_score, processed
+from ..functions.similarity import METHODS, levenshtein_score, processed
 from ..functions.text import strip
 from ..session import Staging
+from .pairing import meet
 from .profile import col
 
-BLOCK_LIMIT = 500  # forms per slice of a block
+BLOCK_LIMIT = 2_000  # forms per slice of a block
 SPLIT_LIMIT = 5_000  # forms per block before it is split by a further bigram
 MAX_DEPTH = 2  # shared bigrams a block may require
 TOP_NODES = 1_000_000  # numbers that one task may put in order to find where a batch ends
@@ -176,10 +177,12 @@ def _first_level(nodes: DataFrame, method: str) -> DataFrame:
             lambda k: F.concat(F.col("gram"), F.lit("#"), k.cast("string")),
         )).alias("gram"))
     )
+    # rarest first: texts in the order of their frequency and spelling
+    ranked = F.concat(F.lpad(F.hex("freq"), 12, "0"), "gram")
     ordered = (
         numbered.join(F.broadcast(frequency), "bucket")
         .groupBy("node")
-        .agg(F.array_sort(F.collect_list(F.struct("freq", "gram")))["gram"].alias("grams"))
+        .agg(F.array_sort(F.collect_list(ranked)).alias("grams"))
         .join(keyed, "node")
         .withColumn("own_cls", _length_class(F.col("form")))
     )
@@ -201,36 +204,15 @@ def _first_level(nodes: DataFrame, method: str) -> DataFrame:
     )
 
 
-def _candidates(left: DataFrame, right: DataFrame, ordered: bool) -> DataFrame:
-    """(a, b, form_a, form_b) of pairs that pass every native bound; ``ordered`` keeps a < b only."""
-    # the cells are spread by key over as many tasks as there are: pairs, not bytes, make the work here
-    spark = left.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    cell = ["cls", "sig", "cell_a", "cell_b"]
-    a, b = left.repartition(tasks, *cell).alias("a"), right.repartition(tasks, *cell).alias("b")
-    total = "(length(a.form) + length(b.form))"
-    first_shared = "slice(array_intersect(a.prefix, b.prefix), 1, size(a.shared)) = a.shared"
-    conditions = [
-        "a.cls = b.cls AND a.sig = b.sig AND a.cell_a = b.cell_a AND a.cell_b = b.cell_b",
-        "a.node < b.node" if ordered else "a.node <> b.node",
-        "a.cls = greatest(a.own_cls, b.own_cls)",
-        "a.cell_a = least(a.slice, b.slice) AND a.cell_b = greatest(a.slice, b.slice)",
-        f"abs(length(a.form) - length(b.form)) < {_SLACK} * {total}",
-        f"levenshtein(a.form, b.form, cast(ceil({_SLACK} * {total}) as int)) >= 0",
-        first_shared,
-    ]
-    return a.join(b, F.expr(" AND ".join(f"({c})" for c in conditions))).select(
-        F.col("a.node").alias("a"), F.col("b.node").alias("b"),
-        F.col("a.form").alias("form_a"), F.col("b.form").alias("form_b"),
-        F.col("a.members").alias("members_a"), F.col("b.members").alias("members_b"),
-    )
-
-
-def _scored(candidates: DataFrame, method: str) -> DataFrame:
-    score = indel_score if method == "indel" else levenshtein_score
-    return candidates.withColumn("score", score(F.col("form_a"), F.col("form_b"))).where(
-        F.col("score") >= rules.FUZZY_SCORE
-    )
+def _pairs(index: DataFrame, method: str, late: DataFrame | None = None) -> DataFrame:
+    """(a, b, form_a, form_b, members_a, members_b, score) of the pairs at or above the cut-off, a < b or b a late one."""
+    if method == "indel":
+        return meet(index, "pairs", True, _SLACK, late)
+    score = levenshtein_score(F.col("form_a"), F.col("form_b"))
+    # a filter on the score must not make Spark compare twice
+    close = F.expr(f"levenshtein(form_a, form_b, cast(ceil({_SLACK} * (length(form_a) + length(form_b))) as int)) >= 0")
+    found = meet(index, "pairs", False, _SLACK, late).where(close)
+    return found.withColumn("score", score).where(F.col("score") >= rules.FUZZY_SCORE)
 
 
 class Matcher:
@@ -260,20 +242,22 @@ class Matcher:
 
         Few forms have a bounded number of pairs, which are kept for reuse; many are only ever streamed.
         """
-        found = _scored(_candidates(self.index, self.index, ordered=True), self.method)
+        found = _pairs(self.index, self.method)
         return self.staging.write(found, "pairs") if self.is_small else found
 
     def pair_count(self) -> int:
         """Pairs of raw values that differ ignoring case and outer blanks, yet score 85 or more.
 
-        Pairs that share a form are counted by arithmetic, not enumerated.
+        Pairs that share a form are counted by arithmetic; others are counted where they are compared, not listed.
         """
         within = self.nodes.agg(
             F.coalesce(F.sum(_pairs_among("members") - F.col("same")), F.lit(0)).alias("n")
         )
-        across = self.pairs.agg(
-            F.coalesce(F.sum(F.col("members_a") * F.col("members_b")), F.lit(0)).alias("n")
-        )
+        if self.method == "indel" and not self.is_small:
+            products = meet(self.index, "count", True, _SLACK)
+        else:
+            products = self.pairs.select((F.col("members_a") * F.col("members_b")).alias("n"))
+        across = products.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
         return int(within.unionByName(across).agg(F.sum("n")).first()[0])
 
     def kept(self) -> DataFrame:
@@ -376,18 +360,14 @@ def kept_forms(nodes: DataFrame, index: DataFrame, staging: Staging, method: str
             later = undecided.where(F.col("node") > limit)
         part = index.join(batch, "node", "left_semi") if later is not None else index.join(
             undecided, "node", "left_semi") if kept_parts else index
-        edges = _scored(_candidates(part, part, ordered=True), method)
+        edges = meet(part, "edges", True, _SLACK) if method == "indel" else _pairs(part, method)
         kept = staging.write(_decide(batch, edges, staging), "kept")
         kept_parts.append(kept)
         if later is None:
             break
-        hits = _scored(
-            _candidates(
-                index.join(kept, "node", "left_semi"), index.join(later, "node", "left_semi"),
-                ordered=False,
-            ),
-            method,
-        ).select(F.col("b").alias("node"))
+        early, others = index.join(kept, "node", "left_semi"), index.join(later, "node", "left_semi")
+        hits = (meet(early, "late", True, _SLACK, others) if method == "indel" else _pairs(early, method, others)).select(
+            F.col("b").alias("node"))
         undecided = staging.write(later.join(hits.distinct(), "node", "left_anti"), "undecided")
         remaining = undecided.count()
         size *= 4

@@ -3,14 +3,18 @@
 import itertools
 import random
 import re
+import time
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from rinsework import Staging
 from rinsework.functions import similarity
 from rinsework.functions.rules import CITIES
-from rinsework.operators import dedup, dictionary, fuzzy
+from rinsework.functions.subsequence import Texts
+from rinsework.operators import dedup, dictionary, fuzzy, pairing
 
 
 def form_of(s):
@@ -130,11 +134,51 @@ def test_pair_count_of_a_column(spark):
     assert fuzzy.fuzzy_pair_count(frame, "v", "id") == 2
 
 
-def test_candidate_join_is_no_cross_join(spark):
+def test_cells_are_compared_without_a_join(spark):
     frame = spark.createDataFrame(list(enumerate(names(5, 60))), "id long, v string")
     matcher = fuzzy.Matcher(frame, "v", "id")
-    plan = fuzzy._candidates(matcher.index, matcher.index, True)._jdf.queryExecution().executedPlan().toString()
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    plan = pairing.meet(matcher.index, "count", True, fuzzy._SLACK)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "CartesianProduct" not in plan
+
+
+@pytest.mark.parametrize("size", [1500])
+def test_dense_columns_are_counted_without_listing_pairs(spark, monkeypatch, size):
+    """Serial numbers: nearly a million similar pairs, several slices of one block."""
+    monkeypatch.setattr(fuzzy, "BLOCK_LIMIT", 300)
+    values = [f"Customer#{i:09d}" for i in range(size)]
+    frame = spark.createDataFrame(list(enumerate(values)), "id long, v string")
+    forms = [form_of(v) for v in values]
+    i, j = np.triu_indices(size, 1)
+    near = np.rint(200 * Texts(forms).common(i, j) / 36) >= 85
+    matcher = fuzzy.Matcher(frame, "v", "id")
+    start = time.monotonic()
+    assert matcher.pair_count() == near.sum() > 400_000
+    assert time.monotonic() - start < 30
+    kept, similar = [], set(zip(i[near].tolist(), j[near].tolist()))
+    for n in range(size):
+        if not any((k, n) in similar for k in kept):
+            kept.append(n)
+    assert sorted(r.node for r in matcher.kept().collect()) == kept
+
+
+def test_cells_come_whole():
+    cells = ["a"] * 3 + ["b"] + ["c"] * 9 + ["d"] * 2
+    for size in (1, 2, 3, 5, 20):
+        batches = [pa.RecordBatch.from_pydict({"cell": cells[k : k + size]}) for k in range(0, len(cells), size)]
+        parts = [t["cell"].to_pylist() for t in pairing._whole_cells(iter([pa.RecordBatch.from_pydict({"cell": cells[:0]}), *batches]))]
+        assert sum(parts, []) == cells
+        assert all(not set(x) & set(y) for x, y in itertools.combinations(parts, 2))
+
+
+def test_common_subsequences_of_long_texts():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abcdé\U0001f600", k=rng.choice((0, 1, 5, 40, 63, 64, 65, 128, 129, 200)))) for _ in range(60)]
+    pairs = [(a, b) for a in range(60) for b in range(0, 60, 7)]
+    left, right = map(np.array, zip(*pairs))
+    found = Texts(texts).common(left, right)
+    for (a, b), n in zip(pairs, found):
+        total = len(texts[a]) + len(texts[b])
+        assert indel(texts[a], texts[b]) == (round(200 * n / total) if total else 100)
 
 
 def test_greedy_rounds_equal_a_loop(spark):
