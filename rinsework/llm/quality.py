@@ -12,8 +12,8 @@ is at most the ratio of the two shares, and the smallest ratio over all scores,
 A text enters as ``SHAPE`` measures of its characters, words and lines, and as hashed frequencies of its character n-grams.
 Every character and word of a text counts, however long it is. The network (one hidden layer) is trained in numpy.
 
-Plan: one pass reads the texts and writes their measures, about a kilobyte a document, beside what the label says. Training
-collects a bounded sample of those; the corpus' histogram and the scores are further passes over the measures alone.
+Plan: one pass reads the texts and writes their measures, half a kilobyte a document. Training collects a bounded sample of
+those; the corpus' histogram and the scores are further passes over the measures alone, which are never shuffled.
 """
 
 from __future__ import annotations
@@ -24,27 +24,27 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rinsework.session import Staging
 
 from . import words
 
-#: Trusted positives, and unlabelled rows, that training may use at most.
-SAMPLE = 4_000
+#: Trusted positives, and unlabelled rows, that training may use at most from each half of the ids.
+SAMPLE = 2_000
 THRESHOLD = 0.5
 #: Buckets of character n-grams, their length, and units of the hidden layer.
 BUCKETS, GRAM, HIDDEN = 256, 3, 16
 #: The measures of a text besides its n-grams.
 SHAPE = (
-    "letters", "capitals", "digits", "spaces", "signs", "other", "log characters", "log words", "word length", "distinct words",
+    "letters", "capitals", "digits", "spaces", "signs", "other", "log characters", "log words", "log word length", "distinct words",
     "words repeated at once", "commonest word", "distinct lines", "words a line", "words without letters", "words in capitals",
     "words ending in signs", "repeated signs",
 )
 _STEPS, _BATCH, _RATE, _DECAY, _SEED = 600, 512, 0.01, 1e-2, 13
 #: Ranges of scores in which the shares are counted, and deviations that chance is allowed.
-_BINS, _DEVIATIONS = 1_000, 1.5
+_BINS, _DEVIATIONS = 1_000, 1.0
 _KINDS = 6
 
 
@@ -116,7 +116,7 @@ def measures(texts: pa.Array) -> np.ndarray:
     line_count = np.bincount(line_of[filled], minlength=n)
 
     shape = [_share(kinds[:, k], chars) for k in range(_KINDS)]
-    shape += [np.log1p(chars), np.log1p(counts), _share(length, counts), _share(kept, counts),
+    shape += [np.log1p(chars), np.log1p(counts), np.log1p(_share(length, counts)), _share(kept, counts),
               _share(np.bincount(whose[1:][again], minlength=n), counts), _share(most, counts), _share(distinct_lines, line_count),
               np.log1p(_share(counts, line_count)), *[_share(f, counts) for f in of_words],
               _share(np.bincount(owner[1:][twice], minlength=n), chars)]
@@ -237,32 +237,36 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def measured(docs: DataFrame, labels: DataFrame, staging: Staging) -> DataFrame:
-    """``(doc_id, held_out, trusted, m)`` for every row of ``docs``: measures, and whether a label of quality 1 may be learned.
-
-    Null texts are empty; null labels and ids are ignored; an id with a good and a bad label isn't trusted.
-    """
+def trusted(labels: DataFrame) -> DataFrame:
+    """``(doc_id)`` of the documents whose label of quality 1 may be learned; an id with a good and a bad label isn't one."""
     good = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").where(~held_out())
-    good = good.groupBy("doc_id").agg(F.min("quality").alias("worst")).where("worst = 1").select(F.col("doc_id").alias("_id"))
+    good = good.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("worst"))
+    return good.where("worst = 1").select("doc_id")
+
+
+def measured(docs: DataFrame) -> DataFrame:
+    """``(doc_id, held_out, m)`` for every row of ``docs (doc_id, text)``: the measures as half-precision numbers. Null texts are empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = np.asarray(pc.utf8_length(batch.column(2)))
             for lo, hi in words.slices(lengths, 1_000_000):
-                found = measures(batch.column(2).slice(lo, hi - lo))
-                flat = pa.array(found.ravel(), pa.float32())
-                rows = pa.FixedSizeListArray.from_arrays(flat, found.shape[1]).cast(pa.list_(pa.float32()))
+                found = measures(batch.column(2).slice(lo, hi - lo)).astype(np.float16)
+                rows = pa.array([row.tobytes() for row in found], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), rows], names=["doc_id", "held_out", "m"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = staging.write(named.mapInArrow(run, "doc_id long, held_out boolean, m array<float>"), "measures")
-    joined = rows.join(good, rows["doc_id"] == good["_id"], "left")
-    return joined.select("doc_id", "held_out", F.col("_id").isNotNull().alias("trusted"), "m")
+    return named.mapInArrow(run, "doc_id long, held_out boolean, m binary")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.asarray(column.flatten(), dtype=np.float32).reshape(len(column), -1)
+    rows = column.to_pylist()
+    return np.frombuffer(b"".join(rows), dtype=np.float16).reshape(len(rows), -1).astype(np.float32)
+
+
+def _key() -> Column:
+    return F.xxhash64("doc_id", "m")
 
 
 def _fold() -> Column:
@@ -270,54 +274,57 @@ def _fold() -> Column:
     return F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(2)).cast("int")
 
 
-def _sampled(rows: DataFrame) -> np.ndarray:
-    """The measures of ``SAMPLE`` rows, those of smallest hash; repeated rows of one id count once."""
-    keyed = rows.select(F.xxhash64("doc_id", "m").alias("key"), "m")
-    last = keyed.select("key").distinct().orderBy("key").limit(SAMPLE).agg(F.max("key")).first()[0]
-    if last is None:
-        return np.zeros((0, len(SHAPE) + BUCKETS), dtype=np.float32)
-    found = keyed.where(F.col("key") <= last).groupBy("key").agg(F.first("m").alias("m")).toArrow().sort_by("key")
-    return _matrix(found["m"].combine_chunks())
+def _samples(rows: DataFrame, good: DataFrame) -> dict[tuple[int, int], np.ndarray]:
+    """The measures of ``SAMPLE`` rows for each (kind, half), kind 1 being trusted rows and 0 any; those of smallest hash.
 
-
-def _binned(nets: list[Network]):
-    """Counts of scores of trusted rows and of all rows, each row scored by the network that the other half trained."""
+    Held-out rows take no part; repeated rows of one id count once. Only ids and hashes are shuffled, and of the measures those picked.
+    """
+    known = rows.where("NOT held_out").select("doc_id", _fold().alias("fold"), _key().alias("key"))
+    kinds = known.select(F.lit(0).alias("kind"), "fold", "key").union(known.join(good, "doc_id").select(F.lit(1).alias("kind"), "fold", "key"))
+    place = F.row_number().over(Window.partitionBy("kind", "fold").orderBy("key"))
+    picked = kinds.distinct().withColumn("place", place).where(F.col("place") <= SAMPLE).select("kind", "fold", F.col("key").alias("_key"))
+    # at most 4 * SAMPLE rows of three numbers are broadcast
+    found = rows.select(_key().alias("key"), "m").join(F.broadcast(picked), F.col("key") == F.col("_key"))
+    table = found.groupBy("kind", "fold", "key").agg(F.first("m").alias("m")).toArrow().sort_by([(c, "ascending") for c in ("kind", "fold", "key")])
+    kind, fold = table["kind"].to_numpy(), table["fold"].to_numpy()
+    parts = {(k, f): np.flatnonzero((kind == k) & (fold == f)) for k in (0, 1) for f in (0, 1)}
+    return {at: _matrix(table["m"].take(pa.array(which))) if len(which) else np.zeros((0, len(SHAPE) + BUCKETS), dtype=np.float32)
+            for at, which in parts.items()}
+
+
+def _placed(nets: list[Network]):
+    """The range of scores of each row, scored by the network that the other half trained."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = np.zeros((2, _BINS), dtype=np.int64)
         for batch in batches:
-            trusted, fold = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            rows = _matrix(batch.column(2))
+            fold, rows = batch.column(1).to_numpy(zero_copy_only=False), _matrix(batch.column(2))
             scores = np.where(fold == 0, nets[1].score(rows), nets[0].score(rows))
-            place = np.minimum((scores * _BINS).astype(int), _BINS - 1)
-            totals += np.stack([np.bincount(place[trusted], minlength=_BINS), np.bincount(place, minlength=_BINS)])
-        kind, at = np.nonzero(totals)
-        yield pa.RecordBatch.from_pydict({
-            "kind": pa.array(kind, pa.int32()), "place": pa.array(at, pa.int32()), "n": pa.array(totals[kind, at], pa.int64())})
+            place = np.minimum((scores * _BINS).astype(np.int32), _BINS - 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(place, pa.int32())], names=["doc_id", "place"])
 
     return run
 
 
-def fit(rows: DataFrame) -> tuple[Network | None, float]:
-    """A network for ``rows (doc_id, held_out, trusted, m)``, and the class prior.
+def fit(rows: DataFrame, good: DataFrame) -> tuple[Network | None, float]:
+    """A network for ``rows (doc_id, held_out, m)`` with the trusted ids ``good (doc_id)``, and the class prior.
 
-    Learns from at most ``SAMPLE`` trusted rows and ``SAMPLE`` others, which may be good or bad; both exclude rows held out, and are
-    picked by a hash of the id, so reruns agree. The prior is taken over all rows, each scored by a network that never saw it.
-    Without trusted rows there is no network; without enough of them to estimate a prior it is 1.
+    Learns from at most ``SAMPLE`` trusted rows of either half of the ids, and as many others, which may be good or bad; both exclude
+    rows held out, and are picked by a hash, so reruns agree. The prior is taken over all rows, each scored by a network
+    that never saw it. Without trusted rows there is no network; without enough of them to estimate a prior it is 1.
     """
-    known, fold = rows.where("NOT held_out"), _fold()
-    good, open_ = _sampled(known.where("trusted")), _sampled(known)
-    if not len(good):
+    sample = _samples(rows, good)
+    known, open_ = (np.concatenate([sample[kind, 0], sample[kind, 1]]) for kind in (1, 0))
+    if not len(known):
         return None, 0.0
-    halves = [(_sampled(known.where("trusted").where(fold == k)), _sampled(known.where(fold == k))) for k in (0, 1)]
-    if not all(len(x) for half in halves for x in half):
-        return train(good, open_, 1.0), 1.0
-    apart = [train(*half, None) for half in halves]
-    counted = rows.select("trusted", fold.alias("fold"), "m").mapInArrow(_binned(apart), "kind int, place int, n long")
+    if not all(map(len, sample.values())):
+        return train(known, open_, 1.0), 1.0
+    apart = [train(sample[1, fold], sample[0, fold], None) for fold in (0, 1)]
+    placed = rows.select("doc_id", _fold().alias("fold"), "m").mapInArrow(_placed(apart), "doc_id long, place int")
+    marked = placed.join(good.withColumn("trusted", F.lit(1)), "doc_id", "left")
     shares = np.zeros((2, _BINS))
-    for row in counted.groupBy("kind", "place").agg(F.sum("n").alias("n")).collect():  # at most two rows for each range
-        shares[row["kind"], row["place"]] = row["n"]
+    for row in marked.groupBy("place").agg(F.count("*").alias("n"), F.count("trusted").alias("good")).collect():  # a row for each range
+        shares[:, row["place"]] = row["good"], row["n"]
     prior = prior_of(*shares)
-    return train(good, open_, prior), prior
+    return train(known, open_, prior), prior
 
 
 def score(rows: DataFrame, net: Network | None) -> DataFrame:
@@ -338,5 +345,5 @@ def classify(docs: DataFrame, labels: DataFrame, staging: Staging) -> DataFrame:
     empty and scored like empty ones; equal texts score equally, whatever their ids; rows of one id are scored each by its own
     text. An empty table gives an empty result; without trusted texts every score is 0.
     """
-    rows = measured(docs, labels, staging)
-    return score(rows, fit(rows)[0])
+    rows = staging.write(measured(docs), "measures")
+    return score(rows, fit(rows, staging.write(trusted(labels), "trusted"))[0])
