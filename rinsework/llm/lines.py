@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from rinsework.session import Staging
 
+from .names import unused
+
 #: Leading tokens on the way to a leaf; runs of tokens that may vary; tokens a line needs for that.
 DEPTH, FIELDS, MIN_FIELD_TOKENS = 2, 4, 8
 #: Documents times constant tokens that make a template recurring.
@@ -58,9 +60,10 @@ def parse(docs: DataFrame) -> DataFrame:
     The runs are the leading tokens and the fields after them, or the whole line if it is too short for fields. Each
     token is hashed once here; templates are made from the runs' hashes.
     """
-    lines = docs.where("text IS NOT NULL").select(
-        F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n")).alias("line", "v")
-    ).where("trim(v) != ''")
+    # the text itself stays behind: beside the exploded lines it would be hashed once a line
+    texts = docs.where("text IS NOT NULL").select(
+        F.col("doc_id").alias("doc"), F.xxhash64("text").alias("text_key"), F.split("text", "\n").alias("l"))
+    lines = texts.select("doc", "text_key", F.posexplode("l").alias("line", "v")).where("trim(v) != ''")
     # a line without fields, unspaced letters (all beyond U+0E00) and empty tokens has as many constants as tokens; this
     # must stay one cheap scan: script classes are slow
     v = F.col("v")
@@ -115,25 +118,38 @@ def repeated_lines(docs: DataFrame, staging: Staging) -> DataFrame:
     return lost.groupBy("doc", "text_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))
 
 
+def _without(lines: Column, gone: Column) -> Column:
+    """``lines`` without those of the numbers ``gone``: both are put in one order, where a number follows the line it takes."""
+    marked = F.sort_array(F.concat(
+        F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.lit(False).alias("gone"), x.alias("line"))),
+        F.transform(gone, lambda i: F.struct(i.alias("at"), F.lit(True).alias("gone"), F.lit("").alias("line")))))
+
+    def kept(whole: Column) -> Column:
+        taken = lambda i: F.coalesce(F.get(whole, i + 1)["gone"], F.lit(False))
+        return F.transform(F.filter(whole, lambda x, i: ~x["gone"] & ~taken(i)), lambda x: x["line"])
+
+    return F.transform(F.array(marked), kept)[0]
+
+
 def drop_repeated_lines(docs: DataFrame, staging: Staging) -> DataFrame:
     """``docs`` with the lines of templates that recur across documents taken out of all but the first document.
 
     The first document is the one of smallest ``doc_id``. Blank lines stay; a document that loses all its lines stays with
     an empty text. Null texts and rows with a null ``doc_id`` stay as they are and count for nothing. Repeated rows of
-    one ``doc_id`` are one document. ``n_chars``, where it exists, follows the text; other columns stay as they are.
+    one ``doc_id`` are one document, and so are rows of one id with different texts; each loses the lines of its own text. An
+    empty table stays empty. ``n_chars``, where it exists, follows the text; other columns stay as they are, whatever their names.
     """
-    lost = repeated_lines(docs, staging).select(
-        F.col("doc").alias("_doc"), F.col("text_key").alias("_text"), F.col("lines").alias("_lines"))
-    joined = docs.join(lost, (docs["doc_id"] == lost["_doc"]) & (F.xxhash64(docs["text"]) == lost["_text"]), "left")
-    kept = F.filter(F.split(docs["text"], "\n"), lambda _, i: ~F.array_contains(F.col("_lines"), i))
-    text = F.when(F.col("_lines").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    doc, key, numbers = unused(docs.columns, "_doc", "_text", "_lines")
+    lost = repeated_lines(docs, staging).select(F.col("doc").alias(doc), F.col("text_key").alias(key), F.col("lines").alias(numbers))
+    joined = docs.join(lost, (docs["doc_id"] == lost[doc]) & (F.xxhash64(docs["text"]) == lost[key]), "left")
+    gone = lost[numbers]
+    text = F.when(gone.isNull(), docs["text"]).otherwise(F.array_join(_without(F.split(docs["text"], "\n"), gone), "\n"))
 
     def column(name: str) -> Column:
         if name == "text":
             return text.alias(name)
         if name == "n_chars":
-            changed = F.col("_lines").isNotNull()
-            return F.when(changed, F.length(text)).otherwise(docs[name]).cast(docs.schema[name].dataType).alias(name)
+            return F.when(gone.isNotNull(), F.length(text)).otherwise(docs[name]).cast(docs.schema[name].dataType).alias(name)
         return docs[name]
 
     return joined.select(*[column(c) for c in docs.columns])

@@ -6,24 +6,34 @@ from . import chat, codes, lines, mixing, sketch
 
 _WORD = "[^ \\t-\\r]+"
 
-_without = ", ".join(
-    f"{{'t': concat_ws(chr(1), n, {k}, array_to_string(w[1:{lines.DEPTH} + ((n - {lines.DEPTH}) * {k}) // {lines.FIELDS}], ' '), "
-    f"array_to_string(w[{lines.DEPTH} + ((n - {lines.DEPTH}) * {k + 1}) // {lines.FIELDS} + 1:], ' ')), "
-    f"'c': n - ((n - {lines.DEPTH}) * {k + 1}) // {lines.FIELDS} + ((n - {lines.DEPTH}) * {k}) // {lines.FIELDS}}}"
-    for k in range(lines.FIELDS)
-)
-_own = "{'t': concat_ws(chr(1), n, array_to_string(w, ' ')), 'c': n}"
+# letters and marks of scripts that part words by spaces; words of them that hold a digit; rows of such words
+_UNSPACED = "".join(rf"\p{{{script}}}" for script in "Han Hiragana Katakana Thai Lao Khmer Myanmar Tibetan".split())
+_PLAIN = rf"[^\P{{L}}{_UNSPACED}]|[^\P{{M}}{_UNSPACED}]|_"
+_NUMBERED = rf"(?:{_PLAIN})*[0-9](?:{_PLAIN}|[0-9])*"
+_FIELD = rf"{_NUMBERED}(?:[.,:/-]{_NUMBERED})*"
+_SPACE = r" \t\n\x0b\f\r"
+_SIGNS = rf"[^{_SPACE}\p{{L}}\p{{M}}\x01]*\x01[^{_SPACE}\p{{L}}\p{{M}}]*"
+_CONSTANT = rf"[{_UNSPACED}]{{1,2}}|[^{_SPACE}{_UNSPACED}]+"
+_ends = [f"{lines.DEPTH} + ((n - {lines.DEPTH}) * {k}) // {lines.FIELDS}" for k in range(lines.FIELDS + 1)]
+_runs = ", ".join([f"w[1:{lines.DEPTH}]", *(f"w[{a} + 1:{b}]" for a, b in zip(_ends, _ends[1:]))])
+_whole = "{'t': concat_ws(chr(1), n, array_to_string(w, ' ')), 'c': list_sum(c)}"
+_open = ", ".join(
+    f"{{'t': concat_ws(chr(1), n, {k}, array_to_string(w[1:{a}], ' '), array_to_string(w[{b} + 1:], ' ')), 'c': list_sum(c) - c[{k + 2}]}}"
+    for k, (a, b) in enumerate(zip(_ends, _ends[1:])))
 
 LINE_DEDUP = f"""
 WITH split AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
 numbered AS (SELECT doc_id, text, i, l[i] AS v FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM split)),
 masked AS (
-  SELECT doc_id, text, i,
-    list_transform(string_split(v, ' '), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{lines.VARIABLE}' ELSE t END) AS w
-  FROM numbered WHERE trim(v) <> ''),
+  SELECT doc_id, text, i, string_split(replace(regexp_replace(v, '{_FIELD}', '{lines.VARIABLE}', 'g'), chr(9), ' '), ' ') AS w
+  FROM numbered WHERE trim(v, ' ') <> ''),
 sized AS (SELECT *, len(w) AS n FROM masked),
+counted AS (
+  SELECT *, list_transform(CASE WHEN n >= {lines.MIN_FIELD_TOKENS} THEN [{_runs}] ELSE [w] END, lambda r: len(regexp_extract_all(
+    regexp_replace(replace(array_to_string(r, ' '), '{lines.VARIABLE}', chr(1)), '{_SIGNS}', ' ', 'g'), '{_CONSTANT}'))) AS c
+  FROM sized),
 parsed AS (
-  SELECT doc_id, text, i, unnest(CASE WHEN n >= {lines.MIN_FIELD_TOKENS} THEN [{_own}, {_without}] ELSE [{_own}] END) AS x FROM sized),
+  SELECT doc_id, text, i, unnest(CASE WHEN n >= {lines.MIN_FIELD_TOKENS} THEN [{_whole}, {_open}] ELSE [{_whole}] END) AS x FROM counted),
 recurring AS (
   SELECT x.t AS t, min(doc_id) AS first FROM parsed GROUP BY x.t
   HAVING count(DISTINCT doc_id) > 1 AND count(DISTINCT doc_id) * max(x.c) >= {lines.EVIDENCE}),
