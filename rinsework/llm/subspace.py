@@ -93,17 +93,18 @@ def _compare(cosine: float, block: int):
         parts = blocks(dims, block)
         limits = np.array([(2 - 2 * cosine) * (p.stop - p.start) / dims + _SLACK for p in parts])
         near = turned[:, parts[own]].astype(np.float32)
-        square = (near**2).sum(axis=1)
-        limit = np.float32(limits[own] + 1e-5)
+        square, one = (near**2).sum(axis=1)[:, None], np.ones((n, 1), dtype=np.float32)
+        # one product gives the squared distance less the limit
+        asks = np.concatenate([-2 * near, square - np.float32(limits[own] + 1e-5), one], axis=1)
+        told = np.concatenate([near, one, square], axis=1).T
         counts, links = np.zeros(n, dtype=np.int64), []
-        left, right = (np.flatnonzero(~second), np.flatnonzero(second)) if second.any() else (np.arange(n),) * 2
-        within = not second.any()
+        within = key[3] == key[4]  # else one of the two chunks may be empty
+        left, right = (np.arange(n),) * 2 if within else (np.flatnonzero(~second), np.flatnonzero(second))
         for a in range(0, len(left), _TILE):
             i = left[a : a + _TILE]
             for c in range(a if within else 0, len(right), _TILE):
                 j = right[c : c + _TILE]
-                gap = square[i][:, None] + (square[j] - limit) - 2 * (near[i] @ near[j].T)
-                x, y = np.divmod(np.flatnonzero(gap <= 0), len(j))
+                x, y = np.divmod(np.flatnonzero(asks[i] @ told[:, j] <= 0), len(j))
                 x, y = i[x], j[y]
                 fit = home[x] | home[y]
                 if within and a == c:
@@ -133,16 +134,19 @@ def near_vectors(vectors: DataFrame, staging: Staging, cosine: float = COSINE, b
     """``(vec_id, n_links, component_id, kept)`` for every row of ``vectors (vec_id, embedding)``.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do vectors of
-    different lengths. Repeated rows are vectors of their own, linked with each other. Rows with a null ``vec_id`` link with
-    nothing and belong to no component.
+    different lengths. Rows are vectors of their own, whatever their ids: repeated rows link with each other, and different
+    vectors of one id link only if they are near. Rows with a null ``vec_id`` link with nothing and belong to no component. Other
+    columns aren't read; an empty table gives an empty result.
     """
     keyed = vectors.select(
         F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.struct(
             F.xxhash64(F.lit(1), "embedding").alias("h1"), F.xxhash64(F.lit(2), "embedding").alias("h2")).alias("key"))
     fine = keyed.where("vec_id IS NOT NULL AND embedding IS NOT NULL AND size(embedding) > 0").where(
         "forall(embedding, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists(embedding, x -> x != 0)")
+    # a point's number is fixed by writing it; ids may repeat
     points = staging.write(fine.groupBy("key").agg(
-        F.min("vec_id").alias("rid"), F.count("*").alias("weight"), F.first("embedding").alias("embedding")), "points")
+        F.min("vec_id").alias("lowest"), F.count("*").alias("weight"), F.first("embedding").alias("embedding"),
+    ).withColumn("rid", F.monotonically_increasing_id()), "points")
     cells = staging.write(points.select("rid", "embedding").mapInArrow(
         _cells(cosine, block, grid), "rid long, dims int, block int, cell string, home boolean"), "cells")
     place = ["dims", "block", "cell"]
@@ -157,8 +161,15 @@ def near_vectors(vectors: DataFrame, staging: Staging, cosine: float = COSINE, b
     found = staging.write(full.groupBy(*place, "i", "j").applyInArrow(_compare(cosine, block), "a long, b long, n long"), "links")
     counts = found.groupBy(F.col("b").alias("rid")).agg(F.sum("n").alias("linked"))
     joined = components(found.select("a", "b"), staging).withColumnRenamed("node", "rid")
-    per_point = points.select("key", "rid", "weight").join(counts, "rid", "left").join(joined, "rid", "left").select(
-        "key", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("linked"), F.coalesce("component", "rid").alias("component"))
+    placed = points.select("key", "rid", "weight", "lowest").join(counts, "rid", "left").join(joined, "rid", "left").select(
+        "key", "lowest", (F.coalesce("linked", F.lit(0)) + F.col("weight") - 1).alias("linked"), "component", "rid")
+    placed = staging.write(placed, "placed")
+    # components are told by their smallest id; a component's first point stands for itself
+    inside = placed.where("component IS NOT NULL").select("component", "lowest").union(
+        placed.join(placed.select(F.col("component").alias("rid")).where("rid IS NOT NULL").distinct(), "rid").select("rid", "lowest"))
+    firsts = inside.groupBy(F.col("component").alias("_c")).agg(F.min("lowest").alias("first"))
+    per_point = placed.join(firsts, F.coalesce("component", "rid") == F.col("_c"), "left").select(
+        "key", "linked", F.coalesce("first", "lowest").alias("component"))
     per_point = staging.write(per_point, "per-point")
     in_points = keyed["vec_id"].isNotNull() & (keyed["key"] == per_point["key"])
     rows = keyed.join(per_point, in_points, "left").select(
