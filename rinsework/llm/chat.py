@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,15 +118,14 @@ def conversations(messages: DataFrame, staging: Staging, top: int = 1) -> DataFr
                             F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     path = branches(messages, staging, top)
     full = path.join(texts, path["tree"].eqNullSafe(texts["_t"]) & (path["node"] == texts["_n"]))
-    turns = full.select("tree", "leaf", F.struct(
-        "place", formatted_turn(F.col("role"), F.col("text")).alias("turn"), (F.col("role") == "assistant").alias("trained")).alias("t"))
-    rows = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    ends = F.expr("transform(sequence(1, size(t)), i -> aggregate(slice(t, 1, i), 0, (n, x) -> n + length(x.turn)))")
-    rows = rows.withColumn("_ends", ends)
+    turns = full.select("tree", "leaf", "place", formatted_turn(F.col("role"), F.col("text")).alias("turn"), (F.col("role") == "assistant").alias("trained"))
+    upto = Window.partitionBy("tree", "leaf").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    turns = turns.withColumn("upto", F.sum(F.length("turn")).over(upto))
+    rows = turns.groupBy("tree", "leaf").agg(F.array_sort(F.collect_list(F.struct("place", "turn", "trained", "upto"))).alias("t"))
     before, after = (len(x) for x in MARKS["assistant"])
     spans = F.expr(
-        "transform(filter(arrays_zip(t, _ends), x -> x.t.trained), x -> "
-        f"struct(x._ends - length(x.t.turn) + {before} AS start, x._ends - {after} AS end))")
+        "transform(filter(t, x -> x.trained), x -> "
+        f"struct(cast(x.upto - length(x.turn) + {before} AS int) AS start, cast(x.upto - {after} AS int) AS end))")
     return rows.select("tree", "leaf", F.array_join("t.turn", "").alias("formatted"), spans.alias("loss_spans"))
 
 
@@ -141,18 +140,29 @@ def chains(rows: DataFrame) -> DataFrame:
                          F.when(F.col("node") > 1, F.col("node") - 1).alias("parent"), "role", "text", F.lit(0.0).alias("score"))
 
 
-def _read_back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = []
-        for tree, formatted, spans in zip(batch["tree"], batch["formatted"], batch["loss_spans"]):
+        for formatted, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             turns = turns_of(formatted)
             loss = "".join(_ESCAPE.sub(r"\1", formatted[s["start"] : s["end"]]) for s in spans)
             digest = [hashlib.sha256(x.encode()).hexdigest() for x in ("".join(f"{r}\n{t}\n" for r, t in turns), loss)]
-            out.append((tree, len(turns), digest[0], len(loss), digest[1], len(formatted)))
-        yield pd.DataFrame(out, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            out.append((len(turns), digest[0], len(loss), digest[1], len(formatted)))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[n for n, _ in _DIGESTS])
+
+
+_DIGESTS = (("conv_id", "long"), ("n_turns", "long"), ("turns_sha256", "string"), ("loss_chars", "long"),
+            ("loss_sha256", "string"), ("formatted_chars", "long"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Counts and digests of formatted conversations, read back from their text alone."""
-    return formatted.select("tree", "formatted", "loss_spans").mapInPandas(
-        _read_back, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    """Counts and digests of formatted conversations ``(tree, formatted, loss_spans)``, read back from their text alone.
+
+    A null tree stays null, and large numbers of trees stay exact beside it; equal rows are digested each; an empty table gives
+    an empty result; a text that isn't formatted raises ``ValueError``. Other columns aren't read.
+    """
+    return formatted.select(F.col("tree").cast("long").alias("tree"), "formatted", "loss_spans").mapInArrow(
+        _read_back, ", ".join(f"{n} {k}" for n, k in _DIGESTS))
