@@ -6,7 +6,7 @@ random strings; identifiers outside of matches that are shorter than a secret ar
 usual alphabets, drawn with a fixed seed, join the first class, so that a corpus without a single match still has both.
 Transitions are counted over all texts.
 
-A string of at least ``MIN_LENGTH`` characters outside the patterns' spans is a secret if its ratio exceeds ``PER_CHAR``
+A string of at least ``MIN_LENGTH`` characters, less what the patterns' spans cover, is a secret if its ratio exceeds ``PER_CHAR``
 for each character and ``TOTAL`` in all.
 """
 
@@ -17,7 +17,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 KINDS = ("assign", "access", "hex", "markov")
 MIN_LENGTH = 20
 PER_CHAR, TOTAL = 0.5, 12.0
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 # the same patterns for a pass that only says which texts to look at
@@ -120,13 +119,31 @@ def ratio(strings: list[str], model: np.ndarray) -> np.ndarray:
     return np.array(out)
 
 
+def _outside(a: int, b: int, base: list[tuple[int, str, int]], first: int) -> tuple[list[tuple[int, int]], int]:
+    """The parts of a range that no span of ``base``, sorted by start, covers; spans before ``first`` end before the range."""
+    while first < len(base) and base[first][2] <= a:
+        first += 1
+    parts, at = [], first
+    while at < len(base) and base[at][0] < b:
+        parts.append((a, base[at][0]))
+        a = max(a, base[at][2])
+        at += 1
+    return [(x, y) for x, y in [*parts, (a, b)] if y - x >= MIN_LENGTH], first
+
+
 def all_spans(text: str, model: np.ndarray, base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
-    """The patterns' spans and those that the models add outside them, by start and then kind as listed."""
-    found = [m for m in _LONG.finditer(text) if not any(a < m.end() and m.start() < b for a, _, b in base)]
+    """The patterns' spans and those that the models add outside them, by start and then kind as listed.
+
+    A run of characters that a pattern's span touches is judged by what the span leaves of it.
+    """
+    found, first = [], 0
+    for m in _LONG.finditer(text):
+        parts, first = _outside(m.start(), m.end(), base, first)
+        found += parts
     if not found:
         return base
-    scores = ratio([m[0] for m in found], model)
-    added = [(m.start(), KINDS[3], m.end()) for m, x in zip(found, scores) if x > max(TOTAL, PER_CHAR * len(m[0]))]
+    scores = ratio([text[a:b] for a, b in found], model)
+    added = [(a, KINDS[3], b) for (a, b), x in zip(found, scores) if x > max(TOTAL, PER_CHAR * (b - a))]
     return sorted(base + added, key=lambda s: (s[0], KINDS.index(s[1])))
 
 
@@ -135,22 +152,27 @@ def joined(spans: list[tuple[int, str, int]]) -> str:
 
 
 def scan(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """Spans of secrets of every row of ``docs (doc_id, text)``, in code points, end exclusive; a null text is empty."""
+    """Spans of secrets of every row of ``docs (doc_id, text)``, in code points, end exclusive; a null text is empty.
+
+    Ids may be null or repeat and stay exact; every row is scanned by itself; an empty table gives an empty result; other
+    columns aren't read.
+    """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array(batch["text"], pa.string())
+            texts = batch.column(1)
             look = _flagged(texts)
             long = pc.match_substring_regex(texts, _LONG.pattern).to_numpy(zero_copy_only=False)
             rows = []
-            for text, has, may in zip(batch["text"], look, long):
+            for text, has, may in zip(texts.to_pylist(), look, long):
                 base = base_spans(text) if has else []
                 kinds = [k for _, k, _ in base]
                 spans = all_spans(text, model, base) if may else base
                 rows.append((*(kinds.count(k) for k in KINDS[:3]), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-            out.insert(0, "doc_id", batch["doc_id"].values)
-            yield out
+            columns = list(zip(*rows)) or [()] * 5
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:3]), *(pa.array(c, pa.string()) for c in columns[3:])],
+                names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return named.mapInPandas(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return named.mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
