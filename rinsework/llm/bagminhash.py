@@ -28,6 +28,7 @@ from rinsework.session import Staging
 
 from . import words
 from .graph import components as connected
+from .names import unused
 
 SIMILARITY = 0.8
 BANDS, ROWS = 32, 6
@@ -337,8 +338,9 @@ def keep_one(docs: DataFrame, staging: Staging, similarity: float = SIMILARITY)
     is kept elsewhere. All columns stay, under whatever names; rows with a null ``doc_id`` stay.
     """
     rows = _text_classes(docs, staging, similarity, BANDS, ROWS)
-    dropped = rows.where("doc_id != first").select(F.col("doc_id").alias("_dropped"), F.col("row_key").alias("_key"))
-    same = (docs["doc_id"] == dropped["_dropped"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == dropped["_key"])
+    names = unused(docs.columns, "_dropped", "_key")
+    dropped = rows.where("doc_id != first").select("doc_id", "row_key").toDF(*names)
+    same = (docs["doc_id"] == dropped[names[0]]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == dropped[names[1]])
     left = docs.join(dropped.distinct(), same, "left_anti")
     known = left.where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text"])
     return known.unionByName(left.where("doc_id IS NULL"))

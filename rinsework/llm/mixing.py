@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from rinsework.session import Staging
 
+from .names import unused
 from .running import digits_for, running_total, shuffle_key
 
 WEIGHTS = (5, 2, 1)
@@ -83,17 +84,17 @@ def mix(docs: DataFrame, staging: Staging) -> DataFrame:
 
 
 def mixed(docs: DataFrame, staging: Staging) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as :func:`mix` takes it. All columns stay.
+    """The mix itself: every row of ``docs`` as often as :func:`mix` takes it. All columns stay, whatever their names.
 
     Rows that agree in ``doc_id``, ``source`` and text are copies of one row, which comes as often as all of them.
     """
+    d, s, t, n = unused(docs.columns, "_d", "_s", "_t", "_n")
     chosen = mix(docs, staging).where("passes > 0").groupBy("doc_id", "source", "text_key").agg(F.sum("passes").alias("passes"))
-    chosen = chosen.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("text_key").alias("_t"),
-                           F.col("passes").alias("_n"))
-    same = (docs["doc_id"].eqNullSafe(chosen["_d"]) & docs["source"].eqNullSafe(chosen["_s"])
-            & (F.xxhash64(docs["text"]) == chosen["_t"]))
-    rows = docs.join(chosen, same).dropDuplicates(["_d", "_s", "_t"])
-    return rows.withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n").cast("int")))).select(*[docs[c] for c in docs.columns])
+    chosen = chosen.select(F.col("doc_id").alias(d), F.col("source").alias(s), F.col("text_key").alias(t), F.col("passes").alias(n))
+    same = (docs["doc_id"].eqNullSafe(chosen[d]) & docs["source"].eqNullSafe(chosen[s])
+            & (F.xxhash64(docs["text"]) == chosen[t]))
+    rows = docs.join(chosen, same).dropDuplicates([d, s, t])
+    return rows.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(n).cast("int")))).select(*[docs[c] for c in docs.columns])
 
 
 def _cut(items: DataFrame, budget: int) -> tuple[float, int]:
