@@ -164,6 +164,27 @@ def _weighted_batch(texts: Sequence[str], names: Sequence[str], cutoff: float) -
     return best
 
 
+def weighted_of_pairs(texts: Sequence[str], names: Sequence[str], cutoff: float) -> np.ndarray:
+    """The weighted score of each text and the name beside it; scores below the cut-off may come out as 0."""
+    best = np.zeros(len(texts))
+    todo = [(i, *c) for i, (t, n) in enumerate(zip(texts, names)) if t and n for c in _comparisons(t, n, cutoff)]
+    if todo:
+        pair, weight, left, right = zip(*todo)
+        np.maximum.at(best, list(pair), np.array(weight) * ratios(left, right))
+    return best
+
+
+def weighted_score(cutoff: float):
+    """Arrow UDF: (text, name) -> their weighted score; scores below the cut-off may come out as 0."""
+    @pandas_udf(T.DoubleType())
+    def score(texts: pd.Series, names: pd.Series) -> pd.Series:
+        left, right = texts.tolist(), names.tolist()
+        parts = [weighted_of_pairs(left[i : i + 2_000], right[i : i + 2_000], cutoff) for i in range(0, len(left), 2_000)]
+        return pd.Series(np.concatenate(parts) if parts else [], dtype=float)
+
+    return score.asNondeterministic()  # a filter on the score must not make Spark evaluate it a second time
+
+
 def nearest_weighted(names: Sequence[str], cutoff: float):
     """Arrow UDF: text -> struct(match, score) of the best name at or above ``cutoff``, else NULLs.
 
@@ -199,5 +220,5 @@ def nearest_levenshtein(c: Column, names: Sequence[str]) -> Column:
 
 __all__ = [
     "METHODS", "common_lengths", "indel_score", "levenshtein_score",
-    "nearest_levenshtein", "nearest_weighted", "processed", "ratios", "weighted_scores",
+    "nearest_levenshtein", "nearest_weighted", "processed", "ratios", "weighted_of_pairs", "weighted_score", "weighted_scores",
 ]

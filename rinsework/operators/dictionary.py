@@ -1,7 +1,7 @@
-"""Nearest-dictionary lookup against a short list of names, and city normalisation built on it.
+"""Nearest-dictionary lookup, and city normalisation built on it.
 
-Each distinct text is scored once against the list, which travels as a constant; there is no join with
-the dictionary. The corrections that result are joined back by text — as a broadcast only when they were
+Distinct texts meet the names they share bigrams with (:mod:`.lookup`); lists that its bound doesn't cover travel as a
+constant, and every text is scored against them. The corrections that result are joined back by text — as a broadcast only when they were
 counted and found few.
 """
 
@@ -16,6 +16,7 @@ from ..functions import rules
 from ..functions.similarity import nearest_levenshtein, nearest_weighted
 from ..functions.text import strip
 from ..session import Staging
+from . import lookup
 from .profile import col
 
 BROADCAST_ROWS = 100_000
@@ -24,15 +25,22 @@ BROADCAST_ROWS = 100_000
 def nearest_names(
     df: DataFrame,
     column: str,
-    names: Sequence[str] = rules.CITIES,
+    names: Sequence[str] | DataFrame = rules.CITIES,
     cutoff: float = rules.CITY_FIX_SCORE,
     method: str = "weighted",
 ) -> DataFrame:
     """(value, match, score) for every distinct trimmed text; match is NULL below the cut-off.
 
     ``weighted`` is the case-sensitive weighted ratio; ``levenshtein`` a plain Spark expression. Equal
-    scores go to the earlier name.
+    scores go to the earlier name. A dictionary of any length may come as a DataFrame ``(name, rank)`` for the weighted score.
     """
+    if isinstance(names, DataFrame):
+        if method != "weighted":
+            raise ValueError("a dictionary as a DataFrame needs the weighted score")
+        return lookup.nearest(df, column, names, cutoff)
+    if method == "weighted" and cutoff >= lookup.LEAST and min(map(len, names), default=0) >= lookup.SHORTEST:
+        listed = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "name string, rank int")
+        return lookup.nearest(df, column, listed, cutoff)
     values = (
         df.select(strip(col(column)).alias("value")).where(F.col("value").isNotNull()).distinct()
     )

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import dates, rules
 from ..functions.numbers import strip_currency
-from ..functions.similarity import nearest_weighted
+from ..functions.similarity import weighted_score
 from ..functions.text import strip
+from . import lookup
 from .profile import classes, col
 
 
@@ -89,12 +90,15 @@ def city_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """
     cells = F.array(*[F.struct(F.lit(c).alias("column"), strip(col(c).cast("string")).alias("value")) for c in columns])
     values = df.select(F.inline(cells)).where(F.col("value").isNotNull())
-    short = F.length("value") <= 8 * max(map(len, rules.CITIES)) + 8
+    short = F.length("value").between(1, 8 * max(map(len, rules.CITIES)))
     counted = values.groupBy("column", F.when(short, F.col("value")).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    best = nearest_weighted(rules.CITIES, rules.CITY_DETECT_SCORE).asNondeterministic()(F.coalesce("value", F.lit("")))
-    matched = counted.select("column", "n", best.alias("best"))
-    hits = F.coalesce(F.sum(F.when(F.col("best.match").isNotNull(), F.col("n"))), F.lit(0))
-    return matched.groupBy("column").agg((hits / F.sum("n")).alias("city_rate"))
+    cities = df.sparkSession.createDataFrame(list(zip(rules.CITIES, range(len(rules.CITIES)))), "name string, rank int")
+    pairs = lookup.candidates(counted.where("value IS NOT NULL").select("value").distinct(), cities, rules.CITY_DETECT_SCORE)
+    near = weighted_score(rules.CITY_DETECT_SCORE)(F.col("value"), F.col("name")) >= rules.CITY_DETECT_SCORE
+    known = pairs.where(near).select(F.col("value").alias("__value")).distinct()
+    marked = counted.join(known, F.col("value") == F.col("__value"), "left")
+    hits = F.sum(F.when(F.col("__value").isNotNull(), F.col("n")).otherwise(0))
+    return marked.groupBy("column").agg((hits / F.sum("n")).alias("city_rate"))
 
 
 def detect_semantics(df: DataFrame, overrides: Mapping[str, str] | None = None) -> dict[str, str]:

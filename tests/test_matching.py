@@ -14,7 +14,7 @@ from rinsework import Staging
 from rinsework.functions import similarity
 from rinsework.functions.rules import CITIES
 from rinsework.functions.subsequence import Texts
-from rinsework.operators import dedup, dictionary, fuzzy, pairing
+from rinsework.operators import dedup, dictionary, fuzzy, lookup, pairing
 
 
 def form_of(s):
@@ -224,6 +224,33 @@ def test_weighted_scores():
     assert cut.max() == similarity.weighted_scores("Mumbia", CITIES).max()
 
 
+def test_nearest_names_by_index_equal_all_pairs(spark):
+    rng = random.Random(8)
+    words = ["new", "York", "port", "San", "el", "Santa", "a", "ville", "Rio", "de", "la", "Bad"]
+    names_ = sorted({" ".join(rng.choices(words, k=rng.randint(1, 3))) for _ in range(120)} | set(CITIES))
+    names_ = [n for n in names_ if len(n) >= lookup.SHORTEST]
+    texts = ["M", "Mu", "Mum", "a", "aa", "a a", "x", "", " ", "York  New", "New\tYork", "note 100953", "mumbai", "MUMBAI", "zz Mumbai zz zz zz zz"]
+    for _ in range(700):
+        t = " ".join(rng.sample(rng.choice(names_).split(" ") + [""] * rng.randint(0, 2), k=1)) if rng.random() < 0.3 else rng.choice(names_)
+        for _ in range(rng.randint(0, 3)):
+            k = rng.randrange(len(t) + 1)
+            t = t[:k] + rng.choice(["", "e", " ", "aa", "x"]) + t[k + rng.randint(0, 1):]
+        texts.append(t)
+    frame = spark.createDataFrame([(t,) for t in [*texts, None, texts[0]]], "city string")
+    for cutoff in (80, 82, 90):
+        given = spark.createDataFrame([*zip(names_, range(len(names_))), (None, 5), (names_[3], 900)], "name string, rank int")
+        found = {r["value"]: (r["match"], r["score"]) for r in dictionary.nearest_names(frame, "city", given, cutoff).collect()}
+        stripped = {t.strip() for t in texts}
+        assert set(found) == stripped
+        for t in stripped:
+            scores = similarity.weighted_scores(t, names_) if t else np.zeros(1)
+            top = int(scores.argmax())
+            expected = (names_[top], scores[top]) if scores[top] >= cutoff else (None, None)
+            assert found[t][0] == expected[0] and (expected[1] is None or abs(found[t][1] - expected[1]) < 1e-9), (t, found[t], expected)
+    with pytest.raises(ValueError):
+        dictionary.nearest_names(frame, "city", given, 70)
+
+
 def test_city_correction(spark):
     cells = ["Mumbia", "Punne", " Mumbai ", "Atlantis", None, "", "delhi"]
     frame = spark.createDataFrame(list(enumerate(cells)), "i long, city string")
