@@ -596,6 +596,64 @@ oracle(
     "dirty_customer",
 )
 
+# the weighted score: every comparison of a value with a city as a row (weight, a, b), scored by bit vectors
+_SPLIT = "list_filter(string_split({}, ' '), lambda w: w <> '')"
+
+
+def _sorted_words(words: str) -> str:
+    return f"array_to_string(list_sort({words}), ' ')"
+
+
+def _stretches(a: str, b: str, weight: str, where: str) -> str:
+    return f"""
+  SELECT value, match, pos, {weight} AS weight, short AS a, substr(long, greatest(i, 0) + 1, i + length(short) - greatest(i, 0)) AS b
+  FROM (SELECT *, CASE WHEN length({a}) <= length({b}) THEN {a} ELSE {b} END AS short, CASE WHEN length({a}) <= length({b}) THEN {b} ELSE {a} END AS long
+        FROM met WHERE {where}) m, unnest(range(1 - length(short), length(long))) t(i)"""
+
+
+_NEAREST_WEIGHTED = f"""
+WITH met AS (
+  SELECT *, spread_of <= 8 AS close, {_sorted_words('wv')} AS sv, {_sorted_words('wc')} AS sc, list_distinct(list_intersect(wv, wc)) AS shared,
+    list_distinct(list_filter(wv, lambda w: NOT list_contains(wc, w))) AS only_v, list_distinct(list_filter(wc, lambda w: NOT list_contains(wv, w))) AS only_c
+  FROM (
+    SELECT value, match, pos, {_SPLIT.format('value')} AS wv, {_SPLIT.format('match')} AS wc,
+      greatest(length(value), length(match)) / least(length(value), length(match)) AS spread_of
+    FROM (SELECT DISTINCT trim(city) AS value FROM dirty_customer WHERE trim(city) <> ''),
+      (SELECT unnest({_CITY_LIST}) AS match, unnest(range(1, {len(CITIES) + 1})) AS pos))),
+sets AS (
+  SELECT *, {_sorted_words('shared')} AS base, trim({_sorted_words('shared')} || ' ' || {_sorted_words('only_v')}) AS with_v,
+    trim({_sorted_words('shared')} || ' ' || {_sorted_words('only_c')}) AS with_c, len(shared) > 0 AND (len(only_v) = 0 OR len(only_c) = 0) AS within
+  FROM met WHERE spread_of < 1.5),
+compared AS (
+  SELECT value, match, pos, 1.0::DOUBLE AS weight, value AS a, match AS b FROM met
+  UNION ALL SELECT value, match, pos, 0.95, '', '' FROM sets WHERE within
+  UNION ALL SELECT value, match, pos, 0.95, sv, sc FROM sets WHERE NOT within
+  UNION ALL SELECT value, match, pos, 0.95, with_v, with_c FROM sets WHERE NOT within
+  UNION ALL SELECT value, match, pos, 0.95, base, with_v FROM sets WHERE NOT within AND len(shared) > 0
+  UNION ALL SELECT value, match, pos, 0.95, base, with_c FROM sets WHERE NOT within AND len(shared) > 0
+  UNION ALL SELECT value, match, pos, 0.95 * CASE WHEN close THEN 0.9 ELSE 0.6 END, '', '' FROM met WHERE spread_of >= 1.5 AND len(shared) > 0
+  UNION ALL {_stretches('value', 'match', 'CASE WHEN close THEN 0.9 ELSE 0.6 END', 'spread_of >= 1.5')}
+  UNION ALL {_stretches('sv', 'sc', '0.95 * CASE WHEN close THEN 0.9 ELSE 0.6 END', 'spread_of >= 1.5 AND len(shared) = 0')}),
+masked AS (
+  SELECT *, list_transform(CASE WHEN b = '' THEN [] ELSE string_split(b, '') END, lambda x: CAST(list_sum(list_transform(range(1, length(a) + 1),
+    lambda i: CASE WHEN a[i] = x THEN 1::BIGINT << (i - 1) ELSE 0 END)) AS BIGINT)) AS masks, (1::BIGINT << length(a)) - 1 AS whole
+  FROM (SELECT DISTINCT a, b FROM compared)),
+ratios AS (
+  SELECT a, b, CASE WHEN a = '' AND b = '' THEN 100.0 WHEN a = '' OR b = '' THEN 0.0 ELSE 200.0 * (length(a) - bit_count(
+    list_reduce(masks, lambda v, m: ((v + (v & m)) | (v & xor(m, whole))) & whole, whole))) / (length(a) + length(b)) END AS ratio
+  FROM masked),
+scored AS (SELECT value, match, pos, max(weight * ratio) AS score FROM compared JOIN ratios USING (a, b) GROUP BY value, match, pos),
+best AS (SELECT *, row_number() OVER (PARTITION BY value ORDER BY round(score, 9) DESC, pos) AS rn FROM scored)
+SELECT value, CASE WHEN score >= 80 THEN match END AS match, CASE WHEN score >= 80 THEN round(score, 4) END AS score FROM best WHERE rn = 1
+"""
+oracle("nearest_dictionary", f"SELECT * FROM ({_NEAREST_WEIGHTED})", "dirty_customer")
+oracle(
+    "city_normalize",
+    "SELECT c_custkey, coalesce(n.match, trim(city)) AS city, coalesce(n.match <> trim(city), false) AS changed "
+    f"FROM dirty_customer LEFT JOIN ({_NEAREST_WEIGHTED}) n ON n.value = trim(city)",
+    "dirty_customer",
+)
+
 # --- scores, verification, reports, whole runs ---------------------------------------------------
 
 

@@ -444,6 +444,12 @@ def nearest_dictionary_lev(spark, folder):
     return nearest.select("value", "match", "score")
 
 
+@query
+def nearest_dictionary(spark, folder):
+    nearest = dictionary.nearest_names(_customer(spark, folder), "city")
+    return nearest.select("value", "match", F.round("score", 4).alias("score"))
+
+
 @query
 def city_normalize(spark, folder):
     frame = _customer(spark, folder).select("c_custkey", "city")
