@@ -671,11 +671,31 @@ _CUSTOMER_AUDIT = (
     f"cast({_outliers('dirty_customer', 'c_custkey', 'age', 'balance')} AS bigint) AS outlier_count, "
     f"{_EMAIL_ISSUES} AS total_email_issues"
 )
+_QUALITY = (
+    "cast(greatest(0, trunc(100.0 - least(20, null_density * 1.5) - least(15, duplicate_count * 100.0 / rows) "
+    "- 0 - least(10, total_email_issues * 30.0 / rows) - 0 - least(15, outlier_count * 5.0 / rows) - least(15, 2 * 4))) AS bigint)"
+)
+oracle("quality_score", f"SELECT *, {_QUALITY} AS quality_score FROM ({_CUSTOMER_AUDIT})", "dirty_customer")
+_FULLER = "(SELECT * FROM dirty_customer WHERE email IS NOT NULL AND balance IS NOT NULL) fuller"
+oracle(
+    "quality_improvement",
+    "SELECT quality_before, quality_after, round((quality_after - quality_before) / greatest(quality_before, 1) * 100, 1) AS improvement_pct "
+    f"FROM (SELECT {_QUALITY} AS quality_before FROM ({_CUSTOMER_AUDIT})), "
+    f"(SELECT {_QUALITY} AS quality_after FROM ({_CUSTOMER_AUDIT.replace('FROM dirty_customer', 'FROM ' + _FULLER)}))",
+    "dirty_customer",
+)
+_AGES = "(SELECT try_cast(age AS double) AS age FROM dirty_customer WHERE try_cast(age AS double) IS NULL OR try_cast(age AS double) < 200)"
+oracle(
+    "age_warning",
+    f"SELECT 'age' AS \"column\", 'float' AS semantic, CASE WHEN (count(*) - count(age)) * 100.0 / count(*) > 50 THEN 'Critical (High Sparsity)' "
+    f"WHEN abs(round(skewness(age), 2)) > 1 THEN 'Warning (High Skew)' WHEN count(*) FILTER (age < 0 OR age > 120) > 0 "
+    f"THEN 'Warning (' || count(*) FILTER (age < 0 OR age > 120) || ' out-of-range ages)' ELSE 'Clean' END AS status FROM {_AGES}",
+    "dirty_customer",
+)
 oracle(
-    "quality_score",
-    "SELECT *, cast(greatest(0, trunc(100.0 - least(20, null_density * 1.5) - least(15, duplicate_count * 100.0 / rows) "
-    "- 0 - least(10, total_email_issues * 30.0 / rows) - 0 - least(15, outlier_count * 5.0 / rows) - least(15, 2 * 4))) "
-    f"AS bigint) AS quality_score FROM ({_CUSTOMER_AUDIT})",
+    "email_examples",
+    "SELECT 'email' AS \"column\", cast(nth AS int) AS nth, example FROM (SELECT email AS example, row_number() OVER (ORDER BY c_custkey) AS nth "
+    f"FROM dirty_customer WHERE email IS NOT NULL AND NOT {_MAIL_OK}) WHERE nth <= 3",
     "dirty_customer",
 )
 _NO_KEY = [c for c in _CUSTOMER_COLUMNS if c != "c_custkey"]

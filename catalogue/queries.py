@@ -11,6 +11,7 @@ from rinsework import Staging, diagnose, optimize
 from rinsework.functions import dates, numbers, text
 from rinsework.operators import columns, dedup, dictionary, fuzzy, impute, outliers, profile, report
 from rinsework.operators import scoring, semantics, verify
+from rinsework.operators.profile import ROW_ID
 from rinsework.operators.quantiles import exact_quantiles
 from rinsework.sources import infer_types, output_name, preview, read_csv, write_csv, write_json
 
@@ -475,6 +476,31 @@ def quality_score(spark, folder):
     )
 
 
+@query
+def quality_improvement(spark, folder):
+    """Scores before and after rows without an address or a balance leave, and the improvement in per cent."""
+    customers = _customer(spark, folder)
+    before, after = (diagnose(df, fuzzy=False).quality_score for df in (customers, customers.where("email IS NOT NULL AND balance IS NOT NULL")))
+    return spark.createDataFrame(
+        [(before, after, scoring.improvement_percent(before, after))], "quality_before long, quality_after long, improvement_pct double")
+
+
+@query
+def age_warning(spark, folder):
+    """Status of a numeric age column in the column report."""
+    ages = _customer(spark, folder).select("c_custkey", F.expr("try_cast(age AS double)").alias("age"))
+    report = diagnose(ages.where("age IS NULL OR age < 200"), fuzzy=False).columns()
+    return report.where("column = 'age'").select("column", "semantic", "status")
+
+
+@query
+def email_examples(spark, folder):
+    """The first invalid addresses that the column report shows."""
+    report = diagnose(view(spark, folder, "dirty_customer", in_order=True).withColumnRenamed("c_custkey", ROW_ID), fuzzy=False).columns()
+    found = report.where("column = 'email'").select("column", F.posexplode("invalid_email_examples").alias("nth", "example"))
+    return found.withColumn("nth", F.col("nth") + 1)
+
+
 @query
 def health_score(spark, folder):
     audit = diagnose(_customer(spark, folder).drop("c_custkey"), fuzzy_method="levenshtein").audit_frame()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import emails, rules
@@ -59,7 +59,7 @@ class EmailAudit:
 def audit_cells(
     df: DataFrame, email_columns: Sequence[str], bounds: Sequence[Bounds]
 ) -> tuple[dict[str, EmailAudit], dict[str, int]]:
-    """E-mail verdicts and outlier counts of all columns in one pass, then a few examples per bad column."""
+    """E-mail verdicts and outlier counts of all columns in one pass, then a few examples per bad column in another."""
     wanted = []
     for i, c in enumerate(email_columns):
         verdict = emails.email_audit_class(col(c))
@@ -68,17 +68,27 @@ def audit_cells(
     if not wanted:
         return {}, {}
     row = df.agg(*wanted).first()
-    audits = {}
-    for i, c in enumerate(email_columns):
-        audit = EmailAudit(row[f"valid{i}"], row[f"malformed{i}"], row[f"suspicious{i}"])
-        if audit.invalid:
-            bad = df.where(emails.email_audit_class(col(c)) != "valid")
-            bad = bad.orderBy(ROW_ID) if ROW_ID in df.columns else bad
-            audit.examples = [r[0] for r in bad.select(col(c)).limit(EXAMPLES).collect()]
-        audits[c] = audit
+    audits = {
+        c: EmailAudit(row[f"valid{i}"], row[f"malformed{i}"], row[f"suspicious{i}"]) for i, c in enumerate(email_columns)
+    }
+    examples = _examples(df, [c for c in email_columns if audits[c].invalid])
+    for c, values in examples.items():
+        audits[c].examples = values
     return audits, {b.column: row[f"out{i}"] for i, b in enumerate(bounds)}
 
 
+def _examples(df: DataFrame, bad: Sequence[str]) -> dict[str, list[str]]:
+    """The first invalid addresses of each column: one job, in which every task passes on no more than it takes."""
+    if not bad:
+        return {}
+    place = F.col(ROW_ID) if ROW_ID in df.columns else F.monotonically_increasing_id()
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), col(c).alias("value"), emails.email_audit_class(col(c)).alias("verdict")) for c in bad])
+    wrong = df.select(place.alias("place"), F.inline(cells)).where("verdict != 'valid'")
+    first = F.row_number().over(Window.partitionBy("column").orderBy("place"))
+    found = wrong.withColumn("nth", first).where(F.col("nth") <= EXAMPLES).orderBy("column", "nth").collect()
+    return {c: [r["value"] for r in found if r["column"] == c] for c in bad}
+
+
 def email_audit(df: DataFrame, column: str) -> DataFrame:
     """One row: valid, malformed, suspicious, invalid."""
     verdict = emails.email_audit_class(col(column))

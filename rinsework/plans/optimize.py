@@ -4,8 +4,8 @@ types -> drop -> exact and fuzzy deduplication -> dates -> e-mails -> phones ->
 values -> text -> outliers -> deduplication -> verification. The semantic types that steer the cell
 cleaners are those found before the first step.
 
-Each stretch between two decisions is one lazy chain; its result is written once to the staging folder, and
-the next decision reads only the columns it needs from there.
+Each stretch between two decisions is one lazy chain; its result is written once to the staging folder, where the same
+pass counts what the report needs, and the next decision reads only the columns it needs from there.
 """
 
 from __future__ import annotations
@@ -64,12 +64,6 @@ class CleanResult:
         self.staging.discard()
 
 
-def _status_counts(df: DataFrame, wanted: Mapping[str, Column]) -> dict[str, int]:
-    if not wanted:
-        return {}
-    return df.agg(*[F.count_if(c).alias(name) for name, c in wanted.items()]).first().asDict()
-
-
 def optimize(
     df: DataFrame,
     overrides: Mapping[str, str] | Overrides | None = None,
@@ -94,10 +88,10 @@ def optimize(
     steps: list[str] = []
 
     # one shuffle of whole rows serves the duplicate count and the deduplication
-    df = staging.write(dedup.with_row_id(df, order_by), "input")
-    rows = df.count()
-    distinct = staging.write(dedup.drop_exact_duplicates(df), "distinct")
-    left = distinct.count()
+    df, counts = staging.write_counted(dedup.with_row_id(df, order_by), "input")
+    rows = counts["rows"]
+    distinct, counts = staging.write_counted(dedup.drop_exact_duplicates(df), "distinct")
+    left = counts["rows"]
     before = diagnose(
         df, semantic_overrides, fuzzy_audit, fuzzy_method, duplicates=rows - left,
         staging=staging,
@@ -122,8 +116,8 @@ def optimize(
 
     # deduplication; dropped and converted columns may have made more rows equal
     if gone or converted:
-        df = staging.write(dedup.drop_exact_duplicates(df), "typed")
-        left = df.count()
+        df, counts = staging.write_counted(dedup.drop_exact_duplicates(df), "typed")
+        left = counts["rows"]
     metrics["duplicates_dropped"] = rows - left
     if left < rows:
         steps.append(f"Removed {rows - left} exact duplicate row(s).")
@@ -140,14 +134,14 @@ def optimize(
         matcher = before.matcher
         if matcher is None or matcher.key != key:
             matcher = fuzzy.Matcher(df, key, ROW_ID, fuzzy_method, staging=staging)
-        df = staging.write(matcher.drop_similar(df), "fuzzy")
-        left = df.count()
+        df, counts = staging.write_counted(matcher.drop_similar(df), "fuzzy")
+        left = counts["rows"]
         metrics["fuzzy_duplicates_dropped"] = rows - left
         if left < rows:
             steps.append(f"Removed {rows - left} fuzzy duplicate row(s) by '{key}'.")
         rows = left
 
-    # cells: one projection with status columns, staged once, then one count over the status columns
+    # cells: one projection with status columns, staged once; the same pass counts the statuses
     text = {t: [c for c in data_columns(df) if initial[c] == t and kinds[c] == "string"]
             for t in ("date", "email", "phone", "city")}
     date_modes = {c: choice.date_modes.get(c, "nullify") for c in text["date"]}
@@ -179,9 +173,6 @@ def optimize(
     ages = [c for c in ages if classes(df)[c] in ("integer", "float")]
     if ages:
         df = columns.clean_ages(df, ages, {c: mark("age", c) for c in ages})
-    df = staging.write(df.withColumn("__removed", doomed), "cells")
-    before.matcher = None
-    staging.discard(keep=("cells",))  # nothing reads the earlier stages any more
     stays = ~F.col("__removed")
     wanted: dict[str, Column] = {}
     for kind, statuses, scope in (
@@ -194,7 +185,10 @@ def optimize(
     for kind in ("city", "age"):
         wanted |= {f"{name}:true": F.col(name) & stays for _, name in marks[kind]}
     wanted["removed"] = F.col("__removed")
-    counts = _status_counts(df, wanted)
+    df, counts = staging.write_counted(
+        df.withColumn("__removed", doomed), "cells", **{name: F.count_if(c) for name, c in wanted.items()})
+    before.matcher = None
+    staging.discard(keep=("cells",))  # nothing reads the earlier stages any more
 
     for c, name in marks["date"]:
         good, bad = counts[f"{name}:converted"], counts[f"{name}:rejected"]
@@ -261,9 +255,9 @@ def optimize(
         metrics[metric] += found[b.column]
         steps.append(sentence.format(n=found[b.column], c=b.column, lo=b.low, hi=b.high, m=b.median))
     df = outliers.treat_outliers(df, bounds, choice.outliers)
-    df = staging.write(dedup.drop_exact_duplicates(df), "final")
+    df, counts = staging.write_counted(dedup.drop_exact_duplicates(df), "final")
     staging.discard(keep=("final",))
-    metrics["rows_after"] = df.count()
+    metrics["rows_after"] = counts["rows"]
     if metrics["rows_after"] < left:
         again = left - metrics["rows_after"]
         metrics["duplicates_dropped"] += again

@@ -11,7 +11,8 @@ from pathlib import Path
 from threading import Lock
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 #: Applications whose executors have the package.
 _shipped: set[str] = set()
@@ -103,6 +104,17 @@ class Staging:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def write_counted(self, df: DataFrame, name: str, **wanted: Column) -> tuple[DataFrame, dict[str, int]]:
+        """Write a table and return it with aggregates of its rows, ``rows`` among them, taken by the same pass.
+
+        The aggregates sit right before the write, in the stage whose tasks count once however often they are tried.
+        """
+        observed = Observation()
+        counts = {"rows": F.count(F.lit(1)), **wanted}
+        written = self.write(df.observe(observed, *[c.alias(f"c{i}") for i, c in enumerate(counts.values())]), name)
+        found = observed.get
+        return written, {n: found.get(f"c{i}", 0) or 0 for i, n in enumerate(counts)}
+
     def discard(self, keep: Collection[str] = ()) -> None:
         """Delete this object's own tables, except those of the given names, once nothing reads them."""
         jvm = self.spark._jvm
