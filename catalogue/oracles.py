@@ -129,6 +129,33 @@ oracle(
     "dirty_orders",
 )
 oracle("exact_dedup", "SELECT DISTINCT * FROM dirty_orders", "dirty_orders")
+ORACLES["exact_dedup_fingerprint"] = ORACLES["exact_dedup"]
+ORACLES["duplicate_audit_fingerprint"] = ORACLES["duplicate_audit"]
+
+
+def _heavy(column: str, shown: str) -> str:
+    return (
+        f"SELECT '{column}' AS \"column\", {shown} AS mode, n FROM (SELECT {column}, count(*) AS n FROM lineitem "
+        f"WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY n DESC, 1 LIMIT 1)"
+    )
+
+
+oracle("mode_heavy", " UNION ALL ".join(
+    f"SELECT * FROM ({_heavy(c, f'CAST({c} AS VARCHAR)')})"
+    for c in ("l_partkey", "l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag")))
+
+
+def _merged(column: str, number: bool) -> str:
+    x = f"CAST({column} AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
+    return (
+        f"SELECT '{column}' AS \"column\", count(*) AS rows, count(*) - count({column}) AS nulls, min({x}) AS low, max({x}) AS high, "
+        f"round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std, true AS distinct_near, "
+        f"{'true' if number else 'CAST(NULL AS BOOLEAN)'} AS median_near FROM lineitem"
+    )
+
+
+oracle("profile_merged", " UNION ALL ".join(
+    _merged(c, c != "l_returnflag") for c in ("l_orderkey", "l_extendedprice", "l_discount", "l_returnflag")))
 
 # --- outliers ------------------------------------------------------------------------------------
 

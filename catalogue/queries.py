@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rinsework import Staging, diagnose, optimize
 from rinsework.functions import dates, numbers, text
 from rinsework.operators import columns, dedup, dictionary, fuzzy, impute, outliers, profile, report
-from rinsework.operators import scoring, semantics, verify
+from rinsework.operators import scoring, semantics, sketches, verify
 from rinsework.operators.profile import ROW_ID
 from rinsework.operators.quantiles import exact_quantiles
 from rinsework.sources import infer_types, output_name, preview, read_csv, write_csv, write_json
@@ -123,6 +123,45 @@ def exact_dedup(spark, folder):
     return dedup.drop_exact_duplicates(_orders(spark, folder))
 
 
+@query
+def exact_dedup_fingerprint(spark, folder):
+    staging = Staging(spark)
+    return dedup.drop_exact_duplicates_by_fingerprint(staging.write(_orders(spark, folder), "orders"))
+
+
+@query
+def duplicate_audit_fingerprint(spark, folder):
+    staging = Staging(spark)
+    return dedup.duplicate_count_by_fingerprint(staging.write(_orders(spark, folder), "orders"))
+
+
+@query
+def mode_heavy(spark, folder):
+    """Modes of columns with few and with many distinct values, by bucket counts and an exact second pass."""
+    lines, staging = table(spark, folder, "lineitem"), Staging(spark)
+    wanted = ["l_partkey", "l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag"]
+    return profile.heavy_modes(lines, wanted, staging)
+
+
+@query
+def profile_merged(spark, folder):
+    """Profiles of every ship month of lineitem, stored and merged, beside whether distinct counts and medians keep their bounds."""
+    lines, staging = table(spark, folder, "lineitem"), Staging(spark)
+    wanted = ["l_orderkey", "l_extendedprice", "l_discount", "l_returnflag"]
+    parts = staging.write(sketches.sketch(lines, wanted, F.date_trunc("month", "l_shipdate")), "months")
+    found = sketches.read(sketches.merge(parts), (0.5,))
+    exact = lines.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"), (
+        F.lit(None) if c == "l_returnflag" else F.col(c)).cast("double").alias("x")) for c in wanted])))
+    near = exact.join(F.broadcast(found.select("column", F.get("quantiles", F.lit(0)).alias("median"))), "column").groupBy("column").agg(
+        F.countDistinct("v").alias("exact"), F.avg((F.col("x") < F.col("median")).cast("double")).alias("below"),
+        F.avg((F.col("x") <= F.col("median")).cast("double")).alias("upto"))
+    bound = 4 * sketches.DISTINCT_ERROR
+    return found.join(near, "column").select(
+        "column", "rows", "nulls", "low", "high", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"),
+        (F.abs(F.col("distinct") - F.col("exact")) <= bound * F.col("exact") + 1).alias("distinct_near"),
+        ((F.col("below") <= 0.5 + sketches.RANK_ERROR) & (F.col("upto") >= 0.5 - sketches.RANK_ERROR)).alias("median_near"))
+
+
 # --- outliers ------------------------------------------------------------------------------------
 
 

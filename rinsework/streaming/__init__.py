@@ -7,12 +7,12 @@ and passed in here.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
 from ..operators import columns
-from ..operators.profile import classes
+from ..operators.profile import classes, data_columns
 
 
 def clean_cells(
@@ -37,3 +37,15 @@ def clean_cells(
     ages = [c for c, k in kinds.items() if semantics.get(c) == "age" and k in ("integer", "float")]
     df = columns.clean_ages(df, ages)
     return columns.standardize_text(df, semantics)
+
+
+def drop_duplicates_within(df: DataFrame, time: str, delay: str, keys: Sequence[str] | None = None) -> DataFrame:
+    """Drop rows of a stream that repeat an earlier row on ``keys`` (all data columns but ``time`` by default), NULLs being equal.
+
+    State is kept for each key until the watermark, ``delay`` behind the latest ``time``, has passed its row by as much, so it stays
+    bounded; a repeat that comes later than that is a new row. Rows later than the watermark are dropped. On a batch table all repeats go.
+    """
+    wanted = list(keys) if keys is not None else [c for c in data_columns(df) if c != time]
+    if not df.isStreaming:
+        return df.dropDuplicates(wanted)
+    return df.withWatermark(time, delay).dropDuplicatesWithinWatermark(wanted)

@@ -1,12 +1,13 @@
 """Sources, sinks and streaming use."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from rinsework.sources import (
     infer_types, output_name, preview, read_csv, read_table, write_csv, write_json, write_parquet,
 )
 from rinsework.sources.delimited import spans_lines
-from rinsework.streaming import clean_cells
+from rinsework.streaming import clean_cells, drop_duplicates_within
 
 LEADS = """Lead_ID,Name,Score,Count,Active,Joined,Big
 L001,  John Doe,85.5,1,True,2023-01-15,12345678901234567890
@@ -87,3 +88,29 @@ def test_cell_cleaners_on_a_stream(spark, tmp_path):
     started.stop()
     expected = [("Ann Lee", "A@b.com", "+919876543210", None, "2024-01-05"), ("Bob", None, None, 30, None)]
     assert sorted(map(tuple, spark.table("cleaned").collect())) == expected
+
+
+def test_repeats_on_a_stream(spark, tmp_path):
+    """Repeats within the watermark go, repeats long after it are new rows, rows behind it are dropped."""
+    schema = "t timestamp, k string, v long"
+    batches = [
+        [("2024-01-01 00:00:00", "a", 1), ("2024-01-01 00:00:10", "a", 1), ("2024-01-01 00:00:20", None, 2), ("2024-01-01 00:00:25", None, 2)],
+        [("2024-01-01 00:00:50", "a", 1), ("2024-01-01 00:05:00", "b", 1)],
+        [("2024-01-01 00:05:10", "a", 1), ("2024-01-01 00:00:01", "c", 1), ("2024-01-01 00:05:20", "b", 1)],
+    ]
+    rows = spark.createDataFrame([], schema)
+    (tmp_path / "in").mkdir()
+    stream = drop_duplicates_within(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), "t", "1 minute", ["k", "v"])
+    query = None
+    for batch in batches:
+        part = spark.createDataFrame(batch, "t string, k string, v long").withColumn("t", F.to_timestamp("t")).coalesce(1)
+        part.write.mode("append").parquet(str(tmp_path / "in"))
+        if query is None:
+            query = stream.writeStream.format("memory").queryName("unrepeated").outputMode("append").option(
+                "checkpointLocation", str(tmp_path / "state")).start()
+        query.processAllAvailable()
+    query.stop()
+    found = sorted((str(r["t"]), r["k"]) for r in spark.table("unrepeated").collect())
+    assert [k for _, k in found] == ["a", None, "b", "a"]
+    whole = spark.createDataFrame(sum(batches, []), "t string, k string, v long")
+    assert drop_duplicates_within(whole, "t", "1 minute").count() == 4 and rows.schema == part.schema

@@ -161,6 +161,16 @@ def test_dense_columns_are_counted_without_listing_pairs(spark, monkeypatch, siz
     assert sorted(r.node for r in matcher.kept().collect()) == kept
 
 
+def test_approximate_pairs_miss_few(spark):
+    values = [v for v in names(21, 500) if v and not v.startswith("customer")]
+    frame = spark.createDataFrame(list(enumerate(values)), "id long, v string")
+    exact = {tuple(sorted((r.form_a, r.form_b))): r.score for r in fuzzy.similar_pairs(frame, "v").collect()}
+    found = fuzzy.approx_similar_pairs(frame, "v").collect()
+    pairs = {tuple(sorted((r.form_a, r.form_b))): r.score for r in found}
+    assert len(pairs) == len(found) and pairs.items() <= exact.items()
+    assert len(pairs) >= 0.9 * len(exact) > 20
+
+
 def test_cells_come_whole():
     cells = ["a"] * 3 + ["b"] + ["c"] * 9 + ["d"] * 2
     for size in (1, 2, 3, 5, 20):

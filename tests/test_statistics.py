@@ -1,12 +1,14 @@
 """Profiles, exact quantiles, outliers, imputation."""
 
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from rinsework.operators import impute, outliers, profile
+from rinsework import Staging
+from rinsework.operators import dedup, impute, outliers, profile, sketches
 from rinsework.operators.quantiles import exact_quantiles
 
 
@@ -148,3 +150,79 @@ def test_email_phone_and_date_columns_are_not_filled(spark):
     frame = spark.createDataFrame([("a@b.com",), (None,)], "v string")
     for semantic in ("email", "phone", "date"):
         assert impute.impute(frame, {"v": "Auto"}, {"v": semantic})[1] == {}
+
+
+def test_heavy_modes_equal_full_counts(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice([1, 2, 2, 3, 40 + rng.randrange(500)]), rng.choice(["a", "b", None]), rng.randrange(9), float(rng.randrange(3)), i)
+            for i in range(900)]
+    frame = spark.createDataFrame(rows, "few long, two string, tie long, real double, unique long")
+    expected = {r["column"]: r["mode"] for r in profile.modes(frame, frame.columns).collect()}
+    for buckets, first in ((65_536, 64), (7, 1), (40, 2), (1, 1)):
+        got = profile.heavy_modes(frame, frame.columns, Staging(spark), buckets, first).collect()
+        assert {r["column"]: r["mode"] for r in got} == expected
+        counts = {c: max(Counter(x for x in column if x is not None).values()) for c, column in zip(frame.columns, zip(*rows))}
+        assert {r["column"]: r["n"] for r in got} == counts
+    assert profile.heavy_modes(frame.limit(0), frame.columns, Staging(spark)).collect() == []
+
+
+def test_only_values_of_full_buckets_are_counted(spark, monkeypatch):
+    """A column with a common value: of 5,000 distinct ones, the exact pass shuffles those of a few buckets."""
+    frame = spark.range(10_000).selectExpr("CASE WHEN id % 2 = 0 THEN -1 ELSE id END AS v")
+    staging = Staging(spark)
+    assert [(r["mode"], r["n"]) for r in profile.heavy_modes(frame, ["v"], staging, first=3).collect()] == [("-1", 5_000)]
+    early = next(p for p, name in staging._written.items() if name == "early")
+    assert spark.read.parquet(early).count() < 20
+
+
+def test_merged_profiles_equal_whole_ones(spark):
+    rng = random.Random(6)
+    rows = [(i % 13, rng.choice([None, float("nan"), 1e9 + rng.gauss(0, 1)]) if i % 13 == 5 else rng.gauss(i % 13, 3), rng.randrange(3_000),
+             rng.choice(["x", "y", None]), None) for i in range(20_000)]
+    frame = spark.createDataFrame(rows, "day int, x double, k long, t string, nothing double")
+    columns = ["x", "k", "t", "nothing"]
+    staging = Staging(spark)
+    parts = staging.write(sketches.sketch(frame, columns, F.col("day")), "days")
+    assert parts.count() == 13 * len(columns)
+    merged = {r["column"]: r for r in sketches.read(sketches.merge(parts), (0.1, 0.5, 0.9)).collect()}
+    in_two_steps = sketches.merge(sketches.merge(parts, F.when(F.col("part").cast("int") < 6, "a").otherwise("b")))
+    whole = {r["column"]: r for r in sketches.read(sketches.sketch(frame, columns), (0.1, 0.5, 0.9)).collect()}
+    for found in (merged, {r["column"]: r for r in sketches.read(in_two_steps, (0.1, 0.5, 0.9)).collect()}):
+        for c in columns:
+            for name in ("rows", "nulls", "sparsity", "low", "high"):
+                assert found[c][name] == whole[c][name], (c, name)
+            for name in ("mean", "std"):
+                assert (found[c][name] is None) == (whole[c][name] is None)
+                assert found[c][name] is None or abs(found[c][name] - whole[c][name]) <= 1e-9 * abs(whole[c][name])
+    for j, c in ((1, "x"), (2, "k"), (3, "t")):
+        values = [r[j] for r in rows if r[j] is not None and r[j] == r[j]]
+        assert abs(merged[c]["distinct"] - len(set(values))) <= 4 * sketches.DISTINCT_ERROR * len(set(values)) + 1
+        if c != "t":
+            for p, q in zip((0.1, 0.5, 0.9), merged[c]["quantiles"]):
+                below, upto = (sum(t(v) for v in values) / len(values) for t in (lambda v: v < q, lambda v: v <= q))
+                assert below - sketches.RANK_ERROR <= p <= upto + sketches.RANK_ERROR
+    assert merged["t"]["quantiles"] is None and merged["nothing"]["distinct"] == 0
+    assert sketches.merge(parts.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("bits", [dedup.FINGERPRINT_BITS, 1, 64])
+def test_fingerprints_drop_the_same_rows(spark, bits):
+    rng = random.Random(9)
+    rows = [(i, rng.randrange(400), rng.choice(["a", None, "b"]), rng.choice([0.0, -0.0, 1.5, float("nan"), None])) for i in range(1_500)]
+    frame = spark.createDataFrame(rows, "_rid long, k long, t string, x double").repartition(5)
+    staged = Staging(spark).write(frame, "rows")
+    expected = sorted(map(repr, (tuple(r) for r in dedup.drop_exact_duplicates(staged).select("_rid", "k", "t").collect())))
+    got = dedup.drop_exact_duplicates_by_fingerprint(staged, bits)
+    assert got.columns == staged.columns
+    assert sorted(map(repr, (tuple(r) for r in got.select("_rid", "k", "t").collect()))) == expected
+    counted = dedup.duplicate_count_by_fingerprint(staged, bits).first()
+    assert tuple(counted) == tuple(profile.duplicate_count(staged).first()) == (1_500, 1_500 - len(expected))
+    empty = staged.limit(0)
+    assert dedup.drop_exact_duplicates_by_fingerprint(empty, bits).collect() == []
+    assert tuple(dedup.duplicate_count_by_fingerprint(empty, bits).first()) == (0, 0)
+
+
+def test_unique_rows_stay_where_they_are(spark):
+    frame = Staging(spark).write(spark.range(5_000).selectExpr("CASE WHEN id < 10 THEN 0 ELSE id END AS k", "repeat('x', 100) AS t"), "rows")
+    sure, suspects = dedup._by_fingerprint(frame, dedup.FINGERPRINT_BITS)
+    assert suspects.count() == 10 and sure.count() == 4_990
