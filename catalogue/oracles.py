@@ -432,6 +432,12 @@ def _phoned(key: str, source: str) -> str:
 
 _CUSTOMER_PHONE = _phoned("c_custkey", "dirty_customer")
 oracle("phone_e164", f"SELECT c_custkey, phone, status FROM ({_CUSTOMER_PHONE})", "dirty_customer")
+ORACLES["phone_plan_table"] = ORACLES["phone_e164"]
+oracle(
+    "email_composed",
+    "SELECT c_custkey, CASE WHEN c_custkey % 3 < 2 THEN nfc_normalize(spelt) || c_custkey || '@münchen.de' END AS email, CASE c_custkey % 3 "
+    "WHEN 0 THEN 'corrected' WHEN 1 THEN 'valid' ELSE 'invalid' END AS status FROM (SELECT c_custkey, 'Jose' || chr(769) AS spelt FROM customer)",
+)
 oracle(
     "phone_keep_invalid",
     "SELECT c_custkey, CASE WHEN status = 'invalid' THEN original ELSE phone END AS phone, status "
@@ -1090,3 +1096,4 @@ oracle(
     f"SELECT o_orderkey, CAST({_SPELLED_DAY} AS TIMESTAMP) + to_seconds(CASE o_orderkey % 12 WHEN 3 THEN 51900 WHEN 8 THEN 83109 "
     "WHEN 9 THEN 48600 WHEN 10 THEN 900 - 7200 ELSE 0 END) AS spelled FROM orders",
 )
+ORACLES["phone_foreign_table"] = ORACLES["phone_foreign"]

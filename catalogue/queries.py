@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinsework import Staging, diagnose, optimize
-from rinsework.functions import dates, numbers, text
+from rinsework.functions import dates, numbers, rules, text
 from rinsework.operators import columns, dedup, dictionary, fuzzy, impute, outliers, profile, report
 from rinsework.operators import scoring, semantics, sketches, verify
 from rinsework.operators.profile import ROW_ID
@@ -367,6 +367,12 @@ def _mentions(spark, folder, pattern, name):
     return table(spark, folder, "documents").select("doc_id", F.posexplode(found).alias("place", name))
 
 
+_COMBINED = (
+    "CASE c_custkey % 3 WHEN 0 THEN concat('Jose\u0301', c_custkey, '@Mu\u0308nchen.de') "
+    "WHEN 1 THEN concat('Jos\u00e9', c_custkey, '@m\u00fcnchen.de') ELSE 'a\u0323\u0307@x' END"
+)
+
+
 @query
 def document_emails(spark, folder):
     return columns.clean_emails(_mentions(spark, folder, EMAIL_IN_TEXT, "email"), "email", "nullify", "status")
@@ -378,6 +384,27 @@ def phone_e164(spark, folder):
     return columns.clean_phones(frame, "phone", "status")
 
 
+@query
+def phone_plan_table(spark, folder):
+    """As ``phone_e164``, with the plans looked up in a table by their longest calling code."""
+    plans = spark.createDataFrame([vars(p) for p in rules.PHONE_RULES])
+    return columns.clean_phones(_customer(spark, folder).select("c_custkey", "phone"), "phone", "status", plans=plans)
+
+
+@query
+def phone_foreign_table(spark, folder):
+    """As ``phone_foreign``, with a table of plans."""
+    plans = spark.createDataFrame([vars(p) for p in rules.PHONE_RULES])
+    return columns.clean_phones(view(spark, folder, "foreign_phones"), "phone", "status", plans=plans)
+
+
+@query
+def email_composed(spark, folder):
+    """Addresses spelt with combining marks and with single characters."""
+    spelt = table(spark, folder, "customer").selectExpr("c_custkey", _COMBINED + " AS email")
+    return columns.clean_emails(spelt, "email", "nullify", "status")
+
+
 @query
 def phone_keep_invalid(spark, folder):
     frame = _customer(spark, folder).select("c_custkey", "phone")

@@ -2,7 +2,8 @@
 
 Rules: one ``@``; local part of 1-64 allowed characters without a leading, trailing or doubled dot;
 a domain of at least two labels of 1-63 letters, digits and inner hyphens that ends in a letter and
-is not a special-use name; at most 254 characters in all. The normal form lower-cases the domain.
+is not a special-use name; at most 254 characters in all. The normal form composes letters and their combining
+marks (Unicode form C) and lower-cases the domain.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import is_blank, without_whitespace
+from .text import composed, is_blank, without_whitespace
 
 _WIDE = r"\x{80}-\x{10FFFF}"
 _ATOM = rf"[A-Za-z0-9!#$%&'*+/=?^_`{{|}}~{_WIDE}-]+"
@@ -46,7 +47,7 @@ def with_normal_emails(df: DataFrame, targets: Mapping[str, str]) -> DataFrame:
     """Add ``{new column: source column}`` columns with the normal form of valid addresses, else NULL."""
     helpers = {new: f"__compact_{i}" for i, new in enumerate(targets)}
     compact = df.select(
-        "*", *[without_whitespace(F.col(f"`{src}`")).alias(helpers[new]) for new, src in targets.items()]
+        "*", *[composed(without_whitespace(F.col(f"`{src}`"))).alias(helpers[new]) for new, src in targets.items()]
     )
     return compact.select(
         *[F.col(f"`{c}`") for c in df.columns],

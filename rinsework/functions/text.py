@@ -40,3 +40,13 @@ def title_case(c: Column) -> Column:
 def standardize_text(c: Column, structured: bool) -> Column:
     """Trim; apply title case unless the column holds structured values. NULL stays NULL."""
     return strip(c) if structured else title_case(strip(c))
+
+
+def composed(c: Column) -> Column:
+    """Unicode normal form C: letters and combining marks that one character stands for become that character.
+
+    By the Unicode library that ships with Spark, on the JVM. Texts without a character from U+0300 on are in that form already.
+    Spark takes the call for non-deterministic, so it belongs in a projection, not in an aggregate.
+    """
+    whole = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False))
+    return F.when(c.rlike(r"[\x{300}-\x{10FFFF}]"), whole).otherwise(c)

@@ -126,12 +126,13 @@ def clean_emails(df: DataFrame, column: str, mode: str = "flag", status: str | N
 
 def clean_phones(
     df: DataFrame, column: str, status: str | None = None,
-    plans: Sequence[rules.PhoneRule] = rules.PHONE_RULES,
+    plans: Sequence[rules.PhoneRule] | DataFrame = rules.PHONE_RULES,
     default_country: str = rules.DEFAULT_COUNTRY, keep_invalid: bool = False,
 ) -> DataFrame:
     """Bring phone numbers to E.164; invalid ones become NULL (or stay, with ``keep_invalid``). Blank cells and
-    numbers of an unassigned calling code (status ``unknown``) are left alone."""
-    wide = phones.with_e164(df, {"__e164": column}, plans, default_country)
+    numbers of an unassigned calling code (status ``unknown``) are left alone. ``plans`` may be a table of plans."""
+    by_table = isinstance(plans, DataFrame)
+    wide = (phones.with_e164_by_table if by_table else phones.with_e164)(df, {"__e164": column}, plans, default_country)
     number = F.col("__e164")
     verdict = phones.phone_status(col(column), number)
     kept = F.coalesce(number, col(column)) if keep_invalid else number

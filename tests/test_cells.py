@@ -1,9 +1,12 @@
 """Cell cleaners: dates, e-mails, phones, numbers, booleans, ages, text."""
 
+import random
+import unicodedata
+
 import pytest
 from pyspark.sql import functions as F
 
-from rinsework.functions import dates, emails, numbers, text
+from rinsework.functions import dates, emails, numbers, phones, rules, text
 from rinsework.operators import columns, impute
 
 
@@ -202,3 +205,35 @@ def test_mode_of_numbers(spark):
     frame = spark.createDataFrame(rows, "big long, tied long, real double")
     filled = impute.impute(frame, {"big": "Mode", "tied": "Mode", "real": "Mode"})[0].collect()
     assert tuple(filled[-1]) == (9007199254740993, 9, 9.0)
+
+
+def test_a_table_of_plans_gives_the_same_numbers(spark):
+    rng = random.Random(5)
+    cells = ["+91 12345 67890", "+1 1 212 555 1234", "+12125551234", "+9715012345678", "+971 0 50123456", "0091 1234567890", "01234567890", "+999123456789",
+             "+4407911123456", "+3530123456", None, "", "ext 5", "1234567890 x12", "+", "+0", "+18", "911234567890"]
+    cells += ["+" + rng.choice(["91", "1", "44", "61", "49", "33", "65", "971", "81", "86", "7", "999", "35"]) + rng.choice(["", "0", "1"])
+              + "".join(rng.choices("0123456789", k=rng.randint(4, 12))) for _ in range(400)]
+    frame = spark.createDataFrame(list(enumerate(cells)), "i long, v string")
+    plans = spark.createDataFrame([vars(p) for p in rules.PHONE_RULES] + [{"country": "XX", "calling_code": None, "trunk": None, "national": "1"}],
+                                  "country string, calling_code string, trunk string, national string")
+    expected = {r["i"]: r["n"] for r in phones.with_e164(frame, {"n": "v"}).collect()}
+    found = phones.with_e164_by_table(frame, {"n": "v"}, plans, "IN")
+    assert found.columns == ["i", "v", "n"] and {r["i"]: r["n"] for r in found.collect()} == expected
+    # a longer code beats a shorter one
+    more = spark.createDataFrame([("US", "1", "1", "[2-9][0-9]{9}"), ("BS", "1242", "", "[0-9]{7}"), ("B2", "1242", "", "[0-9]{3}")],
+                                 "country string, calling_code string, trunk string, national string")
+    numbers_ = spark.createDataFrame([("+12425551234",), ("+1242555",), ("+124255512",), ("+13035551234",)], "v string")
+    got = [r["n"] for r in phones.with_e164_by_table(numbers_, {"n": "v"}, more, "US").collect()]
+    assert got == ["+12425551234", "+1242555", None, "+13035551234"]
+    with pytest.raises(ValueError):
+        phones.with_e164_by_table(frame, {"n": "v"}, plans, "ZZ")
+
+
+def test_composed_texts(spark):
+    rng = random.Random(6)
+    cells = [None, "", "plain", "\u1112\u1161\u11ab", "\u212b", "a\u0323\u0307", "a\u0307\u0323", "\u0344", "\U0001f600e\u0301"]
+    cells += ["".join(rng.choices("aeiouAOn\u0301\u0308\u0323\u00e9\u1e0b", k=6)) for _ in range(200)]
+    frame = spark.createDataFrame(list(enumerate(cells)), "i long, v string").select("i", text.composed(F.col("v")).alias("n"))
+    assert {r["i"]: r["n"] for r in frame.collect()} == {i: v if v is None else unicodedata.normalize("NFC", v) for i, v in enumerate(cells)}
+    mails = spark.createDataFrame([("jose\u0301@mu\u0308nchen.de",), ("jos\u00e9@m\u00fcnchen.de",)], "email string")
+    assert len({r["n"] for r in emails.with_normal_emails(mails, {"n": "email"}).collect()}) == 1
