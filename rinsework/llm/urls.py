@@ -5,11 +5,14 @@ and the names of its query's fields. Combinations of up to ``MAX_TOKENS`` tokens
 and support become rules; a rule is dropped if some of its tokens imply the label as surely. Rules match through an
 inverted index: each rule stands under its rarest token, so common tokens don't gather rules.
 
-Equal token sets are counted and judged once, so a host or URL that makes up a third of all pages weighs as one row.
+Rules are mined from pages, and a repeated one counts as often as it occurs. Open pages' token sets are judged once each, so a
+host or URL that makes up a third of all pages is one row there.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +60,44 @@ def tokens(host: Column, path: Column, rest: Column) -> Column:
         tagged("host:", labels), tagged("word:", hyphened), tagged("path:", segments), tagged("end:", endings), tagged("field:", fields))))
 
 
+def _classes(pages: DataFrame, min_support: float) -> list[list[str]]:
+    """The tokens of at least ``min_support`` of all pages, those that occur on exactly the same pages together.
+
+    So many tokens come to the driver as a page has on average, divided by ``min_support``, at most.
+    """
+    sets = pages.groupBy("tokens", "label").agg(F.count("*").alias("n"))
+    entries = sets.select(F.explode("tokens").alias("token"), "n", *[F.xxhash64(F.lit(k), "tokens", "label").alias(f"h{k}") for k in (1, 2)])
+    marks = [F.sum(F.col(f"h{k}").cast("decimal(38,0)")).alias(f"h{k}") for k in (1, 2)]
+    seen = entries.groupBy("token").agg(F.sum("n").alias("n"), *marks)
+    common = seen.where(F.col("n") >= min_support * pages.count())
+    return sorted(sorted(r["t"]) for r in common.groupBy("n", "h1", "h2").agg(F.collect_list("token").alias("t")).collect())
+
+
+def _product(members: Column) -> Column:
+    """All ways to take one token of each list, sorted."""
+    def longer(taken: Column, own: Column) -> Column:
+        return F.flatten(F.transform(taken, lambda t: F.transform(own, lambda m: F.array_append(t, m))))
+
+    start = F.array(F.array().cast("array<string>"))
+    return F.transform(F.aggregate(members, start, longer), lambda t: F.array_sort(t))
+
+
 def mine(labelled: DataFrame, staging: Staging, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE,
          max_tokens: int = MAX_TOKENS) -> DataFrame:
-    """Rules ``(tokens, label, confidence, support)`` from distinct rows of ``labelled (tokens, label)``.
+    """Rules ``(tokens, label, confidence, support)`` from the rows of ``labelled (tokens, label)``, one for each page.
 
-    Rows without tokens or label teach nothing; without rows there are no rules.
+    Support and confidence count pages, so a repeated URL weighs as often as it occurs. Tokens that occur on exactly the same pages
+    are mined as one, since FP-growth would enumerate all their combinations, and each of them gets the rules. Rows without tokens or
+    label teach nothing; without rows there are no rules.
     """
-    baskets = labelled.where("label IS NOT NULL AND size(tokens) > 0").distinct()
-    baskets = staging.write(baskets.select(F.array_append("tokens", F.concat(F.lit(_LABEL), "label")).alias("items")), "baskets")
+    pages = staging.write(labelled.where("label IS NOT NULL AND size(tokens) > 0").select("tokens", "label"), "labelled")
+    classes = _classes(pages, min_support)
+    if not classes:
+        return staging.write(pages.limit(0).selectExpr("tokens", "label", "0.0D AS confidence", "0L AS support"), "rules")
+    known = F.from_json(F.lit(json.dumps({t: c[0] for c in classes for t in c})), "map<string,string>")
+    members = F.from_json(F.lit(json.dumps({c[0]: c for c in classes})), "map<string,array<string>>")
+    shown = F.array_distinct(F.filter(F.transform("tokens", lambda t: F.try_element_at(known, t)), lambda t: t.isNotNull()))
+    baskets = pages.select(F.array_append(shown, F.concat(F.lit(_LABEL), "label")).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=1.0).fit(baskets).freqItemsets
     is_label = lambda x: x.startswith(_LABEL)
     plain = sets.select(
@@ -81,7 +114,9 @@ def mine(labelled: DataFrame, staging: Staging, min_support: float = MIN_SUPPORT
         "tokens", "label", "confidence", F.explode(F.concat(
             F.transform("tokens", lambda t: F.array_remove("tokens", t)), F.transform("tokens", lambda t: F.array(t)))).alias("part"))
     needless = parts.join(smaller, "part").where("label = _l AND _c >= confidence").select("tokens", "label").distinct()
-    return staging.write(sure.join(needless, ["tokens", "label"], "left_anti"), "rules")
+    kept = sure.join(needless, ["tokens", "label"], "left_anti")
+    every = kept.select(F.explode(_product(F.transform("tokens", lambda t: F.element_at(members, t)))).alias("tokens"), "label", "confidence", "support")
+    return staging.write(every, "rules")
 
 
 def judge(sets: DataFrame, rules: DataFrame, staging: Staging) -> DataFrame:

@@ -203,7 +203,7 @@ def test_mined_rules_equal_brute_force(spark, staging):
         rows.append((t, "block" if "a" in t and "d" in t or "f" in t else "allow"))
     labelled = spark.createDataFrame(rows + [(["q"], None), ([], "block")], "tokens array<string>, label string")
     found = {(tuple(x["tokens"]), x["label"]): x["confidence"] for x in urls.mine(labelled, staging).collect()}
-    sets = {(tuple(t), label) for t, label in rows}
+    sets = [(tuple(t), label) for t, label in rows]  # pages, not distinct sets
     sure = {}
     for n in (1, 2, 3):
         for c in combinations("abcdefghiz", n):
@@ -220,6 +220,51 @@ def test_mined_rules_equal_brute_force(spark, staging):
     assert judged[("a", "d", "z")] == judged[("f", "x")] == "block" and ("q",) not in judged
 
 
+def test_tokens_that_always_meet_do_not_explode(spark, staging):
+    import time
+
+    common = [f"field:{i:02d}" for i in range(40)]
+    rows = [(sorted([*common, f"host:{i % 2}"]), "block") for i in range(20)] + [(["host:1", "path:x"], "allow")] * 60
+    labelled = spark.createDataFrame(rows, "tokens array<string>, label string")
+    start = time.monotonic()
+    found = {(tuple(r["tokens"]), r["label"]): (r["confidence"], r["support"]) for r in urls.mine(labelled, staging).collect()}
+    assert time.monotonic() - start < 60
+    expected = {((c,), "block"): (1.0, 20) for c in common} | {(("host:0",), "block"): (1.0, 10), (("path:x",), "allow"): (1.0, 60)}
+    assert found == expected | {(("host:1",), "allow"): (60 / 70, 60)}
+
+
+def test_verdicts_of_repeated_urls_equal_brute_force(spark, staging):
+    """A whole table: rules from pages with a stated rule, verdicts for all others, many rows of one URL."""
+    from itertools import combinations
+
+    r = random.Random(3)
+    hosts = ["a.example.com", "www.example.com", "b.net", "shop-one.org", "c.net", "x.org"]
+    urls_ = [f"http://{r.choice(hosts)}/{r.choice(['en', 'es', 'fr', 'de'])}/{r.choice(['p', 'q', 'buy'])}.{r.choice(['html', 'php'])}"
+             f"{r.choice(['', '?id=1', '?utm=2&id=3'])}" for _ in range(120)]
+    rows = [(i, u) for i, u in enumerate(urls_ + [urls_[0]] * 100 + [None, "no url", ""])]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    read = frame.select("page_id", *[c.alias(n) for c, n in zip(urls.split_url(F.col("url")), ("host", "path", "rest"))])
+    read = read.select("page_id", urls.tokens(F.col("host"), F.col("path"), F.col("rest")).alias("t"),
+                       urls.matched_rule(F.col("host"), F.col("path")).alias("m")).collect()
+    taught = [(set(x["t"]), x["m"]["verdict"]) for x in read if x["m"] and x["t"]]
+    every = sorted({t for s, _ in taught for t in s})
+    sure = {}
+    for n in (1, 2, 3):
+        for c in combinations(every, n):
+            own = [label for t, label in taught if t.issuperset(c)]
+            for label in set(own):
+                if own.count(label) >= 0.01 * len(taught) and own.count(label) / len(own) >= urls.MIN_CONFIDENCE:
+                    sure[c, label] = (own.count(label) / len(own), own.count(label))
+    parts = lambda c: [p for n in range(1, len(c)) for p in combinations(c, n)]
+    rules = {(c, x): v for (c, x), v in sure.items() if not any(sure.get((p, x), (-1,))[0] >= v[0] for p in parts(c))}
+    expected = {}
+    for x in read:
+        fitting = [(*v, -len(c), label) for (c, label), v in rules.items() if set(c) <= set(x["t"])]
+        expected[x["page_id"]] = x["m"]["verdict"] if x["m"] else max(fitting)[3] if fitting else "allow"
+    assert {x["page_id"]: x["verdict"] for x in urls.verdicts(frame, staging).collect()} == expected
+    assert set(expected.values()) == {"allow", "block"}
+
+
 def test_fingerprints_equal_sql(documents):
     r = random.Random(7)
     rows = [(i, " ".join(r.choice(["a", "bé", "c😀", "dd"]) + str(r.randrange(9)) for _ in range(r.randrange(0, 300)))) for i in range(60)]
