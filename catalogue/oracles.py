@@ -1097,3 +1097,4 @@ oracle(
     "WHEN 9 THEN 48600 WHEN 10 THEN 900 - 7200 ELSE 0 END) AS spelled FROM orders",
 )
 ORACLES["phone_foreign_table"] = ORACLES["phone_foreign"]
+oracle("csv_records", "SELECT doc_id, length(nullif(text, '')) AS n_chars, md5(nullif(text, '')) AS text_md5, nullif(lang, '') AS lang FROM documents")

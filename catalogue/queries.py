@@ -641,6 +641,18 @@ def csv_optimize(spark, folder):
     return back.withColumn("revenue", F.round("revenue", 4))
 
 
+@query
+def csv_records(spark, folder):
+    """Documents written as delimited text, line breaks and quotes included, and put together from lines in parallel."""
+    staging = Staging(spark)
+    target = f"{staging.folder}/documents.csv"
+    texts = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    texts.write.options(**plain).csv(target)
+    rows = read_csv(spark, target, infer=False, row_id=False, staging=staging)
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"), "lang")
+
+
 def _optimized_orders(spark, folder, **more):
     rows = view(spark, folder, "dirty_orders", in_order=True)
     return optimize(rows, {"active": "Skip", "revenue": "Mean"} | more, fuzzy_dedup=False, fuzzy_audit=False)

@@ -12,6 +12,8 @@ from ..functions.numbers import INTEGER, NUMBER
 from ..functions.text import strip
 from ..operators.dedup import with_row_id
 from ..operators.profile import classes, col
+from ..session import Staging
+from .records import read_records
 
 _ALL_DIGITS = r"^[+-]?\d{19,}$"
 _BOOLEAN = r"^(True|TRUE|true|False|FALSE|false)$"
@@ -70,18 +72,20 @@ def spans_lines(spark: SparkSession, path: str, delimiter: str = ",") -> bool:
 
 def read_csv(
     spark: SparkSession, path: str, infer: bool = True, row_id: bool = True,
-    multi_line: bool | None = None, delimiter: str = ",",
+    multi_line: bool | None = None, delimiter: str = ",", staging: Staging | None = None,
 ) -> DataFrame:
     """Read delimited text with a header; all columns as text, then typed by their values.
 
-    Files whose quoted fields hold line breaks cannot be split between tasks. Unless ``multi_line`` says so,
-    one cheap splittable scan finds out, so that large ordinary files are read in parallel.
+    One cheap splittable scan finds out whether quoted fields hold line breaks. If so, records are put together from lines in
+    parallel (:mod:`.records`, with tables in ``staging``); ``multi_line=True`` leaves such files to Spark's own reader, which
+    takes a task for each file, and ``multi_line=False`` says that there are none.
     """
-    if multi_line is None:
-        multi_line = spans_lines(spark, path, delimiter)
+    if multi_line is None and spans_lines(spark, path, delimiter):
+        df = read_records(spark, path, staging or Staging(spark), delimiter, row_id)
+        return infer_types(df) if infer else df
     df = (
         spark.read.option("header", True)
-        .option("multiLine", multi_line)
+        .option("multiLine", bool(multi_line))
         .option("escape", '"')
         .option("sep", delimiter)
         .option("nullValue", "")

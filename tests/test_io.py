@@ -1,12 +1,18 @@
 """Sources, sinks and streaming use."""
 
+import csv
+import io
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from rinsework import Staging
 from rinsework.sources import (
     infer_types, output_name, preview, read_csv, read_table, write_csv, write_json, write_parquet,
 )
 from rinsework.sources.delimited import spans_lines
+from rinsework.sources.records import read_records
 from rinsework.streaming import clean_cells, drop_duplicates_within
 
 LEADS = """Lead_ID,Name,Score,Count,Active,Joined,Big
@@ -114,3 +120,37 @@ def test_repeats_on_a_stream(spark, tmp_path):
     assert [k for _, k in found] == ["a", None, "b", "a"]
     whole = spark.createDataFrame(sum(batches, []), "t string, k string, v long")
     assert drop_duplicates_within(whole, "t", "1 minute").count() == 4 and rows.schema == part.schema
+
+
+@pytest.mark.parametrize("size", ["300", "37", "1000000"])
+def test_records_with_line_breaks_are_read_in_parallel(spark, tmp_path, size):
+    """Quoted breaks, doubled quotes, separators in quotes, inch marks: as a plain parser reads them, however files are split."""
+    rng = random.Random(int(size))
+    cells = ["plain", "with, comma", "two\nlines", 'q "x" q', '5" pipe', 'a\n"b"\n,c', "", "\n\n", '"', '",\n"', "many\n\n\nbreaks " * 9]
+    expected = []
+    for f in range(3):
+        rows = [[str(f * 1000 + i), rng.choice(cells), rng.choice(["x", "y\nz", ""])] for i in range(50 if f else 0)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows([["id", "a text", "t"], *rows])
+        (tmp_path / f"f{f}.csv").write_text(out.getvalue().replace('"5"" pipe"', '5" pipe'))  # a quote inside of an unquoted field
+        expected += rows
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        found = read_csv(spark, str(tmp_path), infer=False, staging=Staging(spark))
+        got = [tuple(r) for r in found.orderBy("_rid").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert found.columns == ["id", "a text", "t", "_rid"]
+    assert got == [(*[c or None for c in row], i) for i, row in enumerate(expected)]
+
+
+def test_records_of_odd_files(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k;v\n1;"open\nto the\nend')
+    rows = read_records(spark, str(tmp_path / "a.csv"), Staging(spark), ";").collect()
+    assert [r["k"] for r in rows] == ["1"]
+    (tmp_path / "b.csv").write_text("k,v\n")
+    assert read_records(spark, str(tmp_path / "b.csv"), Staging(spark)).collect() == []
+    (tmp_path / "c.csv").write_text("")
+    with pytest.raises(ValueError):
+        read_records(spark, str(tmp_path / "c.csv"), Staging(spark))
