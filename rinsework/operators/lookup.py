@@ -84,7 +84,9 @@ def candidates(values: DataFrame, names: DataFrame, cutoff: float) -> DataFrame:
     index = listed.select("name", "rank", "clen", "cwords", "cdistinct", "e.key", F.col("e.weight").alias("weight"))
     if index.count() <= BROADCAST_ENTRIES:
         index = F.broadcast(index)
-    texts = _sized(values.where(F.length("value") > 0), "value", "t")
+    # no text of more than eight times a name's length scores above 60
+    longest = names.agg(F.max(F.length("name"))).first()[0] or 0
+    texts = _sized(values.where(F.length("value").between(1, 8 * longest)), "value", "t")
     keys = F.when(F.length("value") == 1, F.concat(_entries(F.col("value")), _letters(F.col("value")))).otherwise(_entries(F.col("value")))
     asked = texts.select("value", "tlen", "twords", "tdistinct", F.explode(keys).alias("e")).select(
         "value", "tlen", "twords", "tdistinct", "e.key")

@@ -28,7 +28,9 @@ def test_every_sql_has_a_query():
 @pytest.mark.parametrize("name", [
     "column_profile", "mode_profile", "exact_dedup", "iqr_outlier_audit", "impute_auto", "type_gates",
     "date_nullify", "email_flag", "phone_e164", "title_case", "semantic_rates", "fuzzy_pairs", "fuzzy_dedup_lev",
-    "city_normalize_lev", "quality_score",
+    "city_normalize_lev", "quality_score", "nearest_dictionary", "city_normalize", "quality_improvement", "age_warning",
+    "email_examples", "exact_dedup_fingerprint", "duplicate_audit_fingerprint", "mode_heavy", "profile_merged",
+    "phone_plan_table", "email_composed", "csv_records",
 ])
 def test_query_equals_sql(spark, sql, name):
     frame = contract.queries()[name](spark, FOLDER)

@@ -259,6 +259,9 @@ def test_nearest_names_by_index_equal_all_pairs(spark):
             assert found[t][0] == expected[0] and (expected[1] is None or abs(found[t][1] - expected[1]) < 1e-9), (t, found[t], expected)
     with pytest.raises(ValueError):
         dictionary.nearest_names(frame, "city", given, 70)
+    assert dictionary.nearest_names(frame, "city", given.limit(0), 80).where("match IS NOT NULL").collect() == []
+    long = spark.createDataFrame([("Mumbai " * 20_000,), ("Mumbay",)], "city string")
+    assert {len(r["value"]): r["match"] for r in dictionary.nearest_names(long, "city").collect()} == {139_999: None, 6: "Mumbai"}
 
 
 def test_city_correction(spark):
