@@ -137,7 +137,9 @@ def _promising(texts: Sequence[str], names: Sequence[str], cutoff: float) -> np.
     side of the whole comparison is at least as long as the shorter text's distinct words.
     """
     own, wanted = _letters(texts), _letters(names)
-    common = np.minimum(own[:, None, :], wanted[None, :, :]).sum(axis=2)
+    used = wanted.any(axis=0)  # other characters are in no name
+    own, wanted = np.minimum(own[:, used], 30_000).astype(np.int16), np.minimum(wanted[:, used], 30_000).astype(np.int16)
+    common = np.minimum(own[:, None, :], wanted[None, :, :]).sum(axis=2, dtype=np.int64)
     words = [[set(t.split()) for t in side] for side in (texts, names)]
     sizes, lengths = (
         np.array([min(len(t), len(_sorted_words(w))) for t, w in zip(side, sets)]) for side, sets in zip((texts, names), words)

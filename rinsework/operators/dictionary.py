@@ -1,7 +1,7 @@
 """Nearest-dictionary lookup, and city normalisation built on it.
 
-Distinct texts meet the names they share bigrams with (:mod:`.lookup`); lists that its bound doesn't cover travel as a
-constant, and every text is scored against them. The corrections that result are joined back by text — as a broadcast only when they were
+Short lists of names travel as a constant, and every distinct text is scored against them behind a bound of shared letters; of a
+table of names, texts meet those they share bigrams with (:mod:`.lookup`). The corrections that result are joined back by text — as a broadcast only when they were
 counted and found few.
 """
 
@@ -38,9 +38,6 @@ def nearest_names(
         if method != "weighted":
             raise ValueError("a dictionary as a DataFrame needs the weighted score")
         return lookup.nearest(df, column, names, cutoff)
-    if method == "weighted" and cutoff >= lookup.LEAST and min(map(len, names), default=0) >= lookup.SHORTEST:
-        listed = df.sparkSession.createDataFrame(list(zip(names, range(len(names)))), "name string, rank int")
-        return lookup.nearest(df, column, listed, cutoff)
     values = (
         df.select(strip(col(column)).alias("value")).where(F.col("value").isNotNull()).distinct()
     )
