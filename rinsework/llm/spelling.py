@@ -10,6 +10,7 @@ length and its first ``TOP`` counts. Each word is indexed in its own shard, and
 come later, and those of the next length, which the budgets can reach, so each pair of shards meets once. A shard of more than
 ``CHUNK`` letters is cut into chunks by count; each chunk of asking words meets each chunk of indexed ones in a task of
 bounded size. A word has at most so many near words as its length and the alphabet allow, so pairs grow with the words.
+Tables of words are merged, never broadcast: their files are small for the rows they hold, and a broadcast passes the driver.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def near_words(counted: DataFrame, chunk: int = CHUNK) -> DataFrame:
     place = ["size", "top"]
     sizes = routed.groupBy(*place).agg(F.count("*").alias("all"), F.count_if("home").alias("homes")).where("homes > 0")
     pieces = [F.ceil(F.col(c) * F.col("size") / chunk).cast("int").alias(a) for c, a in (("all", "q"), ("homes", "b"))]
-    joined = routed.join(sizes.select(*place, *pieces), place)
+    joined = routed.join(sizes.select(*place, *pieces).hint("merge"), place)
     joined = joined.withColumns({"i": F.pmod(F.xxhash64("word"), F.col("q")).cast("int"),
                                  "j": F.pmod(F.xxhash64(F.lit(1), "word"), F.col("b")).cast("int")})
     cell = "struct({} AS i, {} AS j, {} AS asks, {} AS indexed)"
@@ -186,7 +187,7 @@ def roots(forms: DataFrame, staging: Staging) -> DataFrame:
     state, left = staging.write(forms.select("word", F.col("form").alias("root")), "chain"), True
     while left:
         further = state.select(F.col("word").alias("at"), F.col("root").alias("next"))
-        joined = state.join(further, state["root"] == further["at"], "left")
+        joined = state.join(further.hint("merge"), state["root"] == further["at"], "left")
         moved = staging.write(joined.select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "chain")
         left = bool(moved.where("moved").limit(1).count())
         state = moved.select("word", "root")
@@ -204,9 +205,9 @@ def variants(docs: DataFrame, staging: Staging, chunk: int = CHUNK) -> DataFrame
     counted = staging.write(words(docs), "words")
     pairs = staging.write(near_words(counted, chunk), "near")
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("n")).alias("m"), "other")).alias("best"))
-    joined = counted.join(best, "word", "left").select(
+    joined = counted.join(best.hint("merge"), "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(-F.col("best.m") >= 2 * F.col("n"), F.struct(F.col("best.other").alias("form"), (-F.col("best.m")).alias("n"))).alias("f"))
     told = staging.write(joined.select("word", "f.form", "n", "n_near", F.col("f.n").alias("form_n")), "forms")
     ends = roots(told.where("form IS NOT NULL").select("word", "form"), staging)
-    return told.join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return told.join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

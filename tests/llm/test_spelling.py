@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__ as contract
+from rinsework import Staging
 from rinsework.llm import spelling
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -117,3 +118,26 @@ def test_query_equals_brute_force(spark):
     folder = "/root/testdata/sf0.01"
     rows = [tuple(r) for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()]
     assert _rows(contract.queries()["op12_spelling_variants"](spark, folder)) == _brute(rows)
+
+
+class _Plans(Staging):
+    """Keeps the plan of every table it writes."""
+
+    def __init__(self, spark):
+        super().__init__(spark)
+        self.plans = []
+
+    def write(self, df, name):
+        self.plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return super().write(df, name)
+
+
+def test_tables_of_words_are_never_broadcast(spark, documents):
+    """Small files hold many words: a broadcast of them takes the driver's memory."""
+    staging = _Plans(spark)
+    found = spelling.variants(documents((1, "chair chairs chair chairs chair chair chair chairs chair")), staging)
+    assert _rows(found) == [("chair", None, "chair", 6, 1, None), ("chairs", "chair", "chair", 3, 1, 6)]
+    plans = [*staging.plans, found._jdf.queryExecution().executedPlan().toString()]
+    staging.discard()
+    assert sum("SortMergeJoin" in p for p in plans) >= 4
+    assert not any("BroadcastHashJoin" in p for p in plans)
