@@ -66,24 +66,39 @@ def passes_prescreen(c: Column) -> Column:
     return ~t.rlike(_SCREENED) | t.rlike(_PLAUSIBLE)
 
 
-def _tidy(c: Column, extended: bool) -> Column:
-    t = tidy = strip(c)
+# what every shape needs, whatever is dropped first: two digits of a year, and no other characters than these
+_YEAR_DIGITS = r"\d\d"
+_FOREIGN = r"[^A-Za-z0-9/.:+,\s\x{85}\x{2028}\x{2029}-]"
+_NUMERIC = r"^[\d/.-]+$"
+# every text that one of the worded shapes fits, or that is rewritten into one
+_WORDABLE = r"^(\d{1,2}[ /-][A-Za-z]+[ /-]\d{2,4}|[A-Za-z]+[ -]\d{1,2}[ -]\d{2,4}|[A-Za-z]+ \d{4})$"
+
+
+def _tidy(t: Column, extended: bool) -> Column:
+    """A stripped text as the shapes expect it; NULL where none can fit, which spares the others' work."""
+    tidy = t
     for pattern, replacement in _RELAXATIONS if extended else ((r"\s+", " "),):
         tidy = F.regexp_replace(tidy, pattern, replacement)
-    return F.when(t.rlike(r"^[\d/.-]*$"), t).otherwise(tidy)
+    possible = t.rlike(_YEAR_DIGITS) & ~t.rlike(_FOREIGN)
+    return F.when(possible, F.when(t.rlike(r"^[\d/.-]*$"), t).otherwise(tidy))
 
 
-def _worded_date(t: Column, extended: bool) -> Column:
-    numbers = {}
-    for i, name in enumerate(rules.MONTHS, 1):
-        numbers |= {name: f"-{i:02d}-", name[:3]: f"-{i:02d}-"}
-    months = F.create_map(*map(F.lit, chain.from_iterable(numbers.items())))
+def _day_first(t: Column, extended: bool) -> Column:
+    """A tidy text of a worded date with its day in front; NULL where no worded shape can fit."""
     day_first = F.regexp_replace(t, _MONTH_FIRST, "$3$2$1$2$4")
     if extended:
         day_first = F.regexp_replace(day_first, _MONTH_ONLY, "1 $1 $2")
         day_first = F.regexp_replace(day_first, _MONTH_FIRST_SHORT, "$3$2$1$2$4")
         day_first = F.regexp_replace(day_first, _WORDED_NEW, "$1$2$3$2" + "20$4")
         day_first = F.regexp_replace(day_first, _WORDED_OLD, "$1$2$3$2" + "19$4")
+    return F.when(t.rlike(_WORDABLE), day_first)
+
+
+def _worded_date(day_first: Column, extended: bool) -> Column:
+    numbers = {}
+    for i, name in enumerate(rules.MONTHS, 1):
+        numbers |= {name: f"-{i:02d}-", name[:3]: f"-{i:02d}-"}
+    months = F.create_map(*map(F.lit, chain.from_iterable(numbers.items())))
     month = F.try_element_at(months, F.lower(F.regexp_extract(day_first, _WORDED, 3)))
     made = F.concat(
         F.regexp_extract(day_first, _WORDED, 4), month, F.regexp_extract(day_first, _WORDED, 1)
@@ -91,13 +106,13 @@ def _worded_date(t: Column, extended: bool) -> Column:
     return F.when(day_first.rlike(_WORDED if extended else _WORDED_STRICT), made.try_cast("date"))
 
 
-def _from_tidy(t: Column, extended: bool) -> Column:
+def _from_tidy(t: Column, day_first: Column, extended: bool) -> Column:
     numeric = [
         F.when(t.rlike(shape), F.regexp_replace(t, shape, form).try_cast("date"))
         for shape, form in NUMERIC_SHAPES + (COMPACT_SHAPES if extended else ())
     ]
-    return F.when(t.rlike("[A-Za-z]"), _worded_date(t, extended)).when(
-        ~t.rlike(_SCREENED) | t.rlike(_PLAUSIBLE), F.coalesce(*numeric)
+    return F.when(day_first.isNotNull(), _worded_date(day_first, extended)).when(
+        t.rlike(_NUMERIC) & (~t.rlike(_SCREENED) | t.rlike(_PLAUSIBLE)), F.coalesce(*numeric)
     )
 
 
@@ -108,7 +123,8 @@ def parse_date(c: Column, extended: bool = True) -> Column:
     weekday names, ``15 Jan 25``, ``20250115``, ``Jan 2025`` and ``2025-01`` (first of the month), and a time of
     day, which is dropped; :func:`seconds_of_day` reads it.
     """
-    return _from_tidy(_tidy(c, extended), extended)
+    t = _tidy(strip(c), extended)
+    return _from_tidy(t, _day_first(t, extended), extended)
 
 
 _CLOCK = r"(?i)[T\s](\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([AP]M)?\s*(?:Z|UTC|GMT|([+-])(\d{2}):?(\d{2}))?$"
@@ -134,15 +150,17 @@ def seconds_of_day(c: Column) -> Column:
 def with_parsed_dates(
     df: DataFrame, targets: Mapping[str, str], extended: bool = True
 ) -> DataFrame:
-    """Add ``{new column: source column}`` date columns; the tidied text is computed once per cell."""
-    helpers = {new: f"__tidy_{i}" for i, new in enumerate(targets)}
-    tidied = df.select(
-        "*", *[_tidy(F.col(f"`{src}`"), extended).alias(helpers[new]) for new, src in targets.items()]
-    )
-    return tidied.select(
-        *[F.col(f"`{c}`") for c in df.columns],
-        *[_from_tidy(F.col(h), extended).alias(new) for new, h in helpers.items()],
-    )
+    """Add ``{new column: source column}`` date columns.
+
+    The stripped, the tidied and the day-first text are computed once per cell, each in a projection of its own.
+    """
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    steps = {new: [f"__{step}_{i}" for step in ("bare", "tidy", "day_first")] for i, new in enumerate(targets)}
+    wide = df.select(*kept, *[strip(F.col(f"`{src}`")).alias(steps[new][0]) for new, src in targets.items()])
+    wide = wide.select(*kept, *[_tidy(F.col(bare), extended).alias(tidy) for bare, tidy, _ in steps.values()])
+    wide = wide.select("*", *[_day_first(F.col(tidy), extended).alias(first) for _, tidy, first in steps.values()])
+    return wide.select(
+        *kept, *[_from_tidy(F.col(tidy), F.col(first), extended).alias(new) for new, (_, tidy, first) in steps.items()])
 
 
 def is_strict_date(c: Column) -> Column:

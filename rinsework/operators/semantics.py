@@ -40,6 +40,8 @@ DECISIONS: tuple[tuple[str, dict[str, float]], ...] = (
     ("phone", {"phone_rate": 0.6}),
 )
 CITY_RATE, CITY_VALUES = 0.5, 3
+#: Texts up to this length are counted before they are judged.
+COUNTED_CHARS = 100
 
 
 def _passes(share: Column, limit: float) -> Column:
@@ -49,30 +51,28 @@ def _passes(share: Column, limit: float) -> Column:
 def semantic_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Per column: how large a share of all its values looks like each type, and the type that decides.
 
-    One wide aggregate over the table, without a shuffle of cells. Columns without a value have no row.
+    Copies of a value are counted and judged once; only texts beyond ``COUNTED_CHARS`` are judged where they are, so that they
+    needn't travel. Columns without a value have no row.
     """
-    texts = df.select(*[strip(col(c).cast("string")).alias(f"v{i}") for i, c in enumerate(columns)])
-    parsed = dates.with_parsed_dates(texts, {f"d{i}": f"v{i}" for i in range(len(columns))})
-
-    def rates(i: int, c: str) -> Column:
-        v = F.col(f"v{i}")
-        bare = strip_currency(v)
-        shares = {
-            "boolean_rate": F.lower(v).isin(*rules.TRUE_WORDS, *rules.FALSE_WORDS),
-            "email_rate": v.contains("@"),
-            "date_hint_rate": v.rlike(rules.DATE_HINT),
-            "date_rate": F.when(v.isNotNull(), F.col(f"d{i}").isNotNull()),
-            "number_rate": bare.rlike(rules.PLAIN_NUMBER),
-            "symbol_rate": v.rlike(f"[{rules.CURRENCY_SYMBOLS}]"),
-            "phone_rate": v.rlike(rules.PHONE_SHAPE),
-        }
-        return F.struct(
-            F.lit(c).alias("column"), F.count(v).alias("sampled"),
-            *[F.avg(test.cast("double")).alias(name) for name, test in shares.items()],
-        ).alias(f"r{i}")
-
-    found = parsed.agg(*[rates(i, c) for i, c in enumerate(columns)])
-    found = found.select(F.inline(F.array(*[f"r{i}" for i in range(len(columns))]))).where("sampled > 0")
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), strip(col(c).cast("string")).alias("value")) for c in columns])
+    values = df.select(F.inline(cells)).where(F.col("value").isNotNull())
+    short = F.length("value") <= COUNTED_CHARS
+    counted = values.where(short).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.unionByName(values.where(~short).withColumn("n", F.lit(1).cast("long")))
+    parsed = dates.with_parsed_dates(counted, {"date": "value"})
+    v = F.col("value")
+    shares = {
+        "boolean_rate": F.lower(v).isin(*rules.TRUE_WORDS, *rules.FALSE_WORDS),
+        "email_rate": v.contains("@"),
+        "date_hint_rate": v.rlike(rules.DATE_HINT),
+        "date_rate": F.col("date").isNotNull(),
+        "number_rate": strip_currency(v).rlike(rules.PLAIN_NUMBER),
+        "symbol_rate": v.rlike(f"[{rules.CURRENCY_SYMBOLS}]"),
+        "phone_rate": v.rlike(rules.PHONE_SHAPE),
+    }
+    judged = parsed.select("column", "n", *[F.when(test, F.col("n")).otherwise(0).alias(name) for name, test in shares.items()])
+    found = judged.groupBy("column").agg(
+        F.sum("n").alias("sampled"), *[(F.sum(name) / F.sum("n")).alias(name) for name in shares])
     decided = None
     for semantic, limits in DECISIONS:
         fits = F.lit(True)

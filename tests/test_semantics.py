@@ -67,3 +67,29 @@ def test_all_values_count_wherever_they_stand(spark):
 def test_long_texts_are_no_cities(spark):
     frame = spark.range(10).select(F.concat(F.lit("Pune "), F.repeat(F.lit("word "), 4000)).alias("v"))
     assert semantics.city_rates(frame, ["v"]).first()["city_rate"] == 0.0
+
+
+def test_copies_are_judged_once(spark):
+    """Copies are counted before dates are read; long texts are judged without travelling."""
+    long = "note " * 40
+    cells = ["2024-01-01"] * 5 + [" 2024-01-01 "] + ["12"] * 2 + [long] * 2
+    frame = spark.createDataFrame([(c, "x@y.z") for c in cells], "v string, w string")
+    rates = semantics.semantic_rates(frame, ["v", "w"])
+    found = {r["column"]: r for r in rates.collect()}
+    v = found["v"]
+    assert (v["sampled"], v["date_rate"], v["number_rate"], v["phone_rate"], v["decided"]) == (10, 0.6, 0.2, 0.6, None)
+    assert (found["w"]["sampled"], found["w"]["email_rate"], found["w"]["decided"]) == (10, 1.0, "email")
+    plan = rates._jdf.queryExecution().optimizedPlan().toString()
+    counted = [line for line in plan.splitlines() if "Aggregate [column" in line and "value" in line]
+    assert counted and plan.index("rlike" if "rlike" in plan else "RLIKE") < plan.index(counted[0])
+
+
+def test_only_texts_that_may_be_dates_are_rewritten(spark):
+    """A text without two digits, or with a character that no date has, is no date; it is not rewritten first."""
+    from rinsework.functions import dates
+
+    cells = ["1-URGENT", "$ 2024", "a@b.c 2024", "Jan 5", "15th Jan, 2025", "Mon, Jan 5 2024 14:25", "2024-01-05\u0085 12:30", None]
+    frame = spark.createDataFrame([(c,) for c in cells], "v string").withColumn("t", dates._tidy(F.col("v"), True))
+    assert [r["t"] for r in frame.collect()] == [None, None, None, None, "15 Jan 2025", "Jan 5 2024", "2024-01-05\u0085", None]
+    read = dates.with_parsed_dates(frame, {"d": "v"}).collect()
+    assert [str(r["d"]) for r in read] == ["None"] * 4 + ["2025-01-15", "2024-01-05", "None", "None"]
