@@ -7,6 +7,7 @@ same cells. All rows of the base table take part.
 from __future__ import annotations
 
 import os
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -196,14 +197,20 @@ _TABLES = (
 )
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows of a few files, dealt to all cores, because a file of one row group is read by one task."""
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Rows of a few files, dealt to all cores, because a file of one row group is read by one task.
+
+    ``rows`` bounds the rows of a task, for steps whose memory grows with them.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    tasks = cores if len(df.inputFiles()) < cores else 0
+    if rows is not None:
+        tasks = max(tasks, ceil(df.count() / rows))
+    return df.repartition(tasks) if tasks else df
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(os.path.join(folder, f"{name}.parquet")))
+def table(spark: SparkSession, folder: str, name: str, rows: int | None = None) -> DataFrame:
+    return spread(spark.read.parquet(os.path.join(folder, f"{name}.parquet")), rows)
 
 
 def view(spark: SparkSession, folder: str, name: str, in_order: bool = False) -> DataFrame:

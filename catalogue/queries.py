@@ -19,6 +19,8 @@ from .dirty import EMAIL_IN_TEXT, PHONE_IN_TEXT, table, view
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
+#: Rows of a task whose memory grows with the distinct values in them.
+TASK_ROWS = 500_000
 
 
 def query(f: Query) -> Query:
@@ -150,7 +152,9 @@ def profile_merged(spark, folder):
     wanted = ["l_orderkey", "l_extendedprice", "l_discount", "l_returnflag"]
     parts = staging.write(sketches.sketch(lines, wanted, F.date_trunc("month", "l_shipdate")), "months")
     found = sketches.read(sketches.merge(parts), (0.5,))
-    exact = lines.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"), (
+    # each task collapses the copies of its own rows before the shuffle, in a map that grows with them
+    bounded = table(spark, folder, "lineitem", rows=TASK_ROWS)
+    exact = bounded.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v"), (
         F.lit(None) if c == "l_returnflag" else F.col(c)).cast("double").alias("x")) for c in wanted])))
     near = exact.join(F.broadcast(found.select("column", F.get("quantiles", F.lit(0)).alias("median"))), "column").groupBy("column").agg(
         F.countDistinct("v").alias("exact"), F.avg((F.col("x") < F.col("median")).cast("double")).alias("below"),

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from catalogue.dirty import table
 from check import TABLES, _rows
 
 FOLDER = "/root/testdata/sf0.001"
@@ -38,3 +39,12 @@ def test_query_equals_sql(spark, sql, name):
     names = [d[0] for d in cursor.description]
     assert sorted(names) == sorted(frame.columns)
     assert _rows(frame.columns, frame.collect()) == _rows(names, cursor.fetchall())
+
+
+def test_rows_of_a_task_are_bounded(spark, tmp_path):
+    """More rows make more tasks, not larger ones, where a task's memory follows its rows."""
+    for rows, tasks in ((4, 4), (41, 9)):
+        spark.range(rows).coalesce(1).write.parquet(f"{tmp_path}/{rows}/t.parquet")
+        dealt = table(spark, f"{tmp_path}/{rows}", "t", rows=5)
+        assert dealt.rdd.getNumPartitions() == tasks
+        assert sorted(r["id"] for r in dealt.collect()) == list(range(rows))
