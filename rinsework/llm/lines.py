@@ -76,15 +76,15 @@ def parse(docs: DataFrame) -> DataFrame:
     def end(k: int) -> Column:
         return F.lit(DEPTH) + F.floor((n - DEPTH) * k / FIELDS).cast("int")
 
-    runs = [F.slice(tokens, 1, DEPTH), *[F.slice(tokens, end(k) + 1, end(k + 1) - end(k)) for k in range(FIELDS)]]
-    long_line = F.array(*[h for run in runs for h in _hash(run)])
-    long_sizes = F.array(F.lit(DEPTH), *[end(k + 1) - end(k) for k in range(FIELDS)])
-    fields = F.col("n") >= MIN_FIELD_TOKENS
-    constants = F.when(F.col("plain"), F.when(fields, long_sizes).otherwise(F.array(n))).otherwise(
-        F.when(fields, F.array(*[_constants(run) for run in runs])).otherwise(F.array(_constants(tokens))))
+    fields = [F.slice(tokens, end(k) + 1, end(k + 1) - end(k)) for k in range(FIELDS)]
+    # runs are hashed and measured by functions over their array: written out for each run, they make a method beyond the
+    # 8,000 bytes that the JVM compiles
+    runs = F.when(n >= MIN_FIELD_TOKENS, F.array(F.slice(tokens, 1, DEPTH), *fields)).otherwise(F.array(tokens))
+    lines = lines.select("*", runs.alias("parts"))
+    constants = F.when(F.col("plain"), F.transform("parts", F.size)).otherwise(F.transform("parts", _constants))
     return lines.select(
         "doc", "text_key", "line", F.xxhash64(n, F.slice(tokens, 1, DEPTH)).alias("leaf"), "n",
-        F.when(fields, long_line).otherwise(F.array(*_hash(tokens))).alias("runs"), constants.alias("constants"),
+        F.flatten(F.transform("parts", lambda run: F.array(*_hash(run)))).alias("runs"), constants.alias("constants"),
     )
 
 

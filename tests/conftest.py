@@ -23,3 +23,15 @@ def texts(spark):
         return spark.createDataFrame(list(enumerate(values)), "i long, v string")
 
     return make
+
+
+@pytest.fixture(scope="session")
+def largest_method(spark):
+    """Bytes of the largest method generated for a plan without shuffles; the JVM compiles none beyond 8,000."""
+
+    def measure(df):
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        stages = debug.codegenStringSeq(df._jdf.queryExecution().executedPlan())
+        return max(stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size()))
+
+    return measure

@@ -3,7 +3,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from rinsework.llm import words
+from rinsework.llm import lines, words
 from rinsework.llm.graph import components
 from rinsework.llm.running import digits_for, running_total, shuffle_key
 
@@ -82,3 +82,12 @@ def test_shuffle_key_tells_null_from_nothing_else(spark):
     keys = spark.createDataFrame([(None,), (1,), (11,)], "x long").select(shuffle_key("x").alias("k")).collect()
     assert len({k["k"] for k in keys}) == 3
     assert spark.range(1).select(F.length(shuffle_key("id"))).first()[0] == 32
+
+
+def test_parsing_lines_is_compiled(documents, largest_method):
+    """op2_line_dedup: the loop over lines stays small enough for the JVM to compile it."""
+    parsed = lines.parse(documents((1, "a plain line of eight words or more here\nshort 12"), (2, None)))
+    assert largest_method(parsed) <= 8000
+    found = {r["line"]: r for r in parsed.collect()}
+    assert (len(found[0]["runs"]), found[0]["constants"]) == (10, [2, 1, 2, 2, 2])
+    assert (len(found[1]["runs"]), found[1]["constants"]) == (2, [1])
