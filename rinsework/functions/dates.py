@@ -8,12 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from itertools import chain
+from string import ascii_letters, digits
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rules
-from .text import is_blank, strip
+from .text import is_blank, once, strip
 
 _SCREENED = r"^\d{2,4}[/.-]\d{1,2}[/.-]\d{1,2}$"
 _PLAUSIBLE = r"^\d{2,4}[/.-](0?[1-9]|1[0-2])[/.-](0?[1-9]|[12]\d|3[01])$"
@@ -68,7 +69,8 @@ def passes_prescreen(c: Column) -> Column:
 
 # what every shape needs, whatever is dropped first: two digits of a year, and no other characters than these
 _YEAR_DIGITS = r"\d\d"
-_FOREIGN = r"[^A-Za-z0-9/.:+,\s\x{85}\x{2028}\x{2029}-]"
+# (each spelled out: Java looks single characters up in a table, but tries ranges one after the other)
+_FOREIGN = rf"[^{ascii_letters}{digits}/.:+, \t\n\x0B\f\r\x{{85}}\x{{2028}}\x{{2029}}-]"
 _NUMERIC = r"^[\d/.-]+$"
 # every text that one of the worded shapes fits, or that is rewritten into one
 _WORDABLE = r"^(\d{1,2}[ /-][A-Za-z]+[ /-]\d{2,4}|[A-Za-z]+[ -]\d{1,2}[ -]\d{2,4}|[A-Za-z]+ \d{4})$"
@@ -79,8 +81,11 @@ def _tidy(t: Column, extended: bool) -> Column:
     tidy = t
     for pattern, replacement in _RELAXATIONS if extended else ((r"\s+", " "),):
         tidy = F.regexp_replace(tidy, pattern, replacement)
-    possible = t.rlike(_YEAR_DIGITS) & ~t.rlike(_FOREIGN)
-    return F.when(possible, F.when(t.rlike(r"^[\d/.-]*$"), t).otherwise(tidy))
+    # of the rewrites only that of the month can change what a text reads that has a worded shape already
+    sept, sep = _RELAXATIONS[3]
+    tidy = F.when(t.rlike(_WORDABLE), F.regexp_replace(t, sept, sep) if extended else t).otherwise(tidy)
+    worded = F.when(~t.rlike(_FOREIGN), tidy)
+    return F.when(t.rlike(_YEAR_DIGITS), F.when(t.rlike(r"^[\d/.-]*$"), t).otherwise(worded))
 
 
 def _day_first(t: Column, extended: bool) -> Column:
@@ -91,7 +96,7 @@ def _day_first(t: Column, extended: bool) -> Column:
         day_first = F.regexp_replace(day_first, _MONTH_FIRST_SHORT, "$3$2$1$2$4")
         day_first = F.regexp_replace(day_first, _WORDED_NEW, "$1$2$3$2" + "20$4")
         day_first = F.regexp_replace(day_first, _WORDED_OLD, "$1$2$3$2" + "19$4")
-    return F.when(t.rlike(_WORDABLE), day_first)
+    return F.when(t.rlike(_WORDED), t).when(t.rlike(_WORDABLE), day_first)
 
 
 def _worded_date(day_first: Column, extended: bool) -> Column:
@@ -99,20 +104,29 @@ def _worded_date(day_first: Column, extended: bool) -> Column:
     for i, name in enumerate(rules.MONTHS, 1):
         numbers |= {name: f"-{i:02d}-", name[:3]: f"-{i:02d}-"}
     months = F.create_map(*map(F.lit, chain.from_iterable(numbers.items())))
-    month = F.try_element_at(months, F.lower(F.regexp_extract(day_first, _WORDED, 3)))
-    made = F.concat(
-        F.regexp_extract(day_first, _WORDED, 4), month, F.regexp_extract(day_first, _WORDED, 1)
-    )
-    return F.when(day_first.rlike(_WORDED if extended else _WORDED_STRICT), made.try_cast("date"))
+
+    def made(parts: Column) -> Column:
+        month = F.try_element_at(months, F.lower(parts[1]))
+        return F.concat(parts[2], month, parts[0]).try_cast("date")
+
+    return F.when(day_first.rlike(_WORDED if extended else _WORDED_STRICT), once(F.split(day_first, "[ /-]"), made))
 
 
 def _from_tidy(t: Column, day_first: Column, extended: bool) -> Column:
-    numeric = [
-        F.when(t.rlike(shape), F.regexp_replace(t, shape, form).try_cast("date"))
-        for shape, form in NUMERIC_SHAPES + (COMPACT_SHAPES if extended else ())
-    ]
+    def read(shape: str, form: str) -> Column:
+        return F.regexp_replace(t, shape, form).try_cast("date")
+
+    def first_of(*shapes: tuple[str, str]) -> Column:
+        return F.coalesce(*[F.when(t.rlike(shape), read(shape, form)) for shape, form in shapes])
+
+    # no text has shapes of two of these groups
+    year_first, day_first_shape, month_first, *short = NUMERIC_SHAPES
+    numeric = F.when(t.rlike(year_first[0]), read(*year_first)).when(
+        t.rlike(day_first_shape[0]), F.coalesce(read(*day_first_shape), first_of(month_first))).when(
+        t.rlike(r"^\d{1,2}/\d{1,2}/\d\d$"), first_of(*short[:4])).otherwise(
+        first_of(*short[4:], *(COMPACT_SHAPES if extended else ())))
     return F.when(day_first.isNotNull(), _worded_date(day_first, extended)).when(
-        t.rlike(_NUMERIC) & (~t.rlike(_SCREENED) | t.rlike(_PLAUSIBLE)), F.coalesce(*numeric)
+        t.rlike(_NUMERIC) & (~t.rlike(_SCREENED) | t.rlike(_PLAUSIBLE)), numeric
     )
 
 
@@ -123,8 +137,10 @@ def parse_date(c: Column, extended: bool = True) -> Column:
     weekday names, ``15 Jan 25``, ``20250115``, ``Jan 2025`` and ``2025-01`` (first of the month), and a time of
     day, which is dropped; :func:`seconds_of_day` reads it.
     """
-    t = _tidy(strip(c), extended)
-    return _from_tidy(t, _day_first(t, extended), extended)
+    def parsed(tidy: Column) -> Column:
+        return once(_day_first(tidy, extended), lambda day_first: _from_tidy(tidy, day_first, extended))
+
+    return once(strip(c), lambda bare: once(_tidy(bare, extended), parsed))
 
 
 _CLOCK = r"(?i)[T\s](\d{1,2}):(\d{2})(?::(\d{2})(?:\.\d+)?)?\s*([AP]M)?\s*(?:Z|UTC|GMT|([+-])(\d{2}):?(\d{2}))?$"
@@ -150,17 +166,9 @@ def seconds_of_day(c: Column) -> Column:
 def with_parsed_dates(
     df: DataFrame, targets: Mapping[str, str], extended: bool = True
 ) -> DataFrame:
-    """Add ``{new column: source column}`` date columns.
-
-    The stripped, the tidied and the day-first text are computed once per cell, each in a projection of its own.
-    """
+    """Add ``{new column: source column}`` date columns."""
     kept = [F.col(f"`{c}`") for c in df.columns]
-    steps = {new: [f"__{step}_{i}" for step in ("bare", "tidy", "day_first")] for i, new in enumerate(targets)}
-    wide = df.select(*kept, *[strip(F.col(f"`{src}`")).alias(steps[new][0]) for new, src in targets.items()])
-    wide = wide.select(*kept, *[_tidy(F.col(bare), extended).alias(tidy) for bare, tidy, _ in steps.values()])
-    wide = wide.select("*", *[_day_first(F.col(tidy), extended).alias(first) for _, tidy, first in steps.values()])
-    return wide.select(
-        *kept, *[_from_tidy(F.col(tidy), F.col(first), extended).alias(new) for new, (_, tidy, first) in steps.items()])
+    return df.select(*kept, *[parse_date(F.col(f"`{src}`"), extended).alias(new) for new, src in targets.items()])
 
 
 def is_strict_date(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,15 @@ def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITESPACE))
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where ``value`` is computed once however often ``use`` names it.
+
+    It also keeps long expressions out of the loop that Spark generates for a whole stage: a method beyond 8,000 bytes is
+    never compiled by the JVM, and then everything in that loop is slow.
+    """
+    return F.transform(F.array(value), use)[0]
+
+
 def without_whitespace(c: Column) -> Column:
     return F.translate(c, WHITESPACE, "")
 

@@ -93,3 +93,15 @@ def test_only_texts_that_may_be_dates_are_rewritten(spark):
     assert [r["t"] for r in frame.collect()] == [None, None, None, None, "15 Jan 2025", "Jan 5 2024", "2024-01-05\u0085", None]
     read = dates.with_parsed_dates(frame, {"d": "v"}).collect()
     assert [str(r["d"]) for r in read] == ["None"] * 4 + ["2025-01-15", "2024-01-05", "None", "None"]
+
+
+def test_date_parsing_is_compiled(spark, largest_method):
+    """optimize_orders: the loop that reads dates stays small enough for the JVM to compile it, whatever the number of columns."""
+    from rinsework.operators import columns
+
+    cells = ["2024-02-30", "13/01/2024", "01/13/2024", "1/13/24", "24-01-13", "20240113", "2024-01", "Jan 13 2024", "Sept 5 2024", "x"]
+    frame = spark.createDataFrame([(c, c) for c in cells], "a string, b string")
+    read = columns.standardize_dates(frame, {"a": "nullify", "b": "nullify"}, {"a": "s", "b": "t"})
+    assert largest_method(read) <= 8000
+    wanted = [None, *["2024-01-13"] * 5, "2024-01-01", "2024-01-13", "2024-09-05", None]
+    assert [(r["a"], r["b"], r["s"]) for r in read.collect()] == [(w, w, "converted" if w else "rejected") for w in wanted]
